@@ -1,0 +1,12 @@
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def fill_numbers(df: DataFrame, columns: list[str], value: float = 0) -> DataFrame:
+    """Replace NULL and NaN in the numeric columns named; text and flags are left alone."""
+    return df.fillna(value, subset=columns)
+
+
+def fill_texts(df: DataFrame, columns: list[str], value: str) -> DataFrame:
+    return df.fillna(value, subset=columns)
