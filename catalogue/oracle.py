@@ -187,7 +187,7 @@ CTES = {
           FROM fct_student WHERE compareceu AND preencheu_caderno GROUP BY ALL)""",
     "mart_schools": f"""
         SELECT ano, sigla_uf, nome_municipio, id_escola, rede, count(id_aluno) AS total_alunos,
-          count_if(compareceu) AS total_alunos_presentes,
+          count_if(compareceu)::BIGINT AS total_alunos_presentes,
           {half_up('count_if(NOT compareceu) / CAST(count(id_aluno) AS DOUBLE) * 100')} AS percentual_faltantes,
           coalesce({half_up('avg(proficiencia) FILTER (compareceu)')}, 0) AS media_proficiencia,
           coalesce({half_up('stddev_samp(proficiencia) FILTER (compareceu)')}, 0) AS desvio_padrao_proficiencia,

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from catalogue.oracle import AREA_NETWORK, CTES, METAS, STUDENT_NETWORK, band, each, half_up, over_entities, target_of_year
 from catalogue.standin import (
     PACK,
-    Areas,
     conformed,
     raw_entities,
     raw_map,
@@ -34,7 +33,6 @@ from layerwright.literacy import (
     TARGET_YEARS,
     TARGETS,
 )
-from layerwright.plans.runs import without_duplicates
 from layerwright.sources.workspace import fresh_path
 from layerwright.spec import Entity, Field, Rule, ruleset
 from layerwright.streaming import ingest_new_files
@@ -386,15 +384,15 @@ def conform_student(spark, sf_dir):
     ),
 )
 def conform_targets(spark, sf_dir):
-    raw = Areas(spark, sf_dir).raw()
     places = {
         "meta_brasil": F.lit(None).cast("string"),
         "meta_municipio": F.col("id_municipio").cast("string"),
         "meta_uf": F.col("sigla_uf"),
     }
     parts = []
+    tables = conformed(spark, sf_dir, *places)
     for entity, place in places.items():
-        df = op.conform(raw[entity], PACK[entity])
+        df = tables[entity]
         level = F.col("nivel_alfabetizacao") if "nivel_alfabetizacao" in df.columns else F.lit(None).cast("int")
         parts.append(
             df.select(
@@ -422,8 +420,7 @@ REGIONAL = ["taxa_alfabetizacao", "media_portugues", *(f"pc_nivel_{n}" for n in
     ),
 )
 def conform_regional(spark, sf_dir):
-    raw = Areas(spark, sf_dir).raw()
-    town, state = (op.conform(raw[e], PACK[e]) for e in ("municipio", "uf"))
+    town, state = conformed(spark, sf_dir, "municipio", "uf").values()
     columns = ("serie", "rede", *REGIONAL)
     return town.select("ano", F.col("id_municipio").cast("string").alias("place"), *columns).unionAll(
         state.select("ano", F.col("sigla_uf").alias("place"), *columns)
@@ -470,7 +467,7 @@ def join_left_lookup(spark, sf_dir):
 def join_left_multikey(spark, sf_dir):
     keys = PACK["municipio"].key
     rows = students(spark, sf_dir).select("id_aluno", "id_escola", *keys)
-    indicators = op.conform(Areas(spark, sf_dir).raw()["municipio"], PACK["municipio"])
+    indicators = conformed(spark, sf_dir, "municipio")["municipio"]
     return op.lookup_join(rows, indicators.select(*keys, "media_portugues"), keys)
 
 
@@ -482,8 +479,7 @@ def join_left_multikey(spark, sf_dir):
     ),
 )
 def join_inner_fanout(spark, sf_dir):
-    raw = Areas(spark, sf_dir).raw()
-    target, actual = (op.conform(raw[e], PACK[e]) for e in ("meta_municipio", "municipio"))
+    target, actual = conformed(spark, sf_dir, "meta_municipio", "municipio").values()
     keys = ["ano", "id_municipio"]
     return target.select(*keys, "meta_2024").join(actual.select(*keys, "rede", "taxa_alfabetizacao"), keys)
 
@@ -497,7 +493,7 @@ def join_inner_fanout(spark, sf_dir):
     ),
 )
 def join_same_name_columns(spark, sf_dir):
-    tables = conformed(spark, sf_dir)
+    tables = conformed(spark, sf_dir, "municipio", "uf", "mapeamento_municipio")
     area, state = plans.area_dimension(tables).alias("area"), tables["uf"].alias("state")
     return area.join(state, ["ano", "sigla_uf", "rede"]).select(
         "ano",
@@ -514,7 +510,7 @@ def join_same_name_columns(spark, sf_dir):
     over_entities(f"SELECT ano, id_municipio, rede, {each('pc_nivel_{v}', LEVELS)} FROM municipio"),
 )
 def select_by_prefix(spark, sf_dir):
-    town = op.conform(Areas(spark, sf_dir).raw()["municipio"], PACK["municipio"])
+    town = conformed(spark, sf_dir, "municipio")["municipio"]
     return op.select_by_prefix(town, ("ano", "id_municipio", "rede"), SHARE_PREFIX)
 
 
@@ -533,7 +529,9 @@ def _per_school_sql(columns: str) -> str:
 
 @query(
     "agg_count_if",
-    _per_school_sql("count_if(compareceu) AS came, count_if(compareceu AND alfabetizado) AS literate"),
+    _per_school_sql(
+        "count_if(compareceu)::BIGINT AS came, count_if(compareceu AND alfabetizado)::BIGINT AS literate"
+    ),
 )
 def agg_count_if(spark, sf_dir):
     came = F.col("compareceu")
@@ -675,7 +673,7 @@ def dq_range(spark, sf_dir):
 )
 def dq_report(spark, sf_dir):
     """The rules of the student fact, and a unique rule that fails: an id comes back in other years."""
-    fact = plans.student_fact(conformed(spark, sf_dir))
+    fact = fact_student(spark, sf_dir)
     return op.quality_report(fact, (*FACT_RULES["fct_avaliacao_aluno"], Rule("unique", "id_aluno")))
 
 
@@ -693,7 +691,7 @@ def dq_report(spark, sf_dir):
     ),
 )
 def duplicate_report(spark, sf_dir):
-    town = op.conform(Areas(spark, sf_dir).raw()["municipio"], PACK["municipio"])
+    town = conformed(spark, sf_dir, "municipio")["municipio"]
     return op.duplicate_report(
         students(spark, sf_dir), PACK["avaliacao_aluno"].key, "avaliacao_aluno"
     ).unionAll(op.duplicate_report(town, PACK["municipio"].key, "municipio"))
@@ -709,22 +707,24 @@ def dedup_by_key(spark, sf_dir):
 
 @query("fact_student", over_entities("SELECT * FROM fct_student"))
 def fact_student(spark, sf_dir):
-    return plans.student_fact(conformed(spark, sf_dir))
+    names = ("avaliacao_aluno", "mapeamento_municipio", "municipio", "uf")
+    return plans.student_fact(conformed(spark, sf_dir, *names))
 
 
 @query("dim_area", over_entities("SELECT * FROM dim_area"))
 def dim_area(spark, sf_dir):
-    return plans.area_dimension(conformed(spark, sf_dir))
+    return plans.area_dimension(conformed(spark, sf_dir, "mapeamento_municipio", "municipio"))
 
 
 @query("fact_area_targets", over_entities("SELECT * FROM fct_area"))
 def fact_area_targets(spark, sf_dir):
-    return plans.area_target_fact(conformed(spark, sf_dir))
+    names = ("mapeamento_municipio", "municipio", "meta_municipio", "meta_uf")
+    return plans.area_target_fact(conformed(spark, sf_dir, *names))
 
 
 @query("fact_state_targets", over_entities("SELECT * FROM fct_state"))
 def fact_state_targets(spark, sf_dir):
-    return plans.state_target_fact(conformed(spark, sf_dir))
+    return plans.state_target_fact(conformed(spark, sf_dir, "uf", "meta_uf", "meta_brasil"))
 
 
 @query("mart_area_targets", over_entities("SELECT * FROM mart_area"))

@@ -76,13 +76,13 @@ class Areas:
 
     spark: SparkSession
     sf_dir: str
+    students: DataFrame
 
     @cached_property
     def base(self) -> DataFrame:
-        students = raw_students(self.spark, self.sf_dir)
         present = F.col("presenca") == 1
         level = band(F.col("proficiencia"), BAND_EDGES)
-        sums = students.groupBy("ano", "id_municipio", "rede").agg(
+        sums = self.students.groupBy("ano", "id_municipio", "rede").agg(
             F.count(F.lit(1)).alias("students"),
             F.count_if(present).alias("present"),
             F.sum("alfabetizado").alias("literate"),
@@ -103,7 +103,7 @@ class Areas:
 
     @cached_property
     def base_by_state(self) -> DataFrame:
-        return lookup_join(self.base, self.states, "id_municipio", how="inner")
+        return self.base.join(self.states, "id_municipio")
 
     def _sums(self, df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in SUMS))
@@ -129,42 +129,44 @@ class Areas:
             ),
         )
 
-    def raw(self) -> dict[str, DataFrame]:
-        """Raw rows of the five aggregated entities."""
-        town, state = self.base, self.base_by_state
-        level = F.nullif(F.col("id_municipio") % 9, F.lit(8)).cast("int")
-        by_town = self._sums(town, "ano", "id_municipio").withColumn("nivel_alfabetizacao", level)
-        by_state = self._sums(state, "ano", "sigla_uf", "r_regionkey")
-        return {
-            "meta_brasil": self._targets(self._sums(town, "ano"), F.lit(0), "ano"),
-            "meta_municipio": self._targets(
+    def raw(self, entity: str) -> DataFrame:
+        """Raw rows of one of the five aggregated entities."""
+        if entity == "municipio":
+            return self._indicators(self.base, "ano", "id_municipio", "rede")
+        if entity == "uf":
+            by_state = self._sums(self.base_by_state, "ano", "sigla_uf", "rede")
+            return self._indicators(by_state, "ano", "sigla_uf", "rede")
+        if entity == "meta_brasil":
+            return self._targets(self._sums(self.base, "ano"), F.lit(0), "ano")
+        if entity == "meta_municipio":
+            level = F.nullif(F.col("id_municipio") % 9, F.lit(8)).cast("int")
+            by_town = self._sums(self.base, "ano", "id_municipio").withColumn("nivel_alfabetizacao", level)
+            return self._targets(
                 by_town, F.col("id_municipio"), "ano", "id_municipio", "nivel_alfabetizacao"
-            ),
-            "meta_uf": self._targets(by_state, F.col("r_regionkey"), "ano", "sigla_uf"),
-            "municipio": self._indicators(town, "ano", "id_municipio", "rede"),
-            "uf": self._indicators(
-                self._sums(state, "ano", "sigla_uf", "rede"), "ano", "sigla_uf", "rede"
-            ),
-        }
+            )
+        by_state = self._sums(self.base_by_state, "ano", "sigla_uf", "r_regionkey")
+        return self._targets(by_state, F.col("r_regionkey"), "ano", "sigla_uf")
 
 
 def _rate(part: str, whole: str):
     return F.try_divide(100.0 * F.col(part), F.col(whole))
 
 
-def raw_entities(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {
-        "avaliacao_aluno": raw_students(spark, sf_dir),
-        **Areas(spark, sf_dir).raw(),
-        "mapeamento_municipio": raw_map(spark, sf_dir),
-    }
+def raw_entities(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """Raw rows of the entities named, or of all seven."""
+    students = raw_students(spark, sf_dir)
+    areas = Areas(spark, sf_dir, students)
+    own = {"avaliacao_aluno": lambda: students, "mapeamento_municipio": lambda: raw_map(spark, sf_dir)}
+    return {n: own[n]() if n in own else areas.raw(n) for n in names or PACK}
 
 
-def conformed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def conformed(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     """Conformed entities, students without duplicate keys; the other entities have none."""
-    tables = {n: conform(df, PACK[n]) for n, df in raw_entities(spark, sf_dir).items()}
-    students = tables["avaliacao_aluno"]
-    return tables | {"avaliacao_aluno": dedup_by_key(students, PACK["avaliacao_aluno"].key)}
+    tables = {n: conform(df, PACK[n]) for n, df in raw_entities(spark, sf_dir, *names).items()}
+    if "avaliacao_aluno" in tables:
+        students = tables["avaliacao_aluno"]
+        tables["avaliacao_aluno"] = dedup_by_key(students, PACK["avaliacao_aluno"].key)
+    return tables
 
 
 def students(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerwright.sources.workspace import Staged, size_columns, stage
@@ -13,6 +13,10 @@ MAX_BROADCAST = "spark.layerwright.maxBroadcastBytes"
 DEFAULT_MAX_BROADCAST = 64 * 1024 * 1024
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    return int(spark.conf.get(MAX_BROADCAST, str(DEFAULT_MAX_BROADCAST)))
+
+
 def measure(*tables: DataFrame) -> list[int]:
     """Bytes each table would take in a broadcast hash table, all counted in one job."""
     sizes = [
@@ -23,12 +27,13 @@ def measure(*tables: DataFrame) -> list[int]:
     return [found[i] for i in range(len(tables))]
 
 
-def _matches(on: tuple[str, ...], prefix: str, null_safe: bool) -> Column:
+def matches(on: tuple[str, ...], prefix: str, null_safe: bool) -> Column:
+    """Equality of the left side's key columns and the right side's prefixed ones."""
     equal = Column.eqNullSafe if null_safe else Column.__eq__
     return reduce(Column.__and__, (equal(F.col(k), F.col(prefix + k)) for k in on))
 
 
-def _prefixed(df: DataFrame, on: tuple[str, ...], prefix: str) -> DataFrame:
+def prefixed(df: DataFrame, on: tuple[str, ...], prefix: str) -> DataFrame:
     return df.withColumnsRenamed({k: prefix + k for k in on})
 
 
@@ -53,8 +58,8 @@ def _split_join(
     The piece is the id of the task that reads the row: identical copies spread as well as
     others, and a retried task deals its rows as before. NULL keys are dealt out too.
     """
-    crowded = F.broadcast(_prefixed(_crowded_keys(rows, on), on, "_c_"))
-    same_as_crowded = _matches(on, "_c_", null_safe=True)
+    crowded = F.broadcast(prefixed(_crowded_keys(rows, on), on, "_c_"))
+    same_as_crowded = matches(on, "_c_", null_safe=True)
     helpers = [f"_c_{k}" for k in on] + ["_pieces"]
     dealt = (
         rows.join(crowded, same_as_crowded, "left")
@@ -67,8 +72,8 @@ def _split_join(
         .withColumn("_t__piece", F.explode(F.sequence(F.lit(0), last)))
         .drop(*helpers)
     )
-    match = _matches(on, "_t_", null_safe) & (F.col("_piece") == F.col("_t__piece"))
-    return dealt.join(_prefixed(copied, on, "_t_"), match, how).drop(
+    match = matches(on, "_t_", null_safe) & (F.col("_piece") == F.col("_t__piece"))
+    return dealt.join(prefixed(copied, on, "_t_"), match, how).drop(
         "_piece", "_t__piece", *(f"_t_{k}" for k in on)
     )
 
@@ -95,8 +100,7 @@ def lookup_join(
         rows = rows.dropna(subset=list(on)) if how == "inner" else rows
     if table_bytes is None:
         (table_bytes,) = measure(table)
-    limit = int(rows.sparkSession.conf.get(MAX_BROADCAST, str(DEFAULT_MAX_BROADCAST)))
-    if table_bytes > limit:
+    if table_bytes > broadcast_limit(rows.sparkSession):
         return _split_join(rows, table, on, how, null_safe)
-    small = F.broadcast(_prefixed(table, on, "_t_"))
-    return rows.join(small, _matches(on, "_t_", null_safe), how).drop(*(f"_t_{k}" for k in on))
+    small = F.broadcast(prefixed(table, on, "_t_"))
+    return rows.join(small, matches(on, "_t_", null_safe), how).drop(*(f"_t_{k}" for k in on))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from layerwright.functions import count_where
 from layerwright.literacy import FACT_RULES, MART_RULES, NOT_FOUND, entities
 from layerwright.operators.conform import conform
-from layerwright.operators.dedup import dedup_by_key, duplicate_report
+from layerwright.operators.dedup import dedup_by_key, find_repeats
 from layerwright.operators.lineage import (
     BRONZE_PARTITION,
     GOLD_TIME,
@@ -28,6 +30,8 @@ from layerwright.sources.layers import read_partition, write_partitioned
 from layerwright.sources.workspace import Staged, stage
 from layerwright.spec import Entity
 
+T = TypeVar("T")
+CONCURRENT_TABLES = 4
 REPORT_SCHEMA = (
     "layer string, table_name string, status string, row_count bigint, duplicates bigint,"
     " unmatched bigint, message string"
@@ -65,6 +69,14 @@ class RunFailed(Exception):
         super().__init__("; ".join(f"{r.table}: {r.message}" for r in runs if r.status == "failed"))
 
 
+def _side_by_side(work: Callable[[str], T], names: Iterable[str]) -> dict[str, T]:
+    """Start the Spark jobs of independent tables together, so that a small table's job does not
+    wait for a large one's last task."""
+    names = list(names)
+    with ThreadPoolExecutor(CONCURRENT_TABLES) as pool:
+        return dict(zip(names, pool.map(work, names)))
+
+
 def report_frame(spark: SparkSession, runs: list[TableRun]) -> DataFrame:
     """The run report, one row per table."""
     rows = [(r.layer, r.table, r.status, r.rows, r.duplicates, r.unmatched, r.message) for r in runs]
@@ -110,12 +122,15 @@ def run_bronze(
 
     An entity that fails leaves the others alone; the run raises at its end.
     """
-    runs = []
-    for entity in (pack or entities()).values():
+    pack = pack or entities()
+
+    def attempt(name: str) -> TableRun:
         try:
-            runs.append(_ingest(spark, layout, entity, stamp, infer))
+            return _ingest(spark, layout, pack[name], stamp, infer)
         except Exception as error:  # recorded, and raised again below
-            runs.append(TableRun("bronze", entity.name, "failed", message=str(error)))
+            return TableRun("bronze", name, "failed", message=str(error))
+
+    runs = list(_side_by_side(attempt, pack).values())
     if any(r.status == "failed" for r in runs):
         raise RunFailed(runs)
     return runs
@@ -138,25 +153,23 @@ def read_conformed(
 def without_duplicates(
     tables: dict[str, DataFrame], pack: dict[str, Entity], dedup: str = "drop"
 ) -> tuple[dict[str, DataFrame], list[TableRun]]:
-    """Count duplicate keys of all tables in one job, and drop them where there are any.
+    """Count duplicate keys of each table, and drop them where there are any.
 
-    Only a table that has duplicates is shuffled by its key, once: its first rows are staged.
-    ``dedup="report"`` counts and keeps all rows.
+    A table that has duplicates is staged without them, so that what follows does not shuffle it
+    again. ``dedup="report"`` counts and keeps all rows.
     """
     if dedup not in ("drop", "report"):
         raise ValueError(f"dedup must be 'drop' or 'report', not {dedup!r}")
-    reports = [duplicate_report(df, pack[name].key, name) for name, df in tables.items()]
-    found = {r["table_name"]: r for r in reduce(DataFrame.unionAll, reports).collect()}
-    kept = {
-        name: stage(dedup_by_key(df, pack[name].key), name).df
-        if dedup == "drop" and found[name]["duplicates"]
-        else df
-        for name, df in tables.items()
-    }
-    runs = [
-        TableRun("silver", name, "read", r["total_rows"], r["duplicates"]) for name, r in found.items()
-    ]
-    return kept, runs
+
+    def handle(name: str) -> tuple[DataFrame, TableRun]:
+        df, key = tables[name], pack[name].key
+        repeats = find_repeats(df, key)
+        if dedup == "drop" and repeats.duplicates:
+            df = stage(dedup_by_key(df, key, repeats), name).df
+        return df, TableRun("silver", name, "read", repeats.total_rows, repeats.duplicates)
+
+    found = _side_by_side(handle, tables)
+    return {n: df for n, (df, _) in found.items()}, [run for _, run in found.values()]
 
 
 def _unmatched(column: str = "nome_municipio"):
@@ -185,8 +198,9 @@ def run_silver(
     }
     _require("silver", evaluate({name: (df, FACT_RULES[name]) for name, df in facts.items()}))
     lost = dimension.agg(_unmatched().alias("n")).first()["n"]
-    for name, df in facts.items():
-        stamped = df.withColumns(
+
+    def publish(name: str) -> TableRun:
+        stamped = facts[name].withColumns(
             {SILVER_TIME: stamp.timestamp(), **stamp.partition(*SILVER_PARTITION)}
         )
         placed = {"unmatched": _unmatched()} if name == "fct_avaliacao_aluno" else None
@@ -194,8 +208,9 @@ def run_silver(
             stamped, f"{layout.silver}/{name}", SILVER_PARTITION, keep_others=True, metrics=placed
         )
         unmatched = lost if name == "fct_meta_municipio" else found.get("unmatched")
-        runs.append(TableRun("silver", name, "written", found["rows"], unmatched=unmatched))
-    return runs
+        return TableRun("silver", name, "written", found["rows"], unmatched=unmatched)
+
+    return runs + list(_side_by_side(publish, facts).values())
 
 
 def build_marts(facts: dict[str, DataFrame], missing_target: str = "zero") -> dict[str, DataFrame]:
@@ -220,13 +235,17 @@ def run_gold(
     """Rebuild the marts from this month's facts: check all of them, then replace each table."""
     month = _month(stamp, SILVER_PARTITION)
     facts = {n: read_partition(spark, f"{layout.silver}/{n}", **month) for n in FACT_RULES}
-    marts: dict[str, DataFrame | Staged] = {
-        name: df if name in ROW_LEVEL_MARTS else stage(df, name, counters(df, MART_RULES[name]))
-        for name, df in build_marts(facts, missing_target).items()
-    }
+    plans = build_marts(facts, missing_target)
+
+    def prepare(name: str) -> DataFrame | Staged:
+        df = plans[name]
+        return df if name in ROW_LEVEL_MARTS else stage(df, name, counters(df, MART_RULES[name]))
+
+    marts = _side_by_side(prepare, plans)
     _require("gold", evaluate({name: (t, MART_RULES[name]) for name, t in marts.items()}))
-    runs = []
-    for name, table in marts.items():
+
+    def publish(name: str) -> TableRun:
+        table = marts[name]
         df = table.df if isinstance(table, Staged) else table
         found = write_partitioned(
             df.withColumn(GOLD_TIME, stamp.timestamp()),
@@ -235,5 +254,6 @@ def run_gold(
             keep_others=False,
             gather=True,
         )
-        runs.append(TableRun("gold", name, "written", found["rows"]))
-    return runs
+        return TableRun("gold", name, "written", found["rows"])
+
+    return list(_side_by_side(publish, marts).values())
