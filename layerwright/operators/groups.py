@@ -7,8 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from layerwright.functions import percent, rounded_mean
-from layerwright.operators.lookup import lookup_join
-from layerwright.sources.workspace import stage
+from layerwright.operators.lookup import ROWS, lookup_join, stage_row_counts
 
 
 def group_means(df: DataFrame, keys: tuple[str, ...], means: dict[str, str], digits: int = 2) -> DataFrame:
@@ -49,5 +48,15 @@ def with_group_mean(df: DataFrame, keys: tuple[str, ...], value: str, out: str,
     A window would send each group whole to one task. Here the groups are averaged first, each
     task sending one row per group, and the means are looked up. NULL keys form a group.
     """
-    means = stage(group_means(df, keys, {out: value}, digits), "group-means")
-    return lookup_join(df, means, keys, null_safe=True)
+    per_group = df.groupBy(*keys).agg(
+        rounded_mean(value, digits).alias(out), F.count(F.lit(1)).alias(ROWS)
+    )
+    means = stage_row_counts(per_group, "group-means")
+    return lookup_join(
+        df,
+        means.df.drop(ROWS),
+        keys,
+        null_safe=True,
+        table_bytes=means.hashed_bytes,
+        row_counts=means,
+    )

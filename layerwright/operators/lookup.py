@@ -11,6 +11,7 @@ from layerwright.sources.workspace import Staged, size_columns, stage
 
 MAX_BROADCAST = "spark.layerwright.maxBroadcastBytes"
 DEFAULT_MAX_BROADCAST = 64 * 1024 * 1024
+ROWS = "_rows_of_key"
 
 
 def broadcast_limit(spark: SparkSession) -> int:
@@ -37,20 +38,29 @@ def prefixed(df: DataFrame, on: tuple[str, ...], prefix: str) -> DataFrame:
     return df.withColumnsRenamed({k: prefix + k for k in on})
 
 
-def _crowded_keys(rows: DataFrame, on: tuple[str, ...]) -> DataFrame | None:
+def count_rows_per_key(rows: DataFrame, on: tuple[str, ...]) -> Staged:
+    return stage_row_counts(rows.groupBy(*on).agg(F.count(F.lit(1)).alias(ROWS)), "key-counts")
+
+
+def stage_row_counts(per_key: DataFrame, name: str) -> Staged:
+    """Stage a table with one row per key and the key's row count, adding up the counts."""
+    return stage(per_key, name, {ROWS: F.coalesce(F.sum(ROWS), F.lit(0))})
+
+
+def _crowded_keys(counts: Staged, on: tuple[str, ...]) -> DataFrame:
     """Keys with more rows than an even shuffle partition holds, and how many pieces to cut each into.
 
-    With P shuffle partitions there are fewer than P such keys and fewer than 2P pieces.
+    With P shuffle partitions there are fewer than P such keys and fewer than 2P pieces, whatever
+    the data: a bound that makes them safe to broadcast.
     """
-    counts = stage(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")), "key-counts", {"all": F.sum("n")})
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    even = max(1.0, (counts.metrics["all"] or 0) / parts)
-    crowded = counts.df.where(F.col("n") > even)
-    return crowded.select(*on, F.ceil(F.col("n") / even).cast("int").alias("_pieces"))
+    parts = int(counts.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    even = max(1.0, counts.metrics[ROWS] / parts)
+    crowded = counts.df.where(F.col(ROWS) > even)
+    return crowded.select(*on, F.ceil(F.col(ROWS) / even).cast("int").alias("_pieces"))
 
 
 def _split_join(
-    rows: DataFrame, table: DataFrame, on: tuple[str, ...], how: str, null_safe: bool
+    rows: DataFrame, table: DataFrame, on: tuple[str, ...], how: str, null_safe: bool, counts: Staged
 ) -> DataFrame:
     """Shuffle join in which rows of a crowded key are dealt out over several pieces, each of which
     meets its own copy of the key's table rows.
@@ -58,7 +68,7 @@ def _split_join(
     The piece is the id of the task that reads the row: identical copies spread as well as
     others, and a retried task deals its rows as before. NULL keys are dealt out too.
     """
-    crowded = F.broadcast(prefixed(_crowded_keys(rows, on), on, "_c_"))
+    crowded = F.broadcast(prefixed(_crowded_keys(counts, on), on, "_c_"))
     same_as_crowded = matches(on, "_c_", null_safe=True)
     helpers = [f"_c_{k}" for k in on] + ["_pieces"]
     dealt = (
@@ -85,12 +95,14 @@ def lookup_join(
     how: str = "left",
     null_safe: bool = False,
     table_bytes: int | None = None,
+    row_counts: Staged | None = None,
 ) -> DataFrame:
     """Join ``rows`` (many, perhaps skewed) to ``table`` on equal keys; ``how`` is left or inner.
 
     The table is broadcast only if its measured size is within the bound set by
     ``spark.layerwright.maxBroadcastBytes``: then no row of ``rows`` moves. Beyond it, both sides
     are shuffled and crowded keys are cut into pieces. The result is the same either way.
+    ``row_counts`` (from ``stage_row_counts``) spares the pass that finds crowded keys.
     """
     on = (on,) if isinstance(on, str) else tuple(on)
     if isinstance(table, Staged):
@@ -101,6 +113,6 @@ def lookup_join(
     if table_bytes is None:
         (table_bytes,) = measure(table)
     if table_bytes > broadcast_limit(rows.sparkSession):
-        return _split_join(rows, table, on, how, null_safe)
+        return _split_join(rows, table, on, how, null_safe, row_counts or count_rows_per_key(rows, on))
     small = F.broadcast(prefixed(table, on, "_t_"))
     return rows.join(small, matches(on, "_t_", null_safe), how).drop(*(f"_t_{k}" for k in on))

@@ -18,6 +18,13 @@ def _measures(df: DataFrame, keys: tuple[str, ...], **names: str) -> DataFrame:
     return df.select(*keys, *(F.col(c).alias(out) for out, c in names.items()))
 
 
+def _with_lookups(rows: DataFrame, *lookups: tuple[DataFrame, tuple[str, ...]], how: str) -> DataFrame:
+    """Join rows to one table after the other, all tables being measured in one job."""
+    for (table, on), size in zip(lookups, measure(*(t for t, _ in lookups))):
+        rows = lookup_join(rows, table, on, how, table_bytes=size)
+    return rows
+
+
 def _known_place(df: DataFrame) -> DataFrame:
     return df.withColumns({c: fill_text(F.col(c), NOT_FOUND) for c in ("nome_municipio", "sigla_uf")})
 
@@ -27,24 +34,16 @@ def student_fact(tables: Tables) -> DataFrame:
 
     The students stay where they are as long as the three small tables fit the broadcast bound.
     """
-    lookups = (
+    town_key, state_key = ("ano", "id_municipio", "rede"), ("ano", "sigla_uf", "rede")
+    town = _measures(tables["municipio"], town_key, media_portugues_municipio="media_portugues")
+    state = _measures(tables["uf"], state_key, media_portugues_estado="media_portugues")
+    rows = _with_lookups(
+        tables["avaliacao_aluno"],
         (tables["mapeamento_municipio"], ("id_municipio",)),
-        (
-            _measures(
-                tables["municipio"],
-                ("ano", "id_municipio", "rede"),
-                media_portugues_municipio="media_portugues",
-            ),
-            ("ano", "id_municipio", "rede"),
-        ),
-        (
-            _measures(tables["uf"], ("ano", "sigla_uf", "rede"), media_portugues_estado="media_portugues"),
-            ("ano", "sigla_uf", "rede"),
-        ),
+        (town, town_key),
+        (state, state_key),
+        how="left",
     )
-    rows = tables["avaliacao_aluno"]
-    for (table, on), size in zip(lookups, measure(*(t for t, _ in lookups))):
-        rows = lookup_join(rows, table, on, table_bytes=size)
     means = ("media_portugues_municipio", "media_portugues_estado")
     return _known_place(rows).select(
         "id_aluno",
@@ -80,10 +79,7 @@ def area_dimension(tables: Tables) -> DataFrame:
 
 
 def area_target_fact(tables: Tables, dimension: DataFrame | None = None) -> DataFrame:
-    """Municipality targets next to actual rates (a row per network) and the state's rates.
-
-    All inputs are aggregates; Spark picks the join by their size.
-    """
+    """Municipality targets next to actual rates (a row per network) and the state's rates."""
     dimension = area_dimension(tables) if dimension is None else dimension
     keys = ("ano", "id_municipio")
     target = _measures(
@@ -96,22 +92,19 @@ def area_target_fact(tables: Tables, dimension: DataFrame | None = None) -> Data
     )
     actual = dimension.select(*keys, "nome_municipio", "sigla_uf", "rede", "taxa_alfabetizacao")
     state = _state_rates(tables["meta_uf"])
-    return (
-        target.join(actual, list(keys))
-        .join(state, ["ano", "sigla_uf"])
-        .select(
-            "nome_municipio",
-            "sigla_uf",
-            "ano",
-            "rede",
-            "taxa_alfabetizacao",
-            "nivel_alfabetizacao_municipal",
-            "taxa_alfabetizacao_municipal",
-            "percentual_participacao_municipal",
-            "taxa_alfabetizacao_estadual",
-            "percentual_participacao_estadual",
-            *TARGETS.values(),
-        )
+    placed = _with_lookups(actual, (target, keys), (state, ("ano", "sigla_uf")), how="inner")
+    return placed.select(
+        "nome_municipio",
+        "sigla_uf",
+        "ano",
+        "rede",
+        "taxa_alfabetizacao",
+        "nivel_alfabetizacao_municipal",
+        "taxa_alfabetizacao_municipal",
+        "percentual_participacao_municipal",
+        "taxa_alfabetizacao_estadual",
+        "percentual_participacao_estadual",
+        *TARGETS.values(),
     )
 
 
@@ -135,18 +128,15 @@ def state_target_fact(tables: Tables) -> DataFrame:
         taxa_alfabetizacao_nacional="taxa_alfabetizacao",
         percentual_participacao_nacional="percentual_participacao",
     )
-    return (
-        target.join(actual, ["ano", "sigla_uf"])
-        .join(nation, ["ano"])
-        .select(
-            "sigla_uf",
-            "ano",
-            "rede",
-            "taxa_alfabetizacao",
-            "taxa_alfabetizacao_estadual",
-            "percentual_participacao_estadual",
-            "taxa_alfabetizacao_nacional",
-            "percentual_participacao_nacional",
-            *TARGETS.values(),
-        )
+    placed = _with_lookups(actual, (target, ("ano", "sigla_uf")), (nation, ("ano",)), how="inner")
+    return placed.select(
+        "sigla_uf",
+        "ano",
+        "rede",
+        "taxa_alfabetizacao",
+        "taxa_alfabetizacao_estadual",
+        "percentual_participacao_estadual",
+        "taxa_alfabetizacao_nacional",
+        "percentual_participacao_nacional",
+        *TARGETS.values(),
     )

@@ -99,10 +99,12 @@ def _require(layer: str, outcomes: dict[str, list[Outcome]]) -> None:
         )
 
 
-def _ingest(spark: SparkSession, layout: Layout, entity: Entity, stamp: RunStamp, infer: bool) -> TableRun:
+def _ingest(
+    spark: SparkSession, layout: Layout, entity: Entity, stamp: RunStamp, infer: bool, null_safe: bool
+) -> TableRun:
     """Parse the files once, into a staged table that is checked and then published."""
     raw = read_landing(spark, f"{layout.landing}/{entity.name}", entity.raw_types, infer)
-    bronze = add_lineage(raw, entity.name, stamp)
+    bronze = add_lineage(raw, entity.name, stamp, null_safe)
     staged = stage(bronze, entity.name, counters(bronze, entity.rules))
     _require("bronze", evaluate({entity.name: (staged, entity.rules)}))
     found = write_partitioned(
@@ -117,6 +119,7 @@ def run_bronze(
     stamp: RunStamp,
     pack: dict[str, Entity] | None = None,
     infer: bool = False,
+    null_safe_hash: bool = False,
 ) -> list[TableRun]:
     """Land every entity in its bronze table, replacing this month's partition only.
 
@@ -126,7 +129,7 @@ def run_bronze(
 
     def attempt(name: str) -> TableRun:
         try:
-            return _ingest(spark, layout, pack[name], stamp, infer)
+            return _ingest(spark, layout, pack[name], stamp, infer, null_safe_hash)
         except Exception as error:  # recorded, and raised again below
             return TableRun("bronze", name, "failed", message=str(error))
 
