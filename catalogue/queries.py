@@ -33,6 +33,7 @@ from layerwright.literacy import (
     TARGET_YEARS,
     TARGETS,
 )
+from layerwright.plans.runs import side_by_side
 from layerwright.sources.workspace import fresh_path
 from layerwright.spec import Entity, Field, Rule, ruleset
 from layerwright.streaming import ingest_new_files
@@ -810,8 +811,8 @@ def land_entities(spark: SparkSession, sf_dir: str) -> plans.Layout:
     """Write the raw entities as CSV landing folders, and name the folders of the layers above."""
     root = fresh_path(spark, "layers")
     layout = plans.Layout(*(f"{root}/{layer}" for layer in ("landing", "bronze", "silver", "gold")))
-    for name, df in raw_entities(spark, sf_dir).items():
-        _land(df, f"{layout.landing}/{name}")
+    raw = raw_entities(spark, sf_dir)
+    side_by_side(lambda name: _land(raw[name], f"{layout.landing}/{name}"), raw)
     return layout
 
 

@@ -69,7 +69,7 @@ class RunFailed(Exception):
         super().__init__("; ".join(f"{r.table}: {r.message}" for r in runs if r.status == "failed"))
 
 
-def _side_by_side(work: Callable[[str], T], names: Iterable[str]) -> dict[str, T]:
+def side_by_side(work: Callable[[str], T], names: Iterable[str]) -> dict[str, T]:
     """Start the Spark jobs of independent tables together, so that a small table's job does not
     wait for a large one's last task."""
     names = list(names)
@@ -133,7 +133,7 @@ def run_bronze(
         except Exception as error:  # recorded, and raised again below
             return TableRun("bronze", name, "failed", message=str(error))
 
-    runs = list(_side_by_side(attempt, pack).values())
+    runs = list(side_by_side(attempt, pack).values())
     if any(r.status == "failed" for r in runs):
         raise RunFailed(runs)
     return runs
@@ -171,7 +171,7 @@ def without_duplicates(
             df = stage(dedup_by_key(df, key, repeats), name).df
         return df, TableRun("silver", name, "read", repeats.total_rows, repeats.duplicates)
 
-    found = _side_by_side(handle, tables)
+    found = side_by_side(handle, tables)
     return {n: df for n, (df, _) in found.items()}, [run for _, run in found.values()]
 
 
@@ -194,11 +194,12 @@ def run_silver(
     pack = pack or entities()
     tables, runs = without_duplicates(read_conformed(spark, layout, stamp, pack), pack, dedup)
     dimension = fact_plans.area_dimension(tables)
-    facts = {
-        "fct_avaliacao_aluno": fact_plans.student_fact(tables),
-        "fct_meta_municipio": fact_plans.area_target_fact(tables, dimension),
-        "fct_meta_uf": fact_plans.state_target_fact(tables),
+    builders = {
+        "fct_avaliacao_aluno": lambda: fact_plans.student_fact(tables),
+        "fct_meta_municipio": lambda: fact_plans.area_target_fact(tables, dimension),
+        "fct_meta_uf": lambda: fact_plans.state_target_fact(tables),
     }
+    facts = side_by_side(lambda name: builders[name](), builders)
     _require("silver", evaluate({name: (df, FACT_RULES[name]) for name, df in facts.items()}))
     lost = dimension.agg(_unmatched().alias("n")).first()["n"]
 
@@ -213,7 +214,7 @@ def run_silver(
         unmatched = lost if name == "fct_meta_municipio" else found.get("unmatched")
         return TableRun("silver", name, "written", found["rows"], unmatched=unmatched)
 
-    return runs + list(_side_by_side(publish, facts).values())
+    return runs + list(side_by_side(publish, facts).values())
 
 
 def build_marts(facts: dict[str, DataFrame], missing_target: str = "zero") -> dict[str, DataFrame]:
@@ -244,7 +245,7 @@ def run_gold(
         df = plans[name]
         return df if name in ROW_LEVEL_MARTS else stage(df, name, counters(df, MART_RULES[name]))
 
-    marts = _side_by_side(prepare, plans)
+    marts = side_by_side(prepare, plans)
     _require("gold", evaluate({name: (t, MART_RULES[name]) for name, t in marts.items()}))
 
     def publish(name: str) -> TableRun:
@@ -259,4 +260,4 @@ def run_gold(
         )
         return TableRun("gold", name, "written", found["rows"])
 
-    return list(_side_by_side(publish, marts).values())
+    return list(side_by_side(publish, marts).values())
