@@ -21,6 +21,7 @@ from catalogue.standin import (
 from layerwright import functions as LF
 from layerwright import operators as op
 from layerwright import plans, sources
+from layerwright.jobs import side_by_side
 from layerwright.literacy import (
     AREA_NETWORK as AREA_CODES,
     BAND_EDGES,
@@ -33,7 +34,6 @@ from layerwright.literacy import (
     TARGET_YEARS,
     TARGETS,
 )
-from layerwright.plans.runs import side_by_side
 from layerwright.sources.workspace import fresh_path
 from layerwright.spec import Entity, Field, Rule, ruleset
 from layerwright.streaming import ingest_new_files
@@ -673,8 +673,11 @@ def dq_range(spark, sf_dir):
     ),
 )
 def dq_report(spark, sf_dir):
-    """The rules of the student fact, and a unique rule that fails: an id comes back in other years."""
-    fact = fact_student(spark, sf_dir)
+    """The rules of the student fact, and a unique rule that fails: an id comes back in other years.
+
+    The unique rule takes a scan of its own, so the fact is staged rather than built twice.
+    """
+    fact = sources.stage(fact_student(spark, sf_dir), "student-fact").df
     return op.quality_report(fact, (*FACT_RULES["fct_avaliacao_aluno"], Rule("unique", "id_aluno")))
 
 

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from layerwright.literacy import BAND_EDGES, LEVELS, TARGET_YEARS, entities
 from layerwright.functions import band
+from layerwright.jobs import side_by_side
 from layerwright.operators import conform, dedup_by_key, lookup_join
 from layerwright.sources import stage
 
 PACK = entities(id_type="bigint")
 LITERATE_FROM = 743
+OWN_ROWS = ("avaliacao_aluno", "mapeamento_municipio")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,12 +163,28 @@ def raw_entities(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, Dat
 
 
 def conformed(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    """Conformed entities, students without duplicate keys; the other entities have none."""
-    tables = {n: conform(df, PACK[n]) for n, df in raw_entities(spark, sf_dir, *names).items()}
-    if "avaliacao_aluno" in tables:
-        students = tables["avaliacao_aluno"]
-        tables["avaliacao_aluno"] = dedup_by_key(students, PACK["avaliacao_aluno"].key)
-    return tables
+    """Conformed entities, students without duplicate keys; the other entities have none.
+
+    Students' duplicates and the areas' sums come from one pass each, run side by side.
+    """
+    raw_student = raw_students(spark, sf_dir)
+    areas = Areas(spark, sf_dir, raw_student)
+
+    def several(group: str) -> dict[str, DataFrame]:
+        if group == "areas":
+            return {n: conform(areas.raw(n), PACK[n]) for n in names if n not in OWN_ROWS}
+        found = {}
+        if "avaliacao_aluno" in names:
+            entity = PACK["avaliacao_aluno"]
+            found[entity.name] = dedup_by_key(conform(raw_student, entity), entity.key)
+        if "mapeamento_municipio" in names:
+            entity = PACK["mapeamento_municipio"]
+            found[entity.name] = conform(raw_map(spark, sf_dir), entity)
+        return found
+
+    found = side_by_side(several, ("areas", "rows"))
+    tables = found["areas"] | found["rows"]
+    return {n: tables[n] for n in names}
 
 
 def students(spark: SparkSession, sf_dir: str) -> DataFrame:

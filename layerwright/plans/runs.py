@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerwright.functions import count_where
+from layerwright.jobs import side_by_side
 from layerwright.literacy import FACT_RULES, MART_RULES, NOT_FOUND, entities
 from layerwright.operators.conform import conform
 from layerwright.operators.dedup import dedup_by_key, find_repeats
@@ -30,8 +28,6 @@ from layerwright.sources.layers import read_partition, write_partitioned
 from layerwright.sources.workspace import Staged, stage
 from layerwright.spec import Entity
 
-T = TypeVar("T")
-CONCURRENT_TABLES = 4
 REPORT_SCHEMA = (
     "layer string, table_name string, status string, row_count bigint, duplicates bigint,"
     " unmatched bigint, message string"
@@ -69,14 +65,6 @@ class RunFailed(Exception):
         super().__init__("; ".join(f"{r.table}: {r.message}" for r in runs if r.status == "failed"))
 
 
-def side_by_side(work: Callable[[str], T], names: Iterable[str]) -> dict[str, T]:
-    """Start the Spark jobs of independent tables together, so that a small table's job does not
-    wait for a large one's last task."""
-    names = list(names)
-    with ThreadPoolExecutor(CONCURRENT_TABLES) as pool:
-        return dict(zip(names, pool.map(work, names)))
-
-
 def report_frame(spark: SparkSession, runs: list[TableRun]) -> DataFrame:
     """The run report, one row per table."""
     rows = [(r.layer, r.table, r.status, r.rows, r.duplicates, r.unmatched, r.message) for r in runs]
