@@ -127,15 +127,16 @@ def src_parquet_partition(spark, sf_dir):
       sum(l_linenumber)::BIGINT AS number_sum FROM lineitem GROUP BY ALL""",
 )
 def sink_parquet_partitioned(spark, sf_dir):
-    """Write by year, one return flag after the other; each write keeps the partitions of the rest."""
+    """Write the whole table by flag and year, then write one flag's rows again: its partitions are
+    replaced and the others stay."""
     root = fresh_path(spark, "lines-by-flag")
+    by = ("l_returnflag", "ano")
     lines = table(spark, sf_dir, "lineitem").select(
         "l_returnflag", "l_linenumber", F.year("l_shipdate").alias("ano")
     )
-    for flag in ("A", "N", "R"):
-        part = lines.where(F.col("l_returnflag") == flag)
-        for _ in ("first write", "rerun"):
-            sources.write_partitioned(part, root, ("l_returnflag", "ano"), keep_others=True, gather=True)
+    sources.write_partitioned(lines, root, by, keep_others=True, gather=True)
+    returned = lines.where(F.col("l_returnflag") == "R")
+    sources.write_partitioned(returned, root, by, keep_others=True, gather=True)
     stored = spark.read.parquet(root)
     return stored.groupBy("l_returnflag", "ano").agg(
         F.count(F.lit(1)).alias("line_count"), F.sum("l_linenumber").alias("number_sum")

@@ -29,7 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_students(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One student per order line."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey",
+        "l_orderkey",
+        "l_linenumber",
+        "l_quantity",
+        "l_tax",
+        "l_returnflag",
+        "l_linestatus",
+        "l_shipdate",
+    )
     schools = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("bigint").alias("id_municipio")
     )

@@ -59,11 +59,11 @@ def _crowded_keys(counts: Staged, on: tuple[str, ...]) -> DataFrame:
     return crowded.select(*on, F.ceil(F.col(ROWS) / even).cast("int").alias("_pieces"))
 
 
-def _split_join(
+def split_join(
     rows: DataFrame, table: DataFrame, on: tuple[str, ...], how: str, null_safe: bool, counts: Staged
 ) -> DataFrame:
     """Shuffle join in which rows of a crowded key are dealt out over several pieces, each of which
-    meets its own copy of the key's table rows.
+    meets its own copy of the key's table rows. ``counts`` holds the rows of each key.
 
     The piece is the id of the task that reads the row: identical copies spread as well as
     others, and a retried task deals its rows as before. NULL keys are dealt out too.
@@ -101,8 +101,8 @@ def lookup_join(
 
     The table is broadcast only if its measured size is within the bound set by
     ``spark.layerwright.maxBroadcastBytes``: then no row of ``rows`` moves. Beyond it, both sides
-    are shuffled and crowded keys are cut into pieces. The result is the same either way.
-    ``row_counts`` (from ``stage_row_counts``) spares the pass that finds crowded keys.
+    are shuffled, crowded keys are cut into pieces, and the result is staged, so that it is
+    shuffled once however often it is read. The rows are the same either way. ``row_counts`` (from ``stage_row_counts``) spares the pass that finds crowded keys.
     """
     on = (on,) if isinstance(on, str) else tuple(on)
     if isinstance(table, Staged):
@@ -113,6 +113,7 @@ def lookup_join(
     if table_bytes is None:
         (table_bytes,) = measure(table)
     if table_bytes > broadcast_limit(rows.sparkSession):
-        return _split_join(rows, table, on, how, null_safe, row_counts or count_rows_per_key(rows, on))
+        counts = row_counts or count_rows_per_key(rows, on)
+        return stage(split_join(rows, table, on, how, null_safe, counts), "looked-up").df
     small = F.broadcast(prefixed(table, on, "_t_"))
     return rows.join(small, matches(on, "_t_", null_safe), how).drop(*(f"_t_{k}" for k in on))
