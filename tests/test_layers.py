@@ -1,4 +1,5 @@
 import os
+import shutil
 from datetime import datetime, timezone
 
 import pytest
@@ -38,19 +39,32 @@ def land(root, **changed):
         os.makedirs(f"{root}/landing/{name}", exist_ok=True)
         with open(f"{root}/landing/{name}/data.csv", "w") as out:
             out.write("\n".join(lines) + "\n")
-    return plans.Layout(*(f"{root}/{layer}" for layer in ("landing", "bronze", "silver", "gold")))
+    return layers(root)
 
 
-def run_all(spark, layout, stamp, **silver):
+def run_all(spark, layout, stamp):
     return [
         *plans.run_bronze(spark, layout, stamp),
-        *plans.run_silver(spark, layout, stamp, **silver),
+        *plans.run_silver(spark, layout, stamp),
         *plans.run_gold(spark, layout, stamp),
     ]
 
 
-def months(root, table):
-    return sorted(d for d in os.listdir(f"{root}/{table}") if d.startswith("_"))
+def layers(root):
+    return plans.Layout(*(f"{root}/{layer}" for layer in ("landing", "bronze", "silver", "gold")))
+
+
+@pytest.fixture(scope="module")
+def july(spark, tmp_path_factory):
+    """A lake after the July run, and the run's report; tests that write take a copy."""
+    root = str(tmp_path_factory.mktemp("july"))
+    return root, run_all(spark, land(root), JULY)
+
+
+@pytest.fixture
+def july_copy(july, tmp_path):
+    shutil.copytree(july[0], tmp_path, dirs_exist_ok=True)
+    return layers(tmp_path)
 
 
 def test_csv_columns_go_by_name_and_bad_values_become_null(spark, tmp_path):
@@ -98,9 +112,9 @@ def test_partition_read_prunes(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(_ing_mes" in scan
 
 
-def test_whole_run_and_report(spark, tmp_path):
-    layout = land(str(tmp_path))
-    runs = {(r.layer, r.table, r.status): r for r in run_all(spark, layout, JULY)}
+def test_whole_run_and_report(spark, july):
+    layout = layers(july[0])
+    runs = {(r.layer, r.table, r.status): r for r in july[1]}
     assert runs["bronze", "avaliacao_aluno", "written"].rows == 4
     assert runs["silver", "avaliacao_aluno", "read"].duplicates == 1
     fact = runs["silver", "fct_avaliacao_aluno", "written"]
@@ -118,22 +132,22 @@ def test_whole_run_and_report(spark, tmp_path):
     assert silver["_silver_processed_at"] == JULY.utc.replace(tzinfo=None) and silver["_proc_mes"] == 7
 
 
-def test_two_months_stay_apart_and_a_rerun_replaces_its_own(spark, tmp_path):
-    layout = land(str(tmp_path))
-    run_all(spark, layout, JULY)
+def test_two_months_stay_apart_and_a_rerun_replaces_its_own(spark, july_copy, tmp_path):
+    layout = july_copy
     before = rows(spark.read.parquet(f"{layout.bronze}/municipio/_ing_ano=2026/_ing_mes=07"))
     land(str(tmp_path), municipio=FILES["municipio"][:2])
     for _ in range(2):
-        run_all(spark, layout, AUGUST)
+        plans.run_bronze(spark, layout, AUGUST)
+    plans.run_silver(spark, layout, AUGUST)
     assert rows(spark.read.parquet(f"{layout.bronze}/municipio/_ing_ano=2026/_ing_mes=07")) == before
     assert spark.read.parquet(f"{layout.bronze}/municipio/_ing_ano=2026/_ing_mes=08").count() == 1
     by_month = spark.read.parquet(f"{layout.silver}/fct_avaliacao_aluno").groupBy("_proc_mes").count()
     assert rows(by_month) == [(7, 3), (8, 3)]
 
 
-def test_reported_duplicates_are_kept_on_request(spark, tmp_path):
-    layout = land(str(tmp_path))
-    runs = run_all(spark, layout, JULY, dedup="report")
+def test_reported_duplicates_are_kept_on_request(spark, july_copy):
+    layout = july_copy
+    runs = plans.run_silver(spark, layout, JULY, dedup="report")
     assert next(r for r in runs if r.table == "fct_avaliacao_aluno").rows == 4
     with pytest.raises(ValueError):
         plans.run_silver(spark, layout, JULY, dedup="other")
@@ -170,9 +184,8 @@ def test_failed_rule_writes_no_fact_at_all(spark, tmp_path):
     assert not os.path.exists(layout.silver)
 
 
-def test_failed_mart_keeps_the_old_marts(spark, tmp_path):
-    layout = land(str(tmp_path))
-    run_all(spark, layout, JULY)
+def test_failed_mart_keeps_the_old_marts(spark, july_copy):
+    layout = july_copy
     nameless = spark.read.parquet(f"{layout.silver}/fct_meta_uf").drop("_proc_ano", "_proc_mes").where("false")
     nameless.write.mode("overwrite").parquet(f"{layout.silver}/fct_meta_uf/_proc_ano=2026/_proc_mes=07")
     before = rows(spark.read.parquet(f"{layout.gold}/ml_aluno"))
@@ -181,12 +194,15 @@ def test_failed_mart_keeps_the_old_marts(spark, tmp_path):
     assert rows(spark.read.parquet(f"{layout.gold}/ml_aluno")) == before
 
 
-def test_gold_run_drops_stale_years(spark, tmp_path):
-    layout = land(str(tmp_path))
-    run_all(spark, layout, JULY)
-    land(str(tmp_path), **{n: [lines[0], *(x.replace("2024", "2025") for x in lines[1:])] for n, lines in FILES.items()})
-    run_all(spark, layout, AUGUST)
-    assert rows(spark.read.parquet(f"{layout.gold}/ml_aluno").select("ano").distinct()) == [(2025,)]
+def test_gold_run_drops_stale_years(spark, july_copy):
+    layout = july_copy
+    for fact in ("fct_avaliacao_aluno", "fct_meta_municipio", "fct_meta_uf"):
+        stored = spark.read.parquet(f"{layout.silver}/{fact}").drop("_proc_ano", "_proc_mes")
+        later = stored.withColumn("ano", F.col("ano") + 1)
+        later.write.parquet(f"{layout.silver}/{fact}/_proc_ano=2026/_proc_mes=08")
+    plans.run_gold(spark, layout, AUGUST)
+    for mart in ("ml_aluno", "consolidado_uf"):
+        assert rows(spark.read.parquet(f"{layout.gold}/{mart}").select("ano").distinct()) == [(2025,)]
 
 
 def test_stamp_is_utc():
