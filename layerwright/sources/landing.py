@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from layerwright.functions import parse
 
@@ -42,7 +42,3 @@ def read_landing(
     schema = landing_schema(spark, path)
     text = spark.read.options(**CSV_OPTIONS, enforceSchema=False).schema(schema).csv(path)
     return typed(text, types or {})
-
-
-def text_schema(columns: list[str]) -> StructType:
-    return StructType([StructField(c, StringType()) for c in columns])
