@@ -38,6 +38,11 @@ def prefixed(df: DataFrame, on: tuple[str, ...], prefix: str) -> DataFrame:
     return df.withColumnsRenamed({k: prefix + k for k in on})
 
 
+def with_known_keys(df: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    """The rows that an equality can match."""
+    return df.where(reduce(Column.__and__, (F.col(k).isNotNull() for k in on)))
+
+
 def count_rows_per_key(rows: DataFrame, on: tuple[str, ...]) -> Staged:
     return stage_row_counts(rows.groupBy(*on).agg(F.count(F.lit(1)).alias(ROWS)), "key-counts")
 
@@ -102,14 +107,15 @@ def lookup_join(
     The table is broadcast only if its measured size is within the bound set by
     ``spark.layerwright.maxBroadcastBytes``: then no row of ``rows`` moves. Beyond it, both sides
     are shuffled, crowded keys are cut into pieces, and the result is staged, so that it is
-    shuffled once however often it is read. The rows are the same either way. ``row_counts`` (from ``stage_row_counts``) spares the pass that finds crowded keys.
+    shuffled once however often it is read. The rows are the same either way. ``row_counts`` (from
+    ``stage_row_counts``) spares the pass that finds crowded keys.
     """
     on = (on,) if isinstance(on, str) else tuple(on)
     if isinstance(table, Staged):
         table, table_bytes = table.df, table.hashed_bytes
     if not null_safe:
-        table = table.dropna(subset=list(on))
-        rows = rows.dropna(subset=list(on)) if how == "inner" else rows
+        table = with_known_keys(table, on)
+        rows = with_known_keys(rows, on) if how == "inner" else rows
     if table_bytes is None:
         (table_bytes,) = measure(table)
     if table_bytes > broadcast_limit(rows.sparkSession):

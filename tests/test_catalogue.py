@@ -21,6 +21,11 @@ def test_query_equals_sql(spark, con, name):
     assert compare(queries()[name](spark, SF), con, oracle_sql()[name]) is None
 
 
+@pytest.mark.parametrize("name", ["fact_student", "fact_area_targets", "fact_state_targets", "features_student"])
+def test_shuffle_path_equals_sql_too(spark, con, no_broadcast, name):
+    assert compare(queries()[name](spark, SF), con, oracle_sql()[name]) is None
+
+
 def test_entry(spark):
     df = entry(spark)
     assert df.count() > 0 and "percentual_alunos" in df.columns

@@ -79,6 +79,17 @@ def test_two_keys_and_staged_table(spark):
     assert rows(found) == [(1, "a", 9, 0.5), (1, None, 8, None), (2, "a", 7, None)]
 
 
+@pytest.mark.parametrize("path", ["broadcast", "shuffle"])
+def test_nan_is_a_key(spark, path, request):
+    if path == "shuffle":
+        request.getfixturevalue("no_broadcast")
+    nan = float("nan")
+    left = spark.createDataFrame([(nan, 1), (2.0, 2), (None, 3)], "k double, v int")
+    right = spark.createDataFrame([(nan, "n"), (None, "x")], "k double, name string")
+    found = {r["v"]: r["name"] for r in lookup_join(left, right, "k").collect()}
+    assert found == {1: "n", 2: None, 3: None}
+
+
 def test_measure_counts_text(spark):
     short = spark.createDataFrame([("a",), (None,)], "t string")
     long = spark.createDataFrame([("a" * 1000,), (None,)], "t string")
