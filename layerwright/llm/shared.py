@@ -44,3 +44,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
 def text_key(text: Column) -> Column:
     """A hash that tells apart texts under one id; null and the empty text count as one."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def importable(spark: SparkSession) -> None:
+    """Workers find this package where the driver found it; on a cluster that ships it otherwise this changes nothing."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
