@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, jaccard, packing, pieces, pii, spans, substring, topk
-from .shared import importable
+from . import credentials, jaccard, packing, perplexity, pieces, pii, spans, substring, topk
+from .shared import importable, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
     return found.select("doc_id", *_digest(base, F.col("spans"), pii.KINDS, pii.BASE))
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = written(perplexity.score(docs, perplexity.fit(docs)).drop("text"), "scored")
+    return perplexity.judged(scored).select("doc_id", *perplexity.FEATURES, "base_failed", "kept", "log_perplexity")
