@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, jaccard, packing, perplexity, pieces, pii, spans, substring, topk
+from . import credentials, jaccard, langid, packing, perplexity, pieces, pii, spans, substring, topk
 from .shared import importable, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     scored = written(perplexity.score(docs, perplexity.fit(docs)).drop("text"), "scored")
     return perplexity.judged(scored).select("doc_id", *perplexity.FEATURES, "base_failed", "kept", "log_perplexity")
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(rest == 2, F.lit(False)).alias("held_out"))
+    model = langid.learn(docs.where(~F.col("held_out")), PIECE_MODEL)
+    found = langid.predict(docs.select("doc_id", "held_out", "text"), model, PIECE_MODEL)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
