@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, jaccard, langid, packing, perplexity, pieces, pii, spans, substring, topk
+from . import credentials, jaccard, langid, ordering, packing, perplexity, pieces, pii, spans, substring, topk
 from .shared import importable, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,12 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_shingles", "component_id")
 
 
+@query
+def op7_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, _ = ordering.materialise(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+    return ordering.read_shards(spark, folder).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
