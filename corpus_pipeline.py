@@ -1,11 +1,87 @@
-"""Cleans a corpus in stages: rules, near duplicates, repeated passages, personal data, packing."""
+"""Cleans a corpus in stages: quality rules, near duplicates, repeated passages, personal data, packing.
 
-STAGES = []
+Each stage takes the documents that the stage before it left and returns the documents it leaves, with the columns of
+``documents``; the last returns token pieces with their places in sequences. A stage's decisions take effect in its
+result. ``n_chars`` follows the text where a stage changes it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from layerwright.llm import catalogue, jaccard, packing, perplexity, pii, substring
+from layerwright.llm.shared import free_name, importable, written
+
+#: Words of a window that may occur only once in the corpus.
+WINDOW = 35
+#: Tokens of a sequence.
+SEQUENCE = 4096
+
+
+def with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """``columns`` of ``docs`` with another text, and its length where a column ``n_chars`` says it."""
+    changed = ~text.eqNullSafe(F.col("text"))
+    new = {"text": text}
+    if "n_chars" in columns:
+        length = F.length(text).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(changed, length).otherwise(F.col("n_chars"))
+    return docs.withColumns(new).select(*columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and the perplexity bands keep."""
+    importable(spark)
+    into = free_name(docs, "quality")
+    return perplexity.assess(docs, into=into).where(F.col(into)["kept"]).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    importable(spark)
+    return jaccard.distinct_documents(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words that repeated passages cover; texts that lose none stay as they are, line breaks included."""
+    importable(spark)
+    removed, kept = free_name(docs, "n_removed"), free_name(docs, "kept")
+    parsed = substring.dedup(docs, size=WINDOW, keep_text=True)
+    return with_text(parsed, docs.columns, F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text")))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by the name of its kind."""
+    original = free_name(docs, "original")
+    marked = pii.redact(docs.withColumn(original, F.col("text")), "text")
+    changed = ~F.col("text").eqNullSafe(F.col(original))
+    if "n_chars" not in docs.columns:
+        return marked.select(*docs.columns)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return marked.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequences and offsets."""
+    importable(spark)
+    return packing.pack_documents(docs, catalogue.WORD_VOCABULARY, size=SEQUENCE)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("substring dedup", substring_dedup),
+    ("personal data", personal_data),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: Tokenisation and the parity-sketch join cannot be stated in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; each stage's result is written to the shared folder and read back for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

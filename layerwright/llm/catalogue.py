@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import credentials, jaccard, langid, ordering, packing, perplexity, pieces, pii, spans, substring, topk
-from .shared import importable, written
+from .shared import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,8 +106,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    scored = written(perplexity.score(docs, perplexity.fit(docs)).drop("text"), "scored")
-    return perplexity.judged(scored).select("doc_id", *perplexity.FEATURES, "base_failed", "kept", "log_perplexity")
+    return perplexity.assess(docs, drop_text=True).select("doc_id", "quality.*")
 
 
 @query

@@ -193,9 +193,9 @@ def _tally(block: pa.Table) -> pa.Table:
     )
 
 
-def _signed(dealt_docs: DataFrame, blocks: int) -> DataFrame:
-    """A row for each document: the other columns, the set's size and name, and for a class's document that shares keys with
-    others its number, its text, and the keys' bands, hashes and numbers of sets."""
+def _signed(dealt_docs: DataFrame, blocks: int, all_texts: bool) -> DataFrame:
+    """A row for each document: the other columns, the set's size and name; for a class's document its number; and if that shares
+    keys with others its text, and the keys' bands, hashes and numbers of sets. ``all_texts`` adds the text of each row."""
     schema = StructType(
         [
             StructField("row", dealt_docs.schema["row"].dataType),
@@ -232,7 +232,7 @@ def _signed(dealt_docs: DataFrame, blocks: int) -> DataFrame:
                 "low": pa.array(b.name[:, 0].astype("int64"), mask=b.sizes == 0),
                 "high": pa.array(b.name[:, 1].astype("int64"), mask=b.sizes == 0),
                 "ref": pa.array(refs, pa.int64(), mask=~stands),
-                "raw": pa.array([t if m else None for t, m in zip(b.texts, meets, strict=True)], pa.binary()),
+                "raw": b.docs.column("raw") if all_texts else pa.array([t if m else None for t, m in zip(b.texts, meets, strict=True)], pa.binary()),
                 "bands": pa.array(part(b.band, "<u2"), pa.binary()),
                 "keys": pa.array(part(b.key, "<u8"), pa.binary()),
                 "times": pa.array(part(times[b.key_at], "<u8"), pa.binary()),
@@ -290,7 +290,7 @@ def _entries(signed: DataFrame, blocks: int, tile: int) -> DataFrame:
             )
 
     schema = "block int, keys binary, refs binary, sizes binary, bands binary, sketches binary"
-    return signed.where("raw IS NOT NULL").select("ref", "raw", "bands", "keys", "times").mapInArrow(run, schema)
+    return signed.where("keys IS NOT NULL").select("ref", "raw", "bands", "keys", "times").mapInArrow(run, schema)
 
 
 class Forest:
@@ -399,26 +399,29 @@ def _verified(bucket: pa.Table) -> pa.Table:
     return forest.table()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
-    """The columns of ``docs`` but ``text`` as ``row``, with ``n_shingles``, ``class_low`` and ``class_high`` (the name of the set, null if
-    empty) and ``component_id``: the smallest id that links reach."""
-    dealt_docs, _, blocks = dealt(docs, id_col, text)
-    signed = written(_signed(dealt_docs, blocks), "signed")
+def _linked(signed: DataFrame, blocks: int, tile: int) -> DataFrame:
+    """``node`` and ``component`` of the numbers of all documents that verified links join with others."""
     forest = _entries(signed, blocks, tile).groupBy("block").applyInArrow(_survivors, "a bigint, b bigint")
     groups = components(forest, "a", "b")
-
-    held = signed.where("raw IS NOT NULL").select("ref", "raw").join(groups, F.col("ref") == F.col("node"))
+    texts = signed.where("keys IS NOT NULL").select("ref", "raw")
+    held = texts.join(groups, F.col("ref") == F.col("node"))
     counts = groups.groupBy(F.col("component").alias("of")).agg(F.ceil(F.count("node") / tile).cast("bigint").alias("tiles"))
     held = held.join(counts, F.col("component") == F.col("of"))
     own = F.pmod(F.xxhash64("ref"), F.col("tiles"))
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: F.struct(F.least(own, i).alias("i"), F.greatest(own, i).alias("j")))
     held = held.select("ref", "raw", "component", F.explode(pair).alias("pair")).select("ref", "raw", F.xxhash64("component", "pair.i", "pair.j").alias("part"))
-    total = signed.agg(F.sum(F.octet_length("raw").cast("bigint"))).first()[0] or 0
+    total = texts.agg(F.sum(F.octet_length("raw").cast("bigint"))).first()[0] or 0
     buckets = max(1, -(-total // VERIFIED_BYTES))
     held = held.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)))
-    links = held.groupBy("bucket").applyInArrow(_verified, "a bigint, b bigint")
-    joined = components(links, "a", "b")
+    return components(held.groupBy("bucket").applyInArrow(_verified, "a bigint, b bigint"), "a", "b")
+
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """The columns of ``docs`` but ``text`` as ``row``, with ``n_shingles``, ``class_low`` and ``class_high`` (the name of the set, null if
+    empty) and ``component_id``: the smallest id that links reach."""
+    dealt_docs, _, blocks = dealt(docs, id_col, text)
+    signed = written(_signed(dealt_docs, blocks, False), "signed")
+    joined = _linked(signed, blocks, tile)
     # The name of a class is enough to find its component; the smallest ids are summed up before they are spread.
     classes = signed.where("low IS NOT NULL").groupBy("low", "high").agg(F.min(F.col("row").getField(id_col)).alias("least"), F.max("ref").alias("ref"))
     classes = classes.join(joined, F.col("ref") == F.col("node"), "left").withColumn("of", F.coalesce("component", "ref"))
@@ -427,6 +430,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named = written(classes.join(least, "of").select("class_low", "class_high", "component_id"), "named")
     same = (F.col("low") == F.col("class_low")) & (F.col("high") == F.col("class_high"))
     component = F.when(F.col("low").isNull(), F.col("row").getField(id_col)).otherwise(F.col("component_id"))
-    return signed.select("row", "size", "low", "high", "stands").join(named, same, "left").select(
-        "row", F.col("size").alias("n_shingles"), F.col("low").alias("class_low"), F.col("high").alias("class_high"), component.alias("component_id")
-    )
+    found = signed.select("row", "size", "low", "high").join(named, same, "left")
+    return found.select("row", F.col("size").alias("n_shingles"), F.col("low").alias("class_low"), F.col("high").alias("class_high"), component.alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """``docs`` with one document of each group of equal or linked sets; all documents of the empty set stay.
+
+    A class's own document is known when the rows are written, so only documents that share keys with others meet the links.
+    """
+    dealt_docs, _, blocks = dealt(docs, id_col, text)
+    signed = written(_signed(dealt_docs, blocks, True), "signed")
+    joined = _linked(signed, blocks, tile)
+    alone = signed.where("low IS NULL OR (stands AND keys IS NULL)").select("row", "raw")
+    met = signed.where("keys IS NOT NULL").select("row", "raw", "ref").join(joined.where("node != component"), F.col("ref") == F.col("node"), "left_anti")
+    kept = alone.unionByName(met.select("row", "raw"))
+    return kept.select(*[F.col("raw").cast("string").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

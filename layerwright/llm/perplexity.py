@@ -11,7 +11,7 @@ A text is rejected for its perplexity if the logarithm lies more than ``SPREADS`
 as standard deviations) from its language's median, and more than ``LEAST_BAND``: texts that mix languages, or bear the wrong one, are no junk. Languages of fewer than ``ENOUGH`` scored texts reject none.
 
 Defined cases: null texts have no words, null languages count as one language of their own; texts without words have no
-perplexity; repeated rows count each; an empty table gives no rows; extra columns pass through, clashing result names get an underscore.
+perplexity; repeated rows count each; an empty table gives no rows; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .hashing import Words, grouped, mixed, words_of
 from .shared import free_name, written
@@ -205,13 +205,14 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
     return tuple(float(min(max(d, 0.1), i + 0.9)) for i, d in enumerate(raw))
 
 
-def score(docs: DataFrame, model: Model, lang: str = "lang", text: str = "text") -> DataFrame:
-    """``docs`` with the counted features and ``log_perplexity`` (null without words), each where it is read."""
+def score(docs: DataFrame, model: Model, lang: str = "lang", text: str = "text", into: str = "quality") -> DataFrame:
+    """``docs`` with a struct ``into`` (a free name): the counted features and ``log_perplexity`` (null without words). Rows are scored
+    where they are read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [free_name(docs, f) for f in (*FEATURES, "log_perplexity")]
     of_lang, raw_text = free_name(docs, "_lang"), free_name(docs, "_raw")
     plain = docs.withColumns({of_lang: _language(F.col(lang)), raw_text: F.col(text).cast("string").cast("binary")})
-    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names[:-1]), StructField(names[-1], DoubleType())])
+    kind = StructType([*(StructField(f, LongType()) for f in FEATURES), StructField("log_perplexity", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(into, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,25 +233,31 @@ def score(docs: DataFrame, model: Model, lang: str = "lang", text: str = "text")
                 n_symbols = total(symbols)
                 mean = total(surprise) / np.maximum(n_symbols, 1)
                 part = batch.slice(some.start, some.stop - some.start)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-2], *(pa.array(found[f], pa.int64()) for f in FEATURES), pa.array(mean, pa.float64(), mask=n_symbols == 0)],
-                    names=schema.names,
-                )
+                values = [*(pa.array(found[f], pa.int64()) for f in FEATURES), pa.array(mean, pa.float64(), mask=n_symbols == 0)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.StructArray.from_arrays(values, names=kind.names)], names=schema.names)
 
     return plain.mapInArrow(run, schema)
 
 
-def judged(scored: DataFrame, lang: str = "lang") -> DataFrame:
-    """Adds ``base_failed`` and ``kept`` to what ``score`` gives; reads it twice."""
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    language = _language(F.col(lang))
-    at = F.percentile_approx("log_perplexity", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), 10_000)
-    bands = scored.where(~failed).groupBy(language.alias("__of")).agg(at.alias("q"), F.count("log_perplexity").alias("n"))
+def judged(scored: DataFrame, lang: str = "lang", into: str = "quality") -> DataFrame:
+    """Adds ``base_failed`` and ``kept`` to the struct that ``score`` gives; reads ``scored`` twice."""
+    value = lambda name: F.col(into)[name]
+    failed = (value("n_words") < 50) | (100 * value("n_repeat_words") > 50 * value("n_words"))
+    at = F.percentile_approx(value("log_perplexity"), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.lit(10_000))
+    bands = scored.where(~failed).groupBy(_language(F.col(lang)).alias("of")).agg(at.alias("q"), F.count(value("log_perplexity")).alias("n"))
     reach = F.greatest(F.lit(LEAST_BAND), F.lit(SPREADS) * (F.col("q")[2] - F.col("q")[0]) / 2.563)
-    bands = bands.where(F.col("n") >= ENOUGH).select("__of", (F.col("q")[1] - reach).alias("__low"), (F.col("q")[1] + reach).alias("__high"))
-    bands = written(bands, "bands")
+    band = F.struct((F.col("q")[1] - reach).alias("low"), (F.col("q")[1] + reach).alias("high"))
+    own, found = free_name(scored, "_of"), free_name(scored, "_band")
+    bands = written(bands.where(F.col("n") >= ENOUGH).select(F.col("of").alias(own), band.alias(found)), "bands")
     if bands.count() <= FEW:
         bands = F.broadcast(bands)
-    outside = F.coalesce((F.col("log_perplexity") < F.col("__low")) | (F.col("log_perplexity") > F.col("__high")), F.lit(False))
-    joined = scored.join(bands, language == F.col("__of"), "left")
-    return joined.withColumns({"base_failed": failed, "kept": ~failed & ~outside}).drop("__of", "__low", "__high")
+    outside = (value("log_perplexity") < F.col(found)["low"]) | (value("log_perplexity") > F.col(found)["high"])
+    joined = scored.join(bands, _language(scored[lang]) == bands[own], "left")
+    verdict = F.col(into).withField("base_failed", failed).withField("kept", ~failed & ~F.coalesce(outside, F.lit(False)))
+    return joined.withColumn(into, verdict).drop(own, found)
+
+
+def assess(docs: DataFrame, lang: str = "lang", text: str = "text", into: str = "quality", drop_text: bool = False) -> DataFrame:
+    """Fits the model on ``docs``, scores them, writes the scored rows to the shared folder and judges them."""
+    scored = score(docs, fit(docs, lang, text), lang, text, into)
+    return judged(written(scored.drop(text) if drop_text else scored, "scored"), lang, into)
