@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bytes of text handled at once; a longer text is handled alone.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 _random = np.random.default_rng(20260101)
 _BYTE = _random.integers(1, 1 << 63, 256, dtype="uint64")
 _LOWER = np.arange(256, dtype="uint8")
@@ -96,11 +96,11 @@ def words_of(texts: list[bytes | None], lower: bool = False) -> Words:
     return Words(raw, starts, ends, np.searchsorted(starts, begin), hashes)
 
 
-def grouped(texts: list[bytes | None]) -> Iterator[slice]:
-    """Slices of ``texts`` of about ``AT_ONCE`` bytes."""
+def grouped(texts: list[bytes | None], at_once: int = AT_ONCE) -> Iterator[slice]:
+    """Slices of ``texts`` of about ``at_once`` bytes."""
     start = total = 0
     for i, t in enumerate(texts):
-        if total and total + len(t or b"") > AT_ONCE:
+        if total and total + len(t or b"") > at_once:
             yield slice(start, i)
             start, total = i, 0
         total += len(t or b"") + 1

@@ -22,8 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import grouped
 from .shared import free_name, written
-from .words_bpe import tokenizer
+from .words_bpe import TEXT_AT_ONCE, tokenizer
 
 #: Full bins that one packing task is to hold: wide enough to fit well, small enough for a task's memory.
 BINS_A_TASK = 2048
@@ -38,9 +39,10 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode
         for whole in batches:
-            for a in range(0, whole.num_rows, 1024):
-                batch = whole.slice(a, 1024)
-                all_ids = [i + end for i in encode(batch.column(1).to_pylist())]
+            texts = whole.column(1).to_pylist()
+            for some in grouped(texts, TEXT_AT_ONCE):
+                batch = whole.slice(some.start, some.stop - some.start)
+                all_ids = [i + end for i in encode(texts[some])]
                 cuts = [(row, at) for row, ids in enumerate(all_ids) for at in range(0, len(ids), step)]
                 parts = [all_ids[row][at : at + step] for row, at in cuts]
                 yield pa.RecordBatch.from_arrays(
@@ -55,7 +57,7 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str
                     names=[id_col, "piece", "start", "length", "ids", "ids_crc32"],
                 )
 
-    return docs.select(F.col(id_col), F.col(text).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text).cast("string").cast("binary")).mapInArrow(run, schema)
 
 
 class OpenBins:

@@ -1,45 +1,119 @@
 """Token ids of the word-end BPE vocabulary, word by word.
 
-The vocabulary's own pipeline (composition, lower case, splitting) never looks across a space or a
-line feed, so a text's ids are the ids of the parts between them. Parts that a worker has met keep
-their ids; new ones go through the ``tokenizers`` library together.
+The vocabulary's own pipeline (composition, lower case, splitting) never looks across white space, so a text's
+ids are the ids of the parts between spaces and U+0009 to U+000D. The distinct parts of some megabytes of text are looked up
+once, and their ids are laid out for all texts together. Parts that a worker has met keep their ids. A new part of plain letters, digits and signs is split as the vocabulary splits it, and only words
+not met before go through the ``tokenizers`` library, many in one call: each word's last token bears the
+vocabulary's mark for a word's end. Any other part goes through the library as it is.
 """
 
 from __future__ import annotations
 
 import functools
+import os
+import re
+from collections.abc import Iterable
 
 import numpy as np
 
-#: Parts whose ids a worker keeps; when full, the table starts anew.
-KEPT_PARTS = 400_000
+from .hashing import grouped, words_of
+
+#: Parts, and words, whose ids a worker has at hand: those of the last this many met, and of as many before.
+KEPT = 300_000
+#: Parts or words in one call; bytes of text whose parts are looked up together.
+AT_ONCE, TEXT_AT_ONCE = 4096, 4 << 20
+#: Characters that composition leaves alone and whose lower case is one character.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The vocabulary's words among them, in lower case.
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+END = "</w>"
+
+
+class Recent:
+    """Values of keys met lately: when the new ones are full, they become the old ones, whose values come back if met again."""
+
+    def __init__(self):
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: Iterable) -> list:
+        """Keys without a value; the values of all others are in ``new`` afterwards."""
+        if len(self.new) > KEPT:
+            self.old, self.new = self.new, {}
+        new, old, out = self.new, self.old, []
+        for k in keys:
+            if k not in new:
+                if k in old:
+                    new[k] = old[k]
+                else:
+                    out.append(k)
+        return out
 
 
 class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, no ids added; null as empty."""
-        parts = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        known = self.known
-        missing = list({p for each in parts for p in each if p not in known})
-        if len(known) + len(missing) > KEPT_PARTS:
-            known = self.known = {"": b""}
-            missing = list({p for each in parts for p in each if p})
-        for a in range(0, len(missing), 4096):
-            some = missing[a : a + 4096]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[part] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in each]) for each in parts]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(END)]] = True
+        self.parts, self.words = Recent(), Recent()
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        for a in range(0, len(words), AT_ONCE):
+            some = words[a : a + AT_ONCE]
+            ids = self._library([" ".join(some)])[0]
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(some):
+                raise ValueError("a word does not end in one token with the end mark")
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(some, ends, strict=True):
+                self.words.new[word] = raw[4 * start : 4 * end]
+                start = end
+
+    def _learn(self, parts: list[bytes]) -> None:
+        plain, other = {}, []
+        for raw in parts:
+            p = raw.decode()
+            if PLAIN.fullmatch(p) and "<|" not in p:
+                plain[raw] = WORDS.findall(p.lower())
+            else:
+                other.append(p)
+        self._learn_words(self.words.missing({w for words in plain.values() for w in words}))
+        known, learned = self.words.new, self.parts.new
+        for raw, words in plain.items():
+            learned[raw] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+        for a in range(0, len(other), AT_ONCE):
+            for p, ids in zip(other[a : a + AT_ONCE], self._library(other[a : a + AT_ONCE]), strict=True):
+                learned[p.encode()] = ids.tobytes()
+
+    def _group(self, texts: list[bytes | None]) -> list[bytes]:
+        words = words_of(texts)
+        _, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
+        raw = words.raw.tobytes()
+        parts = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
+        self._learn(self.parts.missing(parts))
+        ids = list(map(self.parts.new.__getitem__, parts))
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), "int64", len(ids)) // 4
+        begin, n = np.cumsum(size) - size, size[back]
+        ends = np.cumsum(n)
+        at = np.repeat(begin[back] - (ends - n), n) + np.arange(n.sum())
+        laid = flat[at].tobytes()
+        cuts = (4 * np.concatenate([[0], ends])[words.first]).tolist()
+        return [laid[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers, no ids added; null as empty."""
+        return [ids for some in grouped(texts, TEXT_AT_ONCE) for ids in self._group(texts[some])]
 
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    """The tokenizer of this worker; known words outlive a task."""
     return WordTokenizer(path)

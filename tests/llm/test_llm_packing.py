@@ -11,13 +11,13 @@ from tokenizers import Tokenizer
 from layerwright.llm import packing, words_bpe
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-BITS = [" ", "\n", "\t", "́", "e", "İ", "Σ", "ς", "ß", "'s", "'LL", "don't", "L'été", "12", "日", "<|endoftext|>", "<|", "\0", "…", "ﬁ", "K", "('tis", "--", "ÿ", "ª"]
+BITS = [" ", "\n", "\t", "\v", "\f", "\r", "\x1c", "\x85", "\u2028", "\u3000", "́", "e", "İ", "Σ", "ς", "ß", "'s", "'LL", "don't", "L'été", "12", "日", "<|endoftext|>", "<|", "\0", "…", "ﬁ", "K", "('tis", "--", "ÿ", "ª"]
 
 
 def test_ids_like_the_library():
     rng, library = random.Random(5), Tokenizer.from_file(PATH)
     texts = ["".join(rng.choice(BITS) for _ in range(rng.randint(0, 10))) for _ in range(5000)] + [r[1] for r in llmdata.documents()]
-    for text, ids in zip(texts, words_bpe.tokenizer(PATH).encode(texts), strict=True):
+    for text, ids in zip(texts, words_bpe.tokenizer(PATH).encode([t and t.encode() for t in texts]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, text
 
 
@@ -26,7 +26,7 @@ def test_small_tables_of_known_words(monkeypatch):
     monkeypatch.setattr(words_bpe, "AT_ONCE", 3)
     tokens, library = words_bpe.WordTokenizer(PATH), Tokenizer.from_file(PATH)
     for r in llmdata.documents(7, 5):
-        assert np.frombuffer(tokens.encode([r[1]])[0], "<u4").tolist() == library.encode(r[1] or "", add_special_tokens=False).ids
+        assert np.frombuffer(tokens.encode([r[1] and r[1].encode()])[0], "<u4").tolist() == library.encode(r[1] or "", add_special_tokens=False).ids
 
 
 def check_places(rows, size):
