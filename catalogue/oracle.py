@@ -104,9 +104,10 @@ CTES = {
         SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY ano, id_aluno
           ORDER BY {FIRST_BY}) AS nth FROM student) WHERE nth = 1""",
     "place": """
-        SELECT CAST(nullif(n_nationkey, 24) AS BIGINT) AS id_municipio, n_name AS nome_municipio,
-          upper(left(r_name, 2)) AS sigla_uf
+        SELECT CAST(CASE n_nationkey WHEN 24 THEN 999 ELSE n_nationkey END AS BIGINT) AS id_municipio,
+          n_name AS nome_municipio, upper(left(r_name, 2)) AS sigla_uf
         FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "raw_map": "SELECT id_municipio, nome_municipio, lower(sigla_uf) AS sigla_uf FROM place",
     "area_sums": f"""
         SELECT ano, id_municipio, rede, count(*) AS students, CAST(sum(presenca) AS BIGINT) AS present,
           CAST(sum(alfabetizado) AS BIGINT) AS literate, sum(proficiencia) AS score,

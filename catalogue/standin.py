@@ -21,6 +21,7 @@ from layerwright.sources import stage
 PACK = entities(id_type="bigint")
 LITERATE_FROM = 743
 OWN_ROWS = ("avaliacao_aluno", "mapeamento_municipio")
+UNKNOWN_PLACE = 999
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +62,10 @@ def raw_students(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Municipality names and states, padded; nation 24 loses its id, so its schools go unmatched."""
+    """Municipality names and states, padded; nation 24 gets an id that no school has, so its schools go unmatched."""
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return nations.join(regions, nations.n_regionkey == regions.r_regionkey).select(
-        F.nullif("n_nationkey", F.lit(24)).cast("bigint").alias("id_municipio"),
+        F.when(F.col("n_nationkey") == 24, F.lit(UNKNOWN_PLACE)).otherwise(F.col("n_nationkey")).cast("bigint").alias("id_municipio"),
         F.concat(F.lit(" "), "n_name", F.lit(" ")).alias("nome_municipio"),
         _state_code().alias("sigla_uf"),
     )

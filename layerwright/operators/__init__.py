@@ -1,8 +1,7 @@
 """Operators: functions from DataFrames to DataFrames that know nothing of a domain."""
 
 from layerwright.operators.conform import conform, select_by_prefix
-from layerwright.operators.dedup import dedup_by_key, duplicate_report, find_repeats, first_per_key
-from layerwright.operators.filling import fill_numbers, fill_texts
+from layerwright.operators.dedup import dedup_by_key, find_repeats, first_per_key
 from layerwright.operators.groups import group_means, share_of_total, with_group_mean, with_target_gap
 from layerwright.operators.lineage import RunStamp, add_lineage
 from layerwright.operators.lookup import lookup_join, measure
@@ -14,10 +13,7 @@ __all__ = [
     "add_lineage",
     "conform",
     "dedup_by_key",
-    "duplicate_report",
     "evaluate",
-    "fill_numbers",
-    "fill_texts",
     "find_repeats",
     "first_per_key",
     "gate",

@@ -12,23 +12,6 @@ from layerwright.sources.workspace import Staged, stage
 Key = tuple[str, ...]
 
 
-def duplicate_report(df: DataFrame, key: Key, table: str) -> DataFrame:
-    """One row: rows, distinct keys (a NULL key counts once) and the difference.
-
-    Only the key columns are read, and each task sends one row per key it saw.
-    """
-    per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    return per_key.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-        F.count(F.lit(1)).alias("distinct_keys"),
-    ).select(
-        F.lit(table).alias("table_name"),
-        "total_rows",
-        "distinct_keys",
-        (F.col("total_rows") - F.col("distinct_keys")).alias("duplicates"),
-    )
-
-
 @dataclass(frozen=True)
 class Repeats:
     """Row and key counts of a table, and the keys that occur more than once."""

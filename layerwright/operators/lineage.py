@@ -41,15 +41,16 @@ class RunStamp:
 # Names of the lineage and partition columns.
 SOURCE_FILE = "_source_file"
 BRONZE_PARTITION = ("_ing_ano", "_ing_mes")
+BATCH = "_batch"
 SILVER_PARTITION = ("_proc_ano", "_proc_mes")
 SILVER_TIME = "_silver_processed_at"
 GOLD_TIME = "_gold_processed_at"
 
 
 def add_lineage(
-    df: DataFrame, entity: str, stamp: RunStamp, null_safe_hash: bool = False
+    df: DataFrame, entity: str, stamp: RunStamp, null_safe_hash: bool = True
 ) -> DataFrame:
-    """Add when, from which file and for which entity a raw row came in, and its hash.
+    """Add when, from which file and for which entity a raw row came in, and the hash of its values.
 
     ``df`` must come from files, with nothing but projections and filters in between, or hold the
     file in ``_source_file`` already.

@@ -6,12 +6,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from layerwright.sources.workspace import Staged, size_columns, stage
 
 MAX_BROADCAST = "spark.layerwright.maxBroadcastBytes"
 DEFAULT_MAX_BROADCAST = 64 * 1024 * 1024
 ROWS = "_rows_of_key"
+FINE = 16
 
 
 def broadcast_limit(spark: SparkSession) -> int:
@@ -55,13 +57,19 @@ def stage_row_counts(per_key: DataFrame, name: str) -> Staged:
 def _crowded_keys(counts: Staged, on: tuple[str, ...]) -> DataFrame:
     """Keys with more rows than an even shuffle partition holds, and how many pieces to cut each into.
 
-    With P shuffle partitions there are fewer than P such keys and fewer than 2P pieces, whatever
-    the data: a bound that makes them safe to broadcast.
+    With P shuffle partitions there are fewer than P such keys and at most ``FINE`` * 2P pieces,
+    whatever the data: a bound that makes them safe to broadcast. Pieces are smaller than an even
+    partition, as several may meet in one.
     """
     parts = int(counts.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     even = max(1.0, counts.metrics[ROWS] / parts)
     crowded = counts.df.where(F.col(ROWS) > even)
-    return crowded.select(*on, F.ceil(F.col(ROWS) / even).cast("int").alias("_pieces"))
+    return crowded.select(*on, F.ceil(F.col(ROWS) * FINE / even).cast("int").alias("_pieces"))
+
+
+def _position() -> Column:
+    """Place of a row in its task. Tasks number their rows from 0 above the 33rd bit."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + F.spark_partition_id()
 
 
 def split_join(
@@ -70,16 +78,20 @@ def split_join(
     """Shuffle join in which rows of a crowded key are dealt out over several pieces, each of which
     meets its own copy of the key's table rows. ``counts`` holds the rows of each key.
 
-    The piece is the id of the task that reads the row: identical copies spread as well as
-    others, and a retried task deals its rows as before. NULL keys are dealt out too.
+    The rows of crowded keys are sorted inside each task, by all their columns, and dealt out in that
+    order: a task spreads its rows however few tasks there are, copies as well as others, and a
+    retried task, whatever order its rows come in, deals them as before. NULL keys are dealt out too.
     """
     crowded = F.broadcast(prefixed(_crowded_keys(counts, on), on, "_c_"))
     same_as_crowded = matches(on, "_c_", null_safe=True)
     helpers = [f"_c_{k}" for k in on] + ["_pieces"]
+    sortable = [F.col(f.name) for f in rows.schema.fields if not isinstance(f.dataType, MapType)]
     dealt = (
         rows.join(crowded, same_as_crowded, "left")
-        .withColumn("_piece", F.coalesce(F.pmod(F.spark_partition_id(), "_pieces"), F.lit(0)))
-        .drop(*helpers)
+        .sortWithinPartitions(F.when(F.col("_pieces").isNotNull(), F.struct(*sortable)))
+        .withColumn("_place", _position())
+        .withColumn("_piece", F.coalesce(F.pmod("_place", "_pieces"), F.lit(0)))
+        .drop(*helpers, "_place")
     )
     last = F.coalesce(F.col("_pieces") - 1, F.lit(0))
     copied = (

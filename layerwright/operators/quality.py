@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from layerwright.functions import count_where, parse
+from layerwright.sources.landing import UNPARSED
 from layerwright.sources.workspace import Staged
 from layerwright.spec import Rule
 
@@ -48,8 +49,10 @@ def _counter(df: DataFrame, rule: Rule) -> Column:
     """The aggregate that measures a rule other than unique; NULL if its column is missing."""
     if rule.kind == "min_count":
         return F.count(F.lit(1))
-    if rule.column not in df.columns:
+    if rule.column not in df.columns or (rule.kind == "parsed" and UNPARSED not in df.columns):
         return F.lit(None).cast("bigint")
+    if rule.kind == "parsed":
+        return count_where(F.coalesce(F.map_contains_key(UNPARSED, rule.column), F.lit(False)))
     if rule.kind == "not_null":
         return count_where(F.col(rule.column).isNull())
     if rule.kind == "range":

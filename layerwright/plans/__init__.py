@@ -1,4 +1,11 @@
-from layerwright.plans.facts import area_dimension, area_target_fact, state_target_fact, student_fact
+from layerwright.plans.facts import (
+    area_dimension,
+    area_target_fact,
+    area_target_rows,
+    state_target_fact,
+    state_target_rows,
+    student_fact,
+)
 from layerwright.plans.marts import (
     area_targets,
     level_distribution,
@@ -14,6 +21,7 @@ __all__ = [
     "TableRun",
     "area_dimension",
     "area_target_fact",
+    "area_target_rows",
     "area_targets",
     "level_distribution",
     "report_frame",
@@ -22,6 +30,7 @@ __all__ = [
     "run_silver",
     "school_statistics",
     "state_target_fact",
+    "state_target_rows",
     "state_targets",
     "student_fact",
     "student_features",

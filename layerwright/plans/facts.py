@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from layerwright.functions import fill_number, fill_text
+from layerwright.functions import count_where, fill_number, fill_text
 from layerwright.literacy import NOT_FOUND, SHARE_PREFIX, TARGETS
 from layerwright.operators.conform import select_by_prefix
 from layerwright.operators.lookup import lookup_join, measure
 
 Tables = dict[str, DataFrame]
+LOST = "_lost"
 
 
 def _measures(df: DataFrame, keys: tuple[str, ...], **names: str) -> DataFrame:
@@ -78,8 +79,17 @@ def area_dimension(tables: Tables) -> DataFrame:
     return select_by_prefix(_known_place(placed), kept, SHARE_PREFIX)
 
 
-def area_target_fact(tables: Tables, dimension: DataFrame | None = None) -> DataFrame:
-    """Municipality targets next to actual rates (a row per network) and the state's rates."""
+def _kept(rows: DataFrame, reasons: dict[str, Column], seen: Observation | None) -> DataFrame:
+    """The rows to which no reason applies. ``seen`` counts the others by the first reason that does."""
+    reason = F.coalesce(*(F.when(c, F.lit(name)) for name, c in reasons.items()))
+    flagged = rows.withColumn(LOST, reason)
+    if seen:
+        flagged = flagged.observe(seen, *(count_where(F.col(LOST) == name).alias(name) for name in reasons))
+    return flagged
+
+
+def area_target_rows(tables: Tables, dimension: DataFrame | None = None, seen: Observation | None = None) -> DataFrame:
+    """Indicator rows with their targets, and in ``LOST`` why the fact does not hold the row, if so."""
     dimension = area_dimension(tables) if dimension is None else dimension
     keys = ("ano", "id_municipio")
     target = _measures(
@@ -89,10 +99,21 @@ def area_target_fact(tables: Tables, dimension: DataFrame | None = None) -> Data
         taxa_alfabetizacao_municipal="taxa_alfabetizacao",
         percentual_participacao_municipal="percentual_participacao",
         **{c: c for c in TARGETS.values()},
-    )
+    ).withColumn("_target", F.lit(True))
     actual = dimension.select(*keys, "nome_municipio", "sigla_uf", "rede", "taxa_alfabetizacao")
-    state = _state_rates(tables["meta_uf"])
-    placed = _with_lookups(actual, (target, keys), (state, ("ano", "sigla_uf")), how="inner")
+    state = _state_rates(tables["meta_uf"]).withColumn("_state", F.lit(True))
+    placed = _with_lookups(actual, (target, keys), (state, ("ano", "sigla_uf")), how="left")
+    reasons = {
+        "no state": F.col("sigla_uf") == NOT_FOUND,
+        "no state target": F.col("_state").isNull(),
+        "no target": F.col("_target").isNull(),
+    }
+    return _kept(placed, reasons, seen)
+
+
+def area_target_fact(tables: Tables, dimension: DataFrame | None = None, seen: Observation | None = None) -> DataFrame:
+    """Municipality targets next to actual rates (a row per network) and the state's rates."""
+    placed = area_target_rows(tables, dimension, seen).where(F.col(LOST).isNull())
     return placed.select(
         "nome_municipio",
         "sigla_uf",
@@ -118,17 +139,24 @@ def _state_rates(targets: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def state_target_fact(tables: Tables) -> DataFrame:
-    """State targets next to actual rates (a row per network) and the national rates."""
-    target = _state_rates(tables["meta_uf"], *TARGETS.values())
+def state_target_rows(tables: Tables, seen: Observation | None = None) -> DataFrame:
+    """State indicator rows with their targets, and in ``LOST`` why the fact does not hold the row, if so."""
+    target = _state_rates(tables["meta_uf"], *TARGETS.values()).withColumn("_target", F.lit(True))
     actual = tables["uf"].select("ano", "sigla_uf", "rede", "taxa_alfabetizacao")
     nation = _measures(
         tables["meta_brasil"],
         ("ano",),
         taxa_alfabetizacao_nacional="taxa_alfabetizacao",
         percentual_participacao_nacional="percentual_participacao",
-    )
-    placed = _with_lookups(actual, (target, ("ano", "sigla_uf")), (nation, ("ano",)), how="inner")
+    ).withColumn("_nation", F.lit(True))
+    placed = _with_lookups(actual, (target, ("ano", "sigla_uf")), (nation, ("ano",)), how="left")
+    reasons = {"no target": F.col("_target").isNull(), "no national target": F.col("_nation").isNull()}
+    return _kept(placed, reasons, seen)
+
+
+def state_target_fact(tables: Tables, seen: Observation | None = None) -> DataFrame:
+    """State targets next to actual rates (a row per network) and the national rates."""
+    placed = state_target_rows(tables, seen).where(F.col(LOST).isNull())
     return placed.select(
         "sigla_uf",
         "ano",

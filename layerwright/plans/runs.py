@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from layerwright.functions import count_where
@@ -13,6 +14,7 @@ from layerwright.literacy import FACT_RULES, MART_RULES, NOT_FOUND, entities
 from layerwright.operators.conform import conform
 from layerwright.operators.dedup import dedup_by_key, find_repeats
 from layerwright.operators.lineage import (
+    BATCH,
     BRONZE_PARTITION,
     GOLD_TIME,
     SILVER_PARTITION,
@@ -23,14 +25,16 @@ from layerwright.operators.lineage import (
 from layerwright.operators.quality import Outcome, counters, evaluate
 from layerwright.plans import facts as fact_plans
 from layerwright.plans import marts as mart_plans
-from layerwright.sources.landing import read_landing
+from layerwright.sources.landing import read_landing, read_text, typed
 from layerwright.sources.layers import read_partition, write_partitioned
-from layerwright.sources.workspace import Staged, stage
+from layerwright.sources.workspace import Staged, stage, staging
 from layerwright.spec import Entity
 
+# The batch that a bronze run writes, beside those of a stream.
+RUN = "run"
 REPORT_SCHEMA = (
     "layer string, table_name string, status string, row_count bigint, duplicates bigint,"
-    " unmatched bigint, message string"
+    " unmatched bigint, unparsed bigint, message string"
 )
 
 
@@ -46,7 +50,11 @@ class Layout:
 
 @dataclass(frozen=True)
 class TableRun:
-    """What a run did with one table. Status is read, written, failed or withheld."""
+    """What a run did with one table. Status is read, written, failed or withheld.
+
+    ``unmatched`` counts rows that found no partner in a lookup; ``unparsed`` counts values whose text
+    did not fit their type. The message says which, or why the table failed.
+    """
 
     layer: str
     table: str
@@ -54,6 +62,7 @@ class TableRun:
     rows: int | None = None
     duplicates: int | None = None
     unmatched: int | None = None
+    unparsed: int | None = None
     message: str | None = None
 
 
@@ -67,7 +76,9 @@ class RunFailed(Exception):
 
 def report_frame(spark: SparkSession, runs: list[TableRun]) -> DataFrame:
     """The run report, one row per table."""
-    rows = [(r.layer, r.table, r.status, r.rows, r.duplicates, r.unmatched, r.message) for r in runs]
+    rows = [
+        (r.layer, r.table, r.status, r.rows, r.duplicates, r.unmatched, r.unparsed, r.message) for r in runs
+    ]
     return spark.createDataFrame(rows, REPORT_SCHEMA)
 
 
@@ -75,30 +86,75 @@ def _failures(outcomes: list[Outcome]) -> str:
     return "; ".join(f"{o.rule} measured {o.measured}" for o in outcomes if not o.passed)
 
 
-def _require(layer: str, outcomes: dict[str, list[Outcome]]) -> None:
+def _require(layer: str, outcomes: dict[str, list[Outcome]], done: list[TableRun] = ()) -> None:
     """Raise before anything is written if any table of the layer fails a rule."""
     messages = {table: _failures(found) for table, found in outcomes.items()}
     if any(messages.values()):
         raise RunFailed(
             [
-                TableRun(layer, t, "failed" if text else "withheld", message=text or None)
-                for t, text in messages.items()
+                *done,
+                *(TableRun(layer, t, "failed" if text else "withheld", message=text or None)
+                for t, text in messages.items()),
             ]
         )
 
 
+def _attempt(layer: str, work: Callable, names: Iterable[str]) -> tuple[dict, list[TableRun]]:
+    """``work`` for each table, side by side: what it gave for those that went well, and the failures."""
+
+    def one(name: str):
+        try:
+            return work(name), None
+        except RunFailed as failure:
+            return None, failure.runs[0]
+        except Exception as error:  # recorded here, raised with the report
+            return None, TableRun(layer, name, "failed", message=str(error) or type(error).__name__)
+
+    found = side_by_side(one, names)
+    return {n: r for n, (r, failed) in found.items() if failed is None}, [f for _, f in found.values() if f]
+
+
+def _stop_on(failed: list[TableRun], layer: str, names: Iterable[str], done: list[TableRun] = ()) -> None:
+    """Raise with a status for every table if any failed; those not done are withheld."""
+    if failed:
+        known = {r.table for r in (*done, *failed) if r.layer == layer}
+        rest = [TableRun(layer, n, "withheld") for n in names if n not in known]
+        raise RunFailed([*done, *failed, *rest])
+
+
+def _check(layer: str, tables: dict, rules: dict, done: list[TableRun] = ()) -> None:
+    """Raise before anything is written if any table fails a rule, or cannot be checked at all."""
+    try:
+        outcomes = evaluate({name: (t, rules[name]) for name, t in tables.items()})
+    except Exception:  # tell which table it was
+        outcomes, failed = _attempt(layer, lambda n: evaluate({n: (tables[n], rules[n])})[n], tables)
+        _stop_on(failed, layer, tables, done)
+    _require(layer, outcomes, done)
+
+
 def _ingest(
-    spark: SparkSession, layout: Layout, entity: Entity, stamp: RunStamp, infer: bool, null_safe: bool
+    spark: SparkSession, layout: Layout, entity: Entity, stamp: RunStamp, infer: bool, null_safe: bool, unparsed: str
 ) -> TableRun:
-    """Parse the files once, into a staged table that is checked and then published."""
-    raw = read_landing(spark, f"{layout.landing}/{entity.name}", entity.raw_types, infer)
-    bronze = add_lineage(raw, entity.name, stamp, null_safe)
-    staged = stage(bronze, entity.name, counters(bronze, entity.rules))
-    _require("bronze", evaluate({entity.name: (staged, entity.rules)}))
+    """Parse the files once, into a staged table that is checked and then published.
+
+    The hash is of the text as it came. Text that does not fit its type stays in the table beside
+    the NULL it became, and is counted by column.
+    """
+    folder = f"{layout.landing}/{entity.name}"
+    raw = read_landing(spark, folder, infer=True) if infer else read_text(spark, folder)
+    lined = add_lineage(raw, entity.name, stamp, null_safe)
+    bronze = typed(lined, {} if infer else entity.raw_types, unparsed=True).withColumn(BATCH, F.lit(RUN))
+    rules = (*entity.rules, *entity.parse_rules(raw.columns))
+    staged = stage(bronze, entity.name, counters(bronze, rules))
+    outcomes = evaluate({entity.name: (staged, rules)})[entity.name]
+    lost = {o.rule.column: o.measured for o in outcomes if o.rule.kind == "parsed" and o.measured}
+    gated = [o for o in outcomes if unparsed == "fail" or o.rule.kind != "parsed"]
+    _require("bronze", {entity.name: gated})
     found = write_partitioned(
-        staged.df, f"{layout.bronze}/{entity.name}", BRONZE_PARTITION, keep_others=True
+        staged.df, f"{layout.bronze}/{entity.name}", (*BRONZE_PARTITION, BATCH), keep_others=True
     )
-    return TableRun("bronze", entity.name, "written", found["rows"])
+    told = "; ".join(f"{n} unparsed in {c}" for c, n in lost.items())
+    return TableRun("bronze", entity.name, "written", found["rows"], unparsed=sum(lost.values()), message=told or None)
 
 
 def run_bronze(
@@ -107,24 +163,25 @@ def run_bronze(
     stamp: RunStamp,
     pack: dict[str, Entity] | None = None,
     infer: bool = False,
-    null_safe_hash: bool = False,
+    null_safe_hash: bool = True,
+    unparsed: str = "fail",
 ) -> list[TableRun]:
-    """Land every entity in its bronze table, replacing this month's partition only.
+    """Land every entity in its bronze table, replacing what a run has written this month and nothing else.
 
-    An entity that fails leaves the others alone; the run raises at its end.
+    An entity that fails leaves the others alone; the run raises at its end. A value that does not
+    fit its declared type fails its entity; with ``unparsed="report"`` it is kept as text, counted and reported.
     """
+    if unparsed not in ("fail", "report"):
+        raise ValueError(f"unparsed must be 'fail' or 'report', not {unparsed!r}")
     pack = pack or entities()
-
-    def attempt(name: str) -> TableRun:
-        try:
-            return _ingest(spark, layout, pack[name], stamp, infer, null_safe_hash)
-        except Exception as error:  # recorded, and raised again below
-            return TableRun("bronze", name, "failed", message=str(error))
-
-    runs = list(side_by_side(attempt, pack).values())
-    if any(r.status == "failed" for r in runs):
-        raise RunFailed(runs)
-    return runs
+    with staging(spark):
+        done, failed = _attempt(
+            "bronze", lambda n: _ingest(spark, layout, pack[n], stamp, infer, null_safe_hash, unparsed), pack
+        )
+    if failed:
+        by_name = {r.table: r for r in (*done.values(), *failed)}
+        raise RunFailed([by_name[n] for n in pack])
+    return list(done.values())
 
 
 def _month(stamp: RunStamp, partition: tuple[str, str]) -> dict[str, int]:
@@ -134,11 +191,15 @@ def _month(stamp: RunStamp, partition: tuple[str, str]) -> dict[str, int]:
 def read_conformed(
     spark: SparkSession, layout: Layout, stamp: RunStamp, pack: dict[str, Entity]
 ) -> dict[str, DataFrame]:
+    """This month's bronze rows of every entity, conformed; an entity without any fails the run."""
     month = _month(stamp, BRONZE_PARTITION)
-    return {
-        name: conform(read_partition(spark, f"{layout.bronze}/{name}", **month), entity)
-        for name, entity in pack.items()
-    }
+
+    def read(name: str) -> DataFrame:
+        return conform(read_partition(spark, f"{layout.bronze}/{name}", **month), pack[name])
+
+    tables, failed = _attempt("silver", read, pack)
+    _stop_on(failed, "silver", pack)
+    return tables
 
 
 def without_duplicates(
@@ -159,12 +220,14 @@ def without_duplicates(
             df = stage(dedup_by_key(df, key, repeats), name).df
         return df, TableRun("silver", name, "read", repeats.total_rows, repeats.duplicates)
 
-    found = side_by_side(handle, tables)
-    return {n: df for n, (df, _) in found.items()}, [run for _, run in found.values()]
+    found, failed = _attempt("silver", handle, tables)
+    runs = [run for _, run in found.values()]
+    _stop_on(failed, "silver", tables, runs)
+    return {n: df for n, (df, _) in found.items()}, runs
 
 
-def _unmatched(column: str = "nome_municipio"):
-    return count_where(F.col(column) == NOT_FOUND)
+def _told(lost: dict[str, int]) -> str | None:
+    return "; ".join(f"{n} rows lost: {reason}" for reason, n in lost.items() if n) or None
 
 
 def run_silver(
@@ -176,33 +239,42 @@ def run_silver(
 ) -> list[TableRun]:
     """Build the facts from this month's bronze partitions: check all of them, then write.
 
-    ``unmatched`` counts students without a known municipality, and municipality indicator rows
-    that the target fact loses because their state is unknown.
+    ``unmatched`` counts students without a known municipality, and the indicator rows that a target
+    fact loses; the message gives the reasons. They are counted in the pass that checks the rules.
     """
     pack = pack or entities()
-    tables, runs = without_duplicates(read_conformed(spark, layout, stamp, pack), pack, dedup)
-    dimension = fact_plans.area_dimension(tables)
-    builders = {
-        "fct_avaliacao_aluno": lambda: fact_plans.student_fact(tables),
-        "fct_meta_municipio": lambda: fact_plans.area_target_fact(tables, dimension),
-        "fct_meta_uf": lambda: fact_plans.state_target_fact(tables),
-    }
-    facts = side_by_side(lambda name: builders[name](), builders)
-    _require("silver", evaluate({name: (df, FACT_RULES[name]) for name, df in facts.items()}))
-    lost = dimension.agg(_unmatched().alias("n")).first()["n"]
-
-    def publish(name: str) -> TableRun:
-        stamped = facts[name].withColumns(
-            {SILVER_TIME: stamp.timestamp(), **stamp.partition(*SILVER_PARTITION)}
-        )
-        placed = {"unmatched": _unmatched()} if name == "fct_avaliacao_aluno" else None
-        found = write_partitioned(
-            stamped, f"{layout.silver}/{name}", SILVER_PARTITION, keep_others=True, metrics=placed
-        )
-        unmatched = lost if name == "fct_meta_municipio" else found.get("unmatched")
-        return TableRun("silver", name, "written", found["rows"], unmatched=unmatched)
-
-    return runs + list(side_by_side(publish, facts).values())
+    with staging(spark):
+        tables, runs = without_duplicates(read_conformed(spark, layout, stamp, pack), pack, dedup)
+        area, state = Observation(), Observation()
+        builders = {
+            "fct_avaliacao_aluno": lambda: fact_plans.student_fact(tables),
+            "fct_meta_municipio": lambda: fact_plans.area_target_fact(tables, seen=area),
+            "fct_meta_uf": lambda: fact_plans.state_target_fact(tables, seen=state),
+        }
+        facts, failed = _attempt("silver", lambda n: builders[n](), builders)
+        _stop_on(failed, "silver", builders, runs)
+        _check("silver", facts, FACT_RULES, runs)
+        losses = {"fct_meta_municipio": dict(area.get), "fct_meta_uf": dict(state.get)}
+
+        def publish(name: str) -> TableRun:
+            stamped = facts[name].withColumns(
+                {SILVER_TIME: stamp.timestamp(), **stamp.partition(*SILVER_PARTITION)}
+            )
+            unplaced = {"unmatched": count_where(F.col("nome_municipio") == NOT_FOUND)}
+            found = write_partitioned(
+                stamped,
+                f"{layout.silver}/{name}",
+                SILVER_PARTITION,
+                keep_others=True,
+                metrics=None if name in losses else unplaced,
+            )
+            lost = losses.get(name, {})
+            unmatched = sum(lost.values()) if name in losses else found["unmatched"]
+            return TableRun("silver", name, "written", found["rows"], unmatched=unmatched, message=_told(lost))
+
+        written, failed = _attempt("silver", publish, facts)
+        _stop_on(failed, "silver", facts, [*runs, *written.values()])
+    return [*runs, *written.values()]
 
 
 def build_marts(facts: dict[str, DataFrame], missing_target: str = "zero") -> dict[str, DataFrame]:
@@ -216,8 +288,9 @@ def build_marts(facts: dict[str, DataFrame], missing_target: str = "zero") -> di
     }
 
 
-# Marts with a row per student. They move no rows, so checking and writing scan the fact twice;
-# staging, as for the aggregated marts, would write them twice instead.
+# Marts with a row per student: written by the tasks that compute them, so that no row moves for the
+# sake of files. Checking and writing scan the fact twice; staging, as for the aggregated marts, would
+# write them twice instead.
 ROW_LEVEL_MARTS = ("ml_aluno",)
 
 
@@ -226,26 +299,32 @@ def run_gold(
 ) -> list[TableRun]:
     """Rebuild the marts from this month's facts: check all of them, then replace each table."""
     month = _month(stamp, SILVER_PARTITION)
-    facts = {n: read_partition(spark, f"{layout.silver}/{n}", **month) for n in FACT_RULES}
-    plans = build_marts(facts, missing_target)
-
-    def prepare(name: str) -> DataFrame | Staged:
-        df = plans[name]
-        return df if name in ROW_LEVEL_MARTS else stage(df, name, counters(df, MART_RULES[name]))
-
-    marts = side_by_side(prepare, plans)
-    _require("gold", evaluate({name: (t, MART_RULES[name]) for name, t in marts.items()}))
-
-    def publish(name: str) -> TableRun:
-        table = marts[name]
-        df = table.df if isinstance(table, Staged) else table
-        found = write_partitioned(
-            df.withColumn(GOLD_TIME, stamp.timestamp()),
-            f"{layout.gold}/{name}",
-            ("ano",),
-            keep_others=False,
-            gather=True,
-        )
-        return TableRun("gold", name, "written", found["rows"])
-
-    return list(side_by_side(publish, marts).values())
+    with staging(spark):
+        read = lambda n: read_partition(spark, f"{layout.silver}/{n}", **month)
+        facts, failed = _attempt("silver", read, FACT_RULES)
+        _stop_on(failed, "silver", FACT_RULES)
+        plans = build_marts(facts, missing_target)
+
+        def prepare(name: str) -> DataFrame | Staged:
+            df = plans[name]
+            return df if name in ROW_LEVEL_MARTS else stage(df, name, counters(df, MART_RULES[name]))
+
+        marts, failed = _attempt("gold", prepare, plans)
+        _stop_on(failed, "gold", plans)
+        _check("gold", marts, MART_RULES)
+
+        def publish(name: str) -> TableRun:
+            table = marts[name]
+            df = table.df if isinstance(table, Staged) else table
+            found = write_partitioned(
+                df.withColumn(GOLD_TIME, stamp.timestamp()),
+                f"{layout.gold}/{name}",
+                ("ano",),
+                keep_others=False,
+                gather=name not in ROW_LEVEL_MARTS,
+            )
+            return TableRun("gold", name, "written", found["rows"])
+
+        written, failed = _attempt("gold", publish, marts)
+        _stop_on(failed, "gold", marts, list(written.values()))
+    return list(written.values())

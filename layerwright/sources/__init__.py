@@ -1,13 +1,18 @@
-from layerwright.sources.landing import landing_schema, read_landing
-from layerwright.sources.layers import read_partition, write_partitioned
-from layerwright.sources.workspace import Staged, shared_folder, stage
+from layerwright.sources.landing import UNPARSED, landing_schema, read_landing, read_text, typed
+from layerwright.sources.layers import MissingPartition, read_partition, write_partitioned
+from layerwright.sources.workspace import Staged, shared_folder, stage, staging
 
 __all__ = [
+    "UNPARSED",
+    "MissingPartition",
     "Staged",
     "landing_schema",
     "read_landing",
     "read_partition",
+    "read_text",
     "shared_folder",
     "stage",
+    "staging",
+    "typed",
     "write_partitioned",
 ]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from layerwright.functions import parse
 
 CSV_OPTIONS = {"header": True, "sep": ","}
+UNPARSED = "_unparsed"
 
 
 def landing_schema(spark: SparkSession, path: str) -> StructType:
@@ -16,29 +17,41 @@ def landing_schema(spark: SparkSession, path: str) -> StructType:
     return spark.read.options(**CSV_OPTIONS).csv(path).schema
 
 
-def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Give text columns their declared types by name; a value that does not fit becomes NULL."""
-    return df.select(
-        *(
-            parse(F.col(f.name), f.dataType, types[f.name]).alias(f.name)
-            if f.name in types
-            else F.col(f.name)
-            for f in df.schema.fields
-        )
-    )
+def typed(df: DataFrame, types: dict[str, str], unparsed: bool = False) -> DataFrame:
+    """Give text columns their declared types by name; a value that does not fit becomes NULL.
+
+    ``unparsed`` adds a map from the columns whose text did not fit to that text, NULL if all did.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    cast = {c: parse(F.col(c), k, types[c]) for c, k in kinds.items() if c in types}
+    columns = [cast[c].alias(c) if c in cast else F.col(c) for c in kinds]
+    if not unparsed:
+        return df.select(*columns)
+    lost = [
+        F.when(F.col(c).isNotNull() & value.isNull(), F.struct(F.lit(c).alias("key"), F.col(c).alias("value")))
+        for c, value in cast.items()
+        if isinstance(kinds[c], StringType) and types[c] != "string"
+    ]
+    entries = F.array_compact(F.array(*lost)) if lost else None
+    kept = F.lit(None) if entries is None else F.when(F.size(entries) > 0, F.map_from_entries(entries))
+    return df.select(*columns, kept.cast("map<string,string>").alias(UNPARSED))
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """Read a directory of comma-separated files with a header row, every column as text.
+
+    Columns go by their header name, in any order. A file whose header differs from the others is
+    an error, not a silent shift of columns.
+    """
+    schema = landing_schema(spark, path)
+    return spark.read.options(**CSV_OPTIONS, enforceSchema=False).schema(schema).csv(path)
 
 
 def read_landing(
     spark: SparkSession, path: str, types: dict[str, str] | None = None, infer: bool = False
 ) -> DataFrame:
-    """Read a directory of comma-separated files with a header row.
-
-    Columns go by their header name, in any order, and take their declared type without an
-    inference pass over the data; ``infer=True`` lets Spark guess the types instead. A file whose
-    header differs from the others is an error, not a silent shift of columns.
-    """
+    """``read_text``, columns taking their declared type without an inference pass over the data;
+    ``infer=True`` lets Spark guess the types instead."""
     if infer:
         return spark.read.options(**CSV_OPTIONS, inferSchema=True).csv(path)
-    schema = landing_schema(spark, path)
-    text = spark.read.options(**CSV_OPTIONS, enforceSchema=False).schema(schema).csv(path)
-    return typed(text, types or {})
+    return typed(read_text(spark, path), types or {})

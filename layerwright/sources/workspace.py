@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -11,24 +15,55 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_CURRENT: ContextVar[str | None] = ContextVar("current", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor reaches: ``spark.checkpoint.dir``.
 
-    Where the session names none, a temporary folder serves a local session; a cluster is refused.
+    On a cluster it must be named, and not be a folder of one machine. A local session that names
+    none gets one of its own, the same for all its threads; the session's settings stay as they are.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+    app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        if not folder:
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="layerwright-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/layerwright/{spark.sparkContext.applicationId}"
+        if folder.startswith("file:") or (folder.startswith("/") and _default_is_local(spark)):
+            raise RuntimeError(f"{CHECKPOINT_DIR} is {folder}, which each machine has for itself")
+    return f"{(folder or os.path.join(tempfile.gettempdir(), 'layerwright')).rstrip('/')}/layerwright/{app}"
+
+
+def _default_is_local(spark: SparkSession) -> bool:
+    """Whether a path without a scheme is one of the machine's own."""
+    return spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_CURRENT.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """The path as its file system's object, and the file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place, files = file_system(spark, path)
+    files.delete(place, True)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """What is staged inside goes to a folder that is removed at the end, however it ends."""
+    path = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    before = _CURRENT.set(path)
+    try:
+        yield path
+    finally:
+        _CURRENT.reset(before)
+        remove(spark, path)
 
 
 @dataclass(frozen=True)

@@ -36,7 +36,8 @@ class Field:
 
 @dataclass(frozen=True)
 class Rule:
-    """A data-quality rule. ``kind`` is not_null, min_count, unique or range."""
+    """A data-quality rule. ``kind`` is not_null, min_count, unique, range, or parsed: no text of the
+    column failed to take its declared type."""
 
     kind: str
     column: str | None = None
@@ -77,6 +78,6 @@ class Entity:
         """Type of each raw column; 0/1 flags arrive as integers."""
         return {f.origin: "int" if f.dtype == "boolean" else f.dtype for f in self.fields}
 
-    @property
-    def optional(self) -> frozenset[str]:
-        return frozenset(f.origin for f in self.fields if f.optional)
+    def parse_rules(self, columns: list[str]) -> tuple[Rule, ...]:
+        """A rule for each of these raw columns whose text must become something else."""
+        return tuple(Rule("parsed", c) for c, kind in self.raw_types.items() if kind != "string" and c in columns)

@@ -1,3 +1,3 @@
-from layerwright.streaming.increment import ingest_new_files, land_increment
+from layerwright.streaming.increment import compact_month, ingest_new_files, land_increment
 
-__all__ = ["ingest_new_files", "land_increment"]
+__all__ = ["compact_month", "ingest_new_files", "land_increment"]

@@ -8,29 +8,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from layerwright.operators.lineage import BRONZE_PARTITION, SOURCE_FILE, RunStamp, add_lineage
+from layerwright.operators.lineage import BATCH, BRONZE_PARTITION, SOURCE_FILE, RunStamp, add_lineage
 from layerwright.operators.quality import counters, evaluate, gate
 from layerwright.sources.landing import CSV_OPTIONS, landing_schema, typed
-from layerwright.sources.layers import write_partitioned
-from layerwright.sources.workspace import stage
+from layerwright.sources.layers import MissingPartition, write_partitioned
+from layerwright.sources.workspace import file_system, stage, staging
 from layerwright.spec import Entity
 
+COMPACTED = "compacted"
 
-def land_increment(entity: Entity, target: str, clock: Callable[[], RunStamp]):
-    """The work on one micro-batch: lineage, rules, then the write.
+
+def batch_name(batch_id: int) -> str:
+    return f"stream-{batch_id}"
+
+
+def _forget(spark: SparkSession, root: str, batch: str) -> None:
+    """Remove what an earlier attempt at a batch wrote, in whatever month."""
+    pattern = "/".join([root, *("*" for _ in BRONZE_PARTITION), f"{BATCH}={batch}"])
+    place, files = file_system(spark, pattern)
+    for found in files.globStatus(place) or ():
+        files.delete(found.getPath(), True)
+
+
+def land_increment(entity: Entity, target: str, clock: Callable[[], RunStamp], null_safe_hash: bool = True, unparsed: str = "fail"):
+    """The work on one micro-batch of text rows: lineage, types, rules, then the write.
 
     A failed rule raises before the write, so the batch is not committed and comes again. Each
-    batch owns a folder that it replaces whole, so a batch that comes again adds no duplicates.
-    Unique rules hold within a batch.
+    batch owns a partition below the month, and a batch that comes again replaces it, so it adds no
+    duplicates. Unique rules hold within a batch.
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        bronze = add_lineage(batch, entity.name, clock())
-        staged = stage(bronze, f"{entity.name}-increment", counters(bronze, entity.rules))
-        gate(evaluate({entity.name: (staged, entity.rules)}))
-        write_partitioned(
-            staged.df, f"{target}/_batch_id={batch_id}", BRONZE_PARTITION, keep_others=False
-        )
+        spark, name = batch.sparkSession, batch_name(batch_id)
+        lined = add_lineage(batch, entity.name, clock(), null_safe_hash)
+        bronze = typed(lined, entity.raw_types, unparsed=True).withColumn(BATCH, F.lit(name))
+        strict = entity.parse_rules(batch.columns) if unparsed == "fail" else ()
+        rules = (*entity.rules, *strict)
+        with staging(spark):
+            staged = stage(bronze, f"{entity.name}-increment", counters(bronze, rules))
+            gate(evaluate({entity.name: (staged, rules)}))
+            _forget(spark, target, name)
+            write_partitioned(staged.df, target, (*BRONZE_PARTITION, BATCH), keep_others=True)
 
     return land
 
@@ -43,20 +61,50 @@ def ingest_new_files(
     entity: Entity,
     clock: Callable[[], RunStamp] = RunStamp.now,
     max_files: int | None = None,
+    null_safe_hash: bool = True,
+    unparsed: str = "fail",
 ) -> StreamingQuery:
     """Take in the files of a landing folder that ``progress`` does not know yet, and stop.
 
-    ``target`` gets partitions ``_batch_id``, ``_ing_ano``, ``_ing_mes``. ``progress`` must outlive
-    the run and be reachable from the cluster. ``max_files`` bounds a micro-batch.
+    ``target`` is a bronze table as a bronze run writes it: both may write to the same one, which is
+    read by month. ``progress`` must outlive the run and be reachable from the cluster. ``max_files``
+    bounds a micro-batch.
     """
     reader = spark.readStream.options(**CSV_OPTIONS, enforceSchema=False)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     text = reader.schema(landing_schema(spark, landing)).csv(landing)
-    raw = typed(text.select("*", F.col("_metadata.file_path").alias(SOURCE_FILE)), entity.raw_types)
+    raw = text.select("*", F.col("_metadata.file_path").alias(SOURCE_FILE))
     return (
-        raw.writeStream.foreachBatch(land_increment(entity, target, clock))
+        raw.writeStream.foreachBatch(land_increment(entity, target, clock, null_safe_hash, unparsed))
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def compact_month(spark: SparkSession, root: str, stamp: RunStamp) -> int:
+    """Write the batches of a finished month anew as one, and return how many there were.
+
+    The new files stand ready under a name that readers skip before the old ones go, so an attempt that
+    breaks off is finished by the next one. Nothing else may write to the month meanwhile.
+    """
+    month = "/".join([root, *(f"{c}={v}" for c, v in zip(BRONZE_PARTITION, (stamp.year, stamp.month)))])
+    ready = f"{month}/_{COMPACTED}"
+    place, files = file_system(spark, ready)
+    parent = place.getParent()
+    if not files.exists(parent):
+        raise MissingPartition(f"{root} has no rows for {stamp.year}-{stamp.month}")
+    batches = [
+        s.getPath() for s in files.listStatus(parent) if s.isDirectory() and s.getPath().getName().startswith(f"{BATCH}=")
+    ]
+    done = spark._jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS")
+    if not files.exists(done):
+        if len(batches) < 2:
+            return len(batches)
+        rows = spark.read.parquet(*(b.toString() for b in batches))
+        rows.drop(BATCH).hint("rebalance").write.mode("overwrite").parquet(ready)
+    for old in batches:
+        files.delete(old, True)
+    files.rename(place, spark._jvm.org.apache.hadoop.fs.Path(parent, f"{BATCH}={COMPACTED}"))
+    return len(batches)

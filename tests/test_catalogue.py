@@ -5,7 +5,7 @@ from check import compare, duck
 from conftest import SF, plan
 
 from __spark_entry__ import entry, oracle_sql, queries
-from catalogue.queries import fact_student
+from catalogue.queries import ORACLES, QUERIES, fact_student
 from layerwright import plans
 from layerwright.operators import quality_report
 from layerwright.literacy import FACT_RULES
@@ -16,9 +16,9 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    assert compare(queries()[name](spark, SF), con, oracle_sql()[name]) is None
+    assert compare(QUERIES[name](spark, SF), con, ORACLES[name]) is None
 
 
 @pytest.mark.parametrize("name", ["fact_student", "fact_area_targets", "fact_state_targets", "features_student"])
@@ -31,8 +31,9 @@ def test_entry(spark):
     assert df.count() > 0 and "percentual_alunos" in df.columns
 
 
-def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+def test_every_query_has_sql_and_is_registered():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_no_python_workers(spark):

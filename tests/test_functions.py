@@ -97,10 +97,18 @@ def test_record_hash(spark):
     plain = [r[0] for r in df.select(LF.record_hash(df.columns)).collect()]
     safe = [r[0] for r in df.select(LF.record_hash(df.columns, null_safe=True)).collect()]
     assert plain[0] == plain[1] == hashlib.sha256(b"a||b").hexdigest()
-    assert plain[2] == hashlib.sha256(b"a||x||b").hexdigest() == safe[2]
+    assert plain[2] == hashlib.sha256(b"a||x||b").hexdigest()
+    assert safe[0] == hashlib.sha256(b"1:a-1:b").hexdigest()
     assert len(set(safe)) == 3
 
 
+def test_safe_record_hash_tells_all_rows_apart(spark):
+    data = [("a||b", "c"), ("a", "b||c"), ("-", "x"), (None, "x"), ("", "x"), ("1:x", ""), ("1", ":x")]
+    df = spark.createDataFrame(data, "p string, q string")
+    assert df.select(LF.record_hash(df.columns, null_safe=True)).distinct().count() == len(data)
+    assert df.select(LF.record_hash(df.columns)).distinct().count() < len(data)
+
+
 def test_guarded_percentages(spark):
     df = spark.createDataFrame([(1, 3), (0, 0)], "part bigint, whole bigint")
     found = df.select(LF.percent(F.col("part"), F.col("whole")), LF.percent_or_zero(F.col("part"), F.col("whole")))

@@ -3,13 +3,13 @@ import shutil
 from datetime import datetime, timezone
 
 import pytest
-from conftest import rows
+from conftest import plan, rows
 from pyspark.sql import functions as F
 
 from layerwright import plans
 from layerwright.literacy import TARGETS, entities
 from layerwright.operators import RunStamp, add_lineage
-from layerwright.sources import read_landing, read_partition, shared_folder, write_partitioned
+from layerwright.sources import MissingPartition, read_landing, read_partition, read_text, shared_folder, write_partitioned
 
 
 JULY = RunStamp(datetime(2026, 7, 31, 23, 59, 59, tzinfo=timezone.utc))
@@ -101,6 +101,8 @@ def test_partition_write_keeps_or_replaces_the_rest(spark, tmp_path):
     write_partitioned(df.where("p = 1 AND id > 5"), path, ("p",), keep_others=True)
     assert rows(spark.read.parquet(path).groupBy("p").count()) == [(0, 5), (1, 2)]
     assert rows(read_partition(spark, path, p=1)) == [(7, 1), (9, 1)]
+    with pytest.raises(MissingPartition, match="p=7"):
+        read_partition(spark, path, p=7)
     write_partitioned(df.where("p = 0"), path, ("p",), keep_others=False, gather=True)
     assert rows(spark.read.parquet(path).groupBy("p").count()) == [(0, 5)]
 
@@ -124,6 +126,8 @@ def test_whole_run_and_report(spark, july):
     assert {t: r.rows for (layer, t, _), r in runs.items() if layer == "gold"} == {
         "consolidado_municipio": 1, "consolidado_uf": 1, "distribuicao_niveis": 2, "estatisticas_escolares": 2, "ml_aluno": 2,
     }
+    assert lost.message == "1 rows lost: no state"
+    assert runs["silver", "fct_meta_uf", "written"].unmatched == 0
     report = plans.report_frame(spark, list(runs.values()))
     assert report.count() == 7 + 7 + 3 + 5
     stored = spark.read.parquet(f"{layout.gold}/ml_aluno")
@@ -179,6 +183,7 @@ def test_failed_rule_writes_no_fact_at_all(spark, tmp_path):
     with pytest.raises(plans.RunFailed, match="taxa_alfabetizacao") as failure:
         plans.run_silver(spark, layout, JULY)
     assert {r.table: r.status for r in failure.value.runs} == {
+        **dict.fromkeys(FILES, "read"),
         "fct_avaliacao_aluno": "withheld", "fct_meta_municipio": "withheld", "fct_meta_uf": "failed",
     }
     assert not os.path.exists(layout.silver)
@@ -186,8 +191,9 @@ def test_failed_rule_writes_no_fact_at_all(spark, tmp_path):
 
 def test_failed_mart_keeps_the_old_marts(spark, july_copy):
     layout = july_copy
-    nameless = spark.read.parquet(f"{layout.silver}/fct_meta_uf").drop("_proc_ano", "_proc_mes").where("false")
-    nameless.write.mode("overwrite").parquet(f"{layout.silver}/fct_meta_uf/_proc_ano=2026/_proc_mes=07")
+    stored = spark.read.parquet(f"{layout.silver}/fct_meta_uf").drop("_proc_ano", "_proc_mes")
+    nameless = [(r["sigla_uf"], r["ano"], None, *r[3:]) for r in stored.collect()]
+    spark.createDataFrame(nameless, stored.schema).write.mode("overwrite").parquet(f"{layout.silver}/fct_meta_uf/_proc_ano=2026/_proc_mes=07")
     before = rows(spark.read.parquet(f"{layout.gold}/ml_aluno"))
     with pytest.raises(plans.RunFailed, match="consolidado_uf"):
         plans.run_gold(spark, layout, JULY)
@@ -205,6 +211,116 @@ def test_gold_run_drops_stale_years(spark, july_copy):
         assert rows(spark.read.parquet(f"{layout.gold}/{mart}").select("ano").distinct()) == [(2025,)]
 
 
+def test_text_that_does_not_fit_stays_in_bronze(spark, tmp_path):
+    """Two scores that are no numbers keep their text and different hashes, and do not pass as scores of 0 unseen."""
+    students = [FILES["avaliacao_aluno"][0], '2024,1,10,100,1,2,3,1,1,1,"745,5",1.25', "2024,1,10,100,1,2,3,1,1,1,abc,1.25"]
+    layout = land(str(tmp_path), avaliacao_aluno=students)
+    only = {"avaliacao_aluno": entities()["avaliacao_aluno"]}
+    with pytest.raises(plans.RunFailed, match=r"parsed\(proficiencia\) measured 2"):
+        plans.run_bronze(spark, layout, JULY, only)
+    (run,) = plans.run_bronze(spark, layout, JULY, only, unparsed="report")
+    assert (run.rows, run.unparsed, run.message) == (2, 2, "2 unparsed in proficiencia")
+    stored = spark.read.parquet(f"{layout.bronze}/avaliacao_aluno").collect()
+    assert {r["_unparsed"]["proficiencia"] for r in stored} == {"745,5", "abc"}
+    assert [r["proficiencia"] for r in stored] == [None, None] and len({r["_record_hash"] for r in stored}) == 2
+    with pytest.raises(ValueError):
+        plans.run_bronze(spark, layout, JULY, only, unparsed="other")
+
+
+def test_hash_is_of_the_text(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id\n1\n01\n")
+    hashed = add_lineage(read_text(spark, str(tmp_path)), "things", JULY)
+    assert hashed.select("_record_hash").distinct().count() == 2
+
+
+def left_behind(spark):
+    """Folders of runs that still stand in the shared folder."""
+    root = shared_folder(spark)
+    return [d for d in (os.listdir(root) if os.path.isdir(root) else []) if d.startswith("run-")]
+
+
+def test_runs_leave_nothing_staged(spark, tmp_path, july):
+    assert left_behind(spark) == []
+    layout = land(str(tmp_path), uf=FILES["uf"][:1])
+    with pytest.raises(plans.RunFailed):
+        plans.run_bronze(spark, layout, JULY)
+    assert left_behind(spark) == []
+
+
+def statuses(failure):
+    return {(r.layer, r.table): r.status for r in failure.value.runs}
+
+
+def test_missing_entity_folder_is_reported(spark, july_copy):
+    shutil.rmtree(f"{july_copy.bronze}/uf")
+    with pytest.raises(plans.RunFailed, match="uf") as failure:
+        plans.run_silver(spark, july_copy, JULY)
+    assert statuses(failure) == {("silver", n): "failed" if n == "uf" else "withheld" for n in FILES}
+    assert left_behind(spark) == []
+
+
+def test_missing_month_is_reported(spark, july_copy):
+    with pytest.raises(plans.RunFailed, match="municipio has no rows for _ing_ano=2026, _ing_mes=8") as failure:
+        plans.run_silver(spark, july_copy, AUGUST)
+    assert set(statuses(failure).values()) == {"failed"}
+    with pytest.raises(plans.RunFailed, match="fct_meta_uf has no rows") as failure:
+        plans.run_gold(spark, july_copy, AUGUST)
+    assert len(failure.value.runs) == 3
+
+
+def test_failing_write_is_reported(spark, july_copy, monkeypatch):
+    real = plans.runs.write_partitioned
+
+    def write(df, path, *args, **options):
+        if path.endswith(("fct_meta_uf", "consolidado_uf")):
+            raise OSError("disk full")
+        return real(df, path, *args, **options)
+
+    monkeypatch.setattr(plans.runs, "write_partitioned", write)
+    with pytest.raises(plans.RunFailed, match="disk full") as failure:
+        plans.run_silver(spark, july_copy, JULY)
+    found = statuses(failure)
+    assert found["silver", "fct_meta_uf"] == "failed" and found["silver", "fct_avaliacao_aluno"] == "written"
+    with pytest.raises(plans.RunFailed, match="disk full") as failure:
+        plans.run_gold(spark, july_copy, JULY)
+    found = statuses(failure)
+    assert found["gold", "consolidado_uf"] == "failed" and found["gold", "ml_aluno"] == "written"
+
+
+def test_row_level_mart_is_written_without_a_shuffle(spark, july_copy, monkeypatch):
+    """Publishing adds no exchange to those that the school means need; the aggregated marts are gathered."""
+    hints = {}
+    real = plans.runs.write_partitioned
+
+    def write(df, path, *args, **options):
+        hints[os.path.basename(path)] = options.get("gather", False)
+        if path.endswith("ml_aluno"):
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            text = plan(df)
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+            assert "REBALANCE" not in text and "Exchange hashpartitioning" not in text
+        return real(df, path, *args, **options)
+
+    monkeypatch.setattr(plans.runs, "write_partitioned", write)
+    plans.run_gold(spark, july_copy, JULY)
+    assert hints.pop("ml_aluno") is False and all(hints.values()) and len(hints) == 4
+
+
+def test_every_reason_of_a_loss_is_told(spark, tmp_path):
+    layout = land(
+        str(tmp_path),
+        municipio=[FILES["municipio"][0], "1,2024,2,3,60,710", "2,2024,2,0,61,711", "3,2024,2,0,61,711", "4,2024,2,0,61,711"],
+        mapeamento_municipio=[FILES["mapeamento_municipio"][0], "1,Town,sp", "3,Three,rj", "4,Four,sp"],
+        uf=[FILES["uf"][0], "2024,SP,2,3,60,713", "2024,RJ,2,3,60,713"],
+    )
+    plans.run_bronze(spark, layout, JULY)
+    runs = {r.table: r for r in plans.run_silver(spark, layout, JULY) if r.status == "written"}
+    area, state = runs["fct_meta_municipio"], runs["fct_meta_uf"]
+    assert (area.rows, area.unmatched) == (1, 3)
+    assert area.message == "1 rows lost: no state; 1 rows lost: no state target; 1 rows lost: no target"
+    assert (state.rows, state.unmatched, state.message) == (1, 1, "1 rows lost: no target")
+
+
 def test_stamp_is_utc():
     from datetime import timedelta
 
@@ -234,5 +350,9 @@ def test_shared_folder_is_the_one_the_cluster_names():
 def test_shared_folder_is_never_local_on_a_cluster():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(Session("spark://host:7077"))
+    for folder in ("file:/tmp/x", "file:///tmp/x"):
+        with pytest.raises(RuntimeError, match="each machine"):
+            shared_folder(Session("spark://host:7077", folder))
     alone = Session("local[2]")
-    assert shared_folder(alone) == shared_folder(alone) != shared_folder(Session("local[2]"))
+    assert shared_folder(alone) == shared_folder(alone)
+    assert alone.folder is None  # the caller's settings stay as they are

@@ -1,12 +1,14 @@
+import os
 from datetime import datetime, timezone
 
 import pytest
 from conftest import rows
 
+from layerwright import plans
 from layerwright.operators import RunStamp
-from layerwright.sources import read_landing
+from layerwright.sources import read_landing, read_partition, read_text, shared_folder
 from layerwright.spec import Entity, Field, ruleset
-from layerwright.streaming import ingest_new_files, land_increment
+from layerwright.streaming import compact_month, ingest_new_files, land_increment
 
 THING = Entity(
     "things",
@@ -21,8 +23,6 @@ AUGUST = RunStamp(datetime(2026, 8, 1, tzinfo=timezone.utc))
 class Folders:
     def __init__(self, root):
         self.landing, self.target, self.progress = (f"{root}/{d}" for d in ("landing", "bronze", "progress"))
-        import os
-
         os.makedirs(self.landing)
 
     def land(self, name, *lines):
@@ -52,8 +52,9 @@ def test_stream_equals_batch(spark, folders):
     folders.take_in(spark, AUGUST)
     batch = read_landing(spark, folders.landing, THING.raw_types)
     assert rows(folders.stored(spark).select("id", "name")) == rows(batch)
-    by_batch = folders.stored(spark).groupBy("_batch_id", "_ing_mes").count()
-    assert rows(by_batch) == [(0, 7, 2), (1, 7, 1), (2, 8, 2)] or rows(by_batch) == [(0, 7, 1), (1, 7, 2), (2, 8, 2)]
+    by_batch = rows(folders.stored(spark).groupBy("_batch", "_ing_mes").count())
+    assert [r[:2] for r in by_batch] == [("stream-0", 7), ("stream-1", 7), ("stream-2", 8)]
+    assert sorted(r[2] for r in by_batch) == [1, 2, 2]
     files = {r["_source_file"].rsplit("/", 1)[1] for r in folders.stored(spark).collect()}
     assert files == {"a.csv", "b.csv", "c.csv"}
 
@@ -72,7 +73,74 @@ def test_failed_rule_keeps_the_batch_for_later(spark, folders):
 
 def test_batch_that_comes_again_adds_nothing(spark, folders):
     folders.land("a", "1,x", "2,y")
-    raw = read_landing(spark, folders.landing, THING.raw_types)
+    raw = read_text(spark, folders.landing)
     for stamp in (JULY, AUGUST):
         land_increment(THING, folders.target, lambda: stamp)(raw, 0)
-    assert rows(folders.stored(spark).select("id", "_ing_mes", "_batch_id")) == [(1, 8, 0), (2, 8, 0)]
+    assert rows(folders.stored(spark).select("id", "_ing_mes", "_batch")) == [(1, 8, "stream-0"), (2, 8, "stream-0")]
+    root = shared_folder(spark)
+    assert not [d for d in (os.listdir(root) if os.path.isdir(root) else []) if d.startswith("run-")]
+
+
+def test_text_that_does_not_fit_is_kept_on_request(spark, folders):
+    folders.land("a", "x,1")
+    with pytest.raises(Exception, match="parsed"):
+        folders.take_in(spark)
+    lenient = Entity(THING.name, THING.key, THING.fields)
+    query = ingest_new_files(
+        spark, folders.landing, folders.target, folders.progress + "2", lenient, lambda: JULY, unparsed="report"
+    )
+    query.awaitTermination()
+    assert folders.stored(spark).first()["_unparsed"] == {"id": "x"}
+
+
+def test_a_run_and_a_stream_share_a_bronze_table(spark, folders, tmp_path):
+    folders.target = f"{tmp_path}/bronze/things"
+    folders.land("a", "1,x")
+    folders.take_in(spark)
+    os.makedirs(f"{tmp_path}/runs/things")
+    with open(f"{tmp_path}/runs/things/b.csv", "w") as out:
+        out.write("id,name\n2,y\n")
+    layout = plans.Layout(f"{tmp_path}/runs", f"{tmp_path}/bronze", "", "")
+    for _ in range(2):
+        plans.run_bronze(spark, layout, JULY, {"things": THING})
+    july = read_partition(spark, folders.target, _ing_ano=2026, _ing_mes=7)
+    assert rows(july.select("id", "_batch")) == [(1, "stream-0"), (2, "run")]
+    hashes = rows(july.select("_record_hash"))
+    assert compact_month(spark, folders.target, JULY) == 2
+    assert compact_month(spark, folders.target, JULY) == 1
+    compacted = read_partition(spark, folders.target, _ing_ano=2026, _ing_mes=7)
+    assert rows(compacted.select("id", "_batch")) == [(1, "compacted"), (2, "compacted")]
+    assert rows(compacted.select("_record_hash")) == hashes
+    with pytest.raises(Exception, match="no rows"):
+        compact_month(spark, folders.target, AUGUST)
+
+
+def test_compaction_that_broke_off_is_finished(spark, folders, monkeypatch):
+    folders.land("a", "1,x")
+    folders.take_in(spark)
+    folders.land("b", "2,y")
+    folders.take_in(spark)
+    import layerwright.streaming.increment as increment
+
+    class Broken(Exception):
+        pass
+
+    real = increment.file_system
+
+    class Files:
+        def __init__(self, files):
+            self.files = files
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+        def delete(self, path, deep):
+            self.files.delete(path, deep)
+            raise Broken
+
+    monkeypatch.setattr(increment, "file_system", lambda s, p: (real(s, p)[0], Files(real(s, p)[1])))
+    with pytest.raises(Broken):
+        compact_month(spark, folders.target, JULY)
+    monkeypatch.setattr(increment, "file_system", real)
+    compact_month(spark, folders.target, JULY)
+    assert rows(folders.stored(spark).select("id", "_batch")) == [(1, "compacted"), (2, "compacted")]
