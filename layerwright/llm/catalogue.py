@@ -34,6 +34,27 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(docs, size=35).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: Numbered rows and their words; a word is what the operators take it to be.
+WORDS_SQL = r"""w AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS words FROM documents)"""
+
+ORACLES["op1_substring"] = f"""
+WITH {WORDS_SQL.format(text="coalesce(text, '')")},
+windows AS MATERIALIZED (
+  SELECT row, i, array_to_string(words[i : i + 34], ' ') AS passage
+  FROM (SELECT row, words, unnest(range(1, len(words) - 33)) AS i FROM w)),
+repeated AS (SELECT passage FROM windows GROUP BY passage HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT row, unnest(range(i, i + 35)) AS i FROM windows WHERE passage IN (SELECT passage FROM repeated)),
+placed AS (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+kept AS (
+  SELECT row, string_agg(word, ' ' ORDER BY i) AS text FROM placed ANTI JOIN gone USING (row, i) GROUP BY row),
+counted AS (SELECT row, count(*) AS n FROM gone GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (row) LEFT JOIN counted USING (row)
+"""
+
+
 @query
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
@@ -90,6 +111,26 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_shingles", "component_id")
 
 
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op6_jaccard"] = f"""
+WITH RECURSIVE {WORDS_SQL.format(text=FOLDED)},
+shingles AS MATERIALIZED (
+  SELECT DISTINCT row, array_to_string(words[i : i + 4], ' ') AS shingle
+  FROM (SELECT row, words, unnest(range(1, greatest(len(words) - 4, least(len(words), 1)) + 1)) AS i FROM w)),
+sizes AS MATERIALIZED (SELECT row, count(*) AS n FROM shingles GROUP BY row),
+shared AS (
+  SELECT a.row AS a, b.row AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.row <> b.row
+  GROUP BY a.row, b.row),
+links AS MATERIALIZED (
+  SELECT a, b FROM shared s JOIN sizes x ON x.row = a JOIN sizes y ON y.row = b
+  WHERE 100 * s.n >= 75 * (x.n + y.n - s.n)),
+reached AS (SELECT row AS a, row AS b FROM w UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS row, min(doc_id) AS component_id FROM reached JOIN w ON w.row = b GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM w LEFT JOIN sizes USING (row) JOIN least USING (row)
+"""
+
+
 @query
 def op7_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, _ = ordering.materialise(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
