@@ -174,3 +174,40 @@ MART_RULES = {
         ranges={SCORE: ("feat_media_proficiencia_escola",)},
     ),
 }
+
+# Columns of the tables to deliver, in order, without the run's own columns.
+TARGET_COLUMNS = tuple(TARGETS.values())
+DELIVERED = {
+    "fct_avaliacao_aluno": (
+        "id_aluno", "ano", "rede", "proficiencia", "peso_aluno", "compareceu", "preencheu_caderno", "alfabetizado",
+        "nivel_alfabetizacao", "id_escola", "nome_municipio", "sigla_uf", "media_portugues_municipio", "media_portugues_estado",
+    ),
+    "fct_meta_municipio": (
+        "nome_municipio", "sigla_uf", "ano", "rede", "taxa_alfabetizacao", "nivel_alfabetizacao_municipal",
+        "taxa_alfabetizacao_municipal", "percentual_participacao_municipal", "taxa_alfabetizacao_estadual",
+        "percentual_participacao_estadual", *TARGET_COLUMNS,
+    ),
+    "fct_meta_uf": (
+        "sigla_uf", "ano", "rede", "taxa_alfabetizacao", "taxa_alfabetizacao_estadual", "percentual_participacao_estadual",
+        "taxa_alfabetizacao_nacional", "percentual_participacao_nacional", *TARGET_COLUMNS,
+    ),
+    "consolidado_municipio": (
+        "ano", "sigla_uf", "nome_municipio", "rede", "taxa_alfabetizacao_real", "meta_alfabetizacao_esperada",
+        "percentual_participacao", "taxa_alfabetizacao_referencia_estado", "atingiu_meta", "diff_meta",
+    ),
+    "consolidado_uf": (
+        "ano", "sigla_uf", "rede", "taxa_alfabetizacao_real_uf", "meta_alfabetizacao_esperada_uf", "percentual_participacao_uf",
+        "taxa_alfabetizacao_referencia_brasil", "uf_atingiu_meta", "diff_meta",
+    ),
+    "distribuicao_niveis": (
+        "ano", "sigla_uf", "nome_municipio", "rede", "nivel_alfabetizacao", "quantidade_alunos", "percentual_alunos",
+    ),
+    "estatisticas_escolares": (
+        "ano", "sigla_uf", "nome_municipio", "id_escola", "rede", "total_alunos", "total_alunos_presentes",
+        "percentual_faltantes", "media_proficiencia", "desvio_padrao_proficiencia", "taxa_alfabetizacao_escola",
+    ),
+    "ml_aluno": (
+        "ano", "id_aluno", "feat_rede_encoded", "feat_peso_aluno", "feat_media_proficiencia_escola",
+        "feat_media_portugues_municipio", "feat_media_portugues_estado", "target_alfabetizado", "target_nivel_alfabetizacao",
+    ),
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from layerwright.functions import count_where
 from layerwright.jobs import side_by_side
-from layerwright.literacy import FACT_RULES, MART_RULES, NOT_FOUND, entities
+from layerwright.literacy import DELIVERED, FACT_RULES, MART_RULES, NOT_FOUND, entities
 from layerwright.operators.conform import conform
 from layerwright.operators.dedup import dedup_by_key, find_repeats
 from layerwright.operators.lineage import (
@@ -123,7 +123,12 @@ def _stop_on(failed: list[TableRun], layer: str, names: Iterable[str], done: lis
 
 
 def _check(layer: str, tables: dict, rules: dict, done: list[TableRun] = ()) -> None:
-    """Raise before anything is written if any table fails a rule, or cannot be checked at all."""
+    """Raise before anything is written if any table has other columns than it is to deliver, fails a rule,
+    or cannot be checked at all."""
+    for name, table in tables.items():
+        columns = tuple((table.df if isinstance(table, Staged) else table).columns)
+        if columns != DELIVERED[name]:
+            _stop_on([TableRun(layer, name, "failed", message=f"columns are {columns}")], layer, tables, done)
     try:
         outcomes = evaluate({name: (t, rules[name]) for name, t in tables.items()})
     except Exception:  # tell which table it was

@@ -200,6 +200,14 @@ def test_failed_mart_keeps_the_old_marts(spark, july_copy):
     assert rows(spark.read.parquet(f"{layout.gold}/ml_aluno")) == before
 
 
+def test_columns_are_those_to_deliver(spark, july_copy, monkeypatch):
+    real = plans.runs.build_marts
+    monkeypatch.setattr(plans.runs, "build_marts", lambda *a: real(*a) | {"ml_aluno": real(*a)["ml_aluno"].drop("ano")})
+    with pytest.raises(plans.RunFailed, match="columns are") as failure:
+        plans.run_gold(spark, july_copy, JULY)
+    assert {r.table for r in failure.value.runs if r.status == "failed"} == {"ml_aluno"}
+
+
 def test_gold_run_drops_stale_years(spark, july_copy):
     layout = july_copy
     for fact in ("fct_avaliacao_aluno", "fct_meta_municipio", "fct_meta_uf"):
