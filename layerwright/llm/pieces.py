@@ -27,7 +27,7 @@ from pyspark.sql.types import BinaryType, StringType
 
 SPACE = "▁"
 #: Words whose ids a worker keeps; when full, the table starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 NEVER = 1 << 60
 
 
