@@ -16,7 +16,7 @@ differ. The steps:
    in at most as many bits as the sets in shingles, so a pair beyond the bound is no link. What is left is sent on as a spanning
    forest, never as all pairs. Keys of more than ``TILE`` documents are dealt to pairs of tiles.
 5. The forest's components are small groups that hold every link. In each, the sets themselves are compared, but for
-   pairs that verified links connect already; groups beyond ``TILE`` documents are dealt to pairs of tiles. The
+   pairs that verified links connect already; groups beyond ``VERIFIED`` documents are dealt to pairs of tiles. The
    components of the verified links are the answer.
 
 Defined cases: null and empty texts and texts without words have the empty set and link with nothing, not even each other; with fewer words than a
@@ -41,8 +41,8 @@ from .shared import written
 
 SHINGLE = 5
 CELLS, SMALL, TILE = 64, 128, 8192
-#: Set bytes that one verifying task takes.
-VERIFIED_BYTES = 8 << 20
+#: Documents of a group, and text bytes, that one verifying task takes.
+VERIFIED, VERIFIED_BYTES = 1024, 1 << 20
 _BOUNDS = [1]
 while _BOUNDS[-1] < 1 << 40:
     _BOUNDS.append(_BOUNDS[-1] * 4 // 3 + 1)
@@ -405,7 +405,7 @@ def _linked(signed: DataFrame, blocks: int, tile: int) -> DataFrame:
     groups = components(forest, "a", "b")
     texts = signed.where("keys IS NOT NULL").select("ref", "raw")
     held = texts.join(groups, F.col("ref") == F.col("node"))
-    counts = groups.groupBy(F.col("component").alias("of")).agg(F.ceil(F.count("node") / tile).cast("bigint").alias("tiles"))
+    counts = groups.groupBy(F.col("component").alias("of")).agg(F.ceil(F.count("node") / min(tile, VERIFIED)).cast("bigint").alias("tiles"))
     held = held.join(counts, F.col("component") == F.col("of"))
     own = F.pmod(F.xxhash64("ref"), F.col("tiles"))
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: F.struct(F.least(own, i).alias("i"), F.greatest(own, i).alias("j")))
