@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bytes of text handled at once; a longer text is handled alone.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 _random = np.random.default_rng(20260101)
 _BYTE = _random.integers(1, 1 << 63, 256, dtype="uint64")
 _LOWER = np.arange(256, dtype="uint8")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .hashing import Words, grouped, mixed, words_of
+from .memo import Memo
 from .shared import free_name, written
 
 ORDER = 4
@@ -33,6 +34,8 @@ SPREADS, LEAST_BAND, ENOUGH = 8.0, 1.0, 30
 NO_LANGUAGE = "und"
 #: Rows of bands, one for each language, up to which they are sent to every executor.
 FEW = 10_000
+#: Words that a worker scores at once, which bounds its memory.
+WORDS_AT_ONCE = 16_384
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -153,6 +156,10 @@ class Model:
 
     def surprise(self, lang: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of negative log probabilities of each word's characters and end; their number."""
+        parts = [self._surprise(lang, words[a : a + WORDS_AT_ONCE]) for a in range(0, len(words), WORDS_AT_ONCE)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros(0, "int64"))
+
+    def _surprise(self, lang: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         number = self.languages.get(lang)
         length = np.array([len(w) + 1 for w in words], "int64")
         if number is None or not words:
@@ -215,6 +222,7 @@ def score(docs: DataFrame, model: Model, lang: str = "lang", text: str = "text",
     schema = StructType([*docs.schema.fields, StructField(into, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Memo] = {}
         for batch in batches:
             texts, langs = batch.column(batch.num_columns - 1).to_pylist(), np.array(batch.column(batch.num_columns - 2).to_pylist(), object)
             for some in grouped(texts):
@@ -227,8 +235,10 @@ def score(docs: DataFrame, model: Model, lang: str = "lang", text: str = "text",
                     here = np.flatnonzero(of[words.owner] == i)
                     _, first, back = np.unique(words.hashes[here], return_index=True, return_inverse=True)
                     spelled = [raw[a:b].decode() for a, b in zip(words.starts[here[first]].tolist(), words.ends[here[first]].tolist(), strict=True)]
-                    s, n = shared.value.surprise(str(name), spelled)
-                    surprise[here], symbols[here] = s[back], n[back]
+                    if name not in known:
+                        known[name] = Memo(lambda w, name=str(name): np.stack(shared.value.surprise(name, w), 1), 2)
+                    found_here = known[name](spelled)
+                    surprise[here], symbols[here] = found_here[back, 0], found_here[back, 1]
                 total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[words.first])  # noqa: B023, E731
                 n_symbols = total(symbols)
                 mean = total(surprise) / np.maximum(n_symbols, 1)
