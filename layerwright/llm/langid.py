@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .hashing import between, grouped, running, words_of
+from .memo import Memo
 from .shared import free_name, written
 
 LONGEST, ROUNDS = 24, 2
@@ -220,12 +221,13 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, p = shared.value
         names = np.array([*languages, NO_LANGUAGE], object)
+        logs_of = Memo(lambda words: forward(words, vocabulary(path), p), len(languages))
         for batch in batches:
             for some, words, owner, number in word_lists(batch.column(batch.num_columns - 1).to_pylist()):
                 n = some.stop - some.start
                 best, share = np.full(n, len(languages)), np.zeros(n)
                 if languages and len(number):
-                    logs = forward(words, vocabulary(path), p)
+                    logs = logs_of(words)
                     sums = np.stack([np.bincount(owner, weights=logs[number, j], minlength=n) for j in range(len(languages))], 1)
                     known = np.bincount(owner, minlength=n) > 0
                     best = np.where(known, sums.argmax(1), len(languages))
