@@ -7,17 +7,41 @@ result. ``n_chars`` follows the text where a stage changes it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerwright.llm import catalogue, jaccard, packing, perplexity, pii, substring
-from layerwright.llm.shared import free_name, importable, written
+from layerwright.llm.shared import free_name, noting, remove_unused, workers_ready, written
 
 #: Words of a window that may occur only once in the corpus.
 WINDOW = 35
 #: Tokens of a sequence.
 SEQUENCE = 4096
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables that stages have written on their way to a result. They go when a later stage begins, which reads that result
+#: from where it was written; a stage that still reads them keeps them. The last stage's stay.
+_ON_THE_WAY: list[str] = []
+
+
+def stage(noted: list[str]) -> Callable[[Stage], Stage]:
+    """A stage whose tables on the way are noted in ``noted``."""
+
+    def decorate(run: Stage) -> Stage:
+        @wraps(run)
+        def ready(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            workers_ready(spark)
+            remove_unused(spark, _ON_THE_WAY, docs)
+            with noting(noted):
+                return run(spark, docs, sf_dir)
+
+        return ready
+
+    return decorate
+
 
 def with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
     """``columns`` of ``docs`` with another text, and its length where a column ``n_chars`` says it."""
@@ -29,27 +53,28 @@ def with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
     return docs.withColumns(new).select(*columns)
 
 
+@stage(_ON_THE_WAY)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the perplexity bands keep."""
-    importable(spark)
     into = free_name(docs, "quality")
     return perplexity.assess(docs, into=into).where(F.col(into)["kept"]).select(*docs.columns)
 
 
+@stage(_ON_THE_WAY)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    importable(spark)
     return jaccard.distinct_documents(docs)
 
 
+@stage(_ON_THE_WAY)
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words that repeated passages cover; texts that lose none stay as they are, line breaks included."""
-    importable(spark)
     removed, kept = free_name(docs, "n_removed"), free_name(docs, "kept")
     parsed = substring.dedup(docs, size=WINDOW, keep_text=True)
     return with_text(parsed, docs.columns, F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text")))
 
 
+@stage(_ON_THE_WAY)
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by the name of its kind."""
     original = free_name(docs, "original")
@@ -61,9 +86,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return marked.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@stage([])
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequences and offsets."""
-    importable(spark)
     return packing.pack_documents(docs, catalogue.WORD_VOCABULARY, size=SEQUENCE)
 
 
@@ -82,6 +107,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each stage's result is written to the shared folder and read back for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, step in STAGES[:-1]:
+        docs = written(step(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

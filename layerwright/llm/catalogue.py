@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import credentials, jaccard, langid, ordering, packing, perplexity, pieces, pii, spans, substring, topk
-from .shared import importable
+from .shared import workers_ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +24,7 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
+    workers_ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
