@@ -30,7 +30,7 @@ from .shared import free_name, written
 
 ORDER = 4
 MOST = 1 << 19
-SPREADS, LEAST_BAND, ENOUGH = 8.0, 1.0, 30
+SPREADS, LEAST_BAND, ENOUGH = 8.0, 2.5, 30
 NO_LANGUAGE = "und"
 #: Rows of bands, one for each language, up to which they are sent to every executor.
 FEW = 10_000
