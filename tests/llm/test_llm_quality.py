@@ -77,9 +77,12 @@ def test_a_model_cut_short_stays_a_distribution(spark, monkeypatch):
     assert 0 < total < 1
 
 
-def test_bands_reject_noise_and_keep_the_rest(spark):
+def test_bands_reject_noise_and_keep_the_rest(spark, monkeypatch):
+    """In so small a corpus the noise is a good part of what the model has learned, so the band is narrower here."""
     import random
 
+    monkeypatch.setattr(perplexity, "LEAST_BAND", 1.0)
+
     rng = random.Random(1)
     rows = [(i, llmdata.prose(rng, 150), "en", None, None, None, None) for i in range(120)]
     rows += [(500, " ".join("".join(chr(rng.randint(0x400, 0x2000)) for _ in range(7)) for _ in range(120)), "en", None, None, None, None)]
