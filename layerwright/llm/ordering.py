@@ -2,14 +2,15 @@
 
 Sequences are numbered densely and the number goes through a Feistel network over the smallest even number of bits that
 holds all of them; a result beyond the last number goes through again until it is a number (cycle walking), so the slots
-are a permutation. One shuffle takes each sequence to its shard, a range of slots that one task sorts and
+are a permutation. One shuffle takes each sequence to its shard, a range of slots that one task puts in order and
 writes as a file of records of one length. A reader finds slot ``s`` in file ``s // shard_rows`` at byte
 ``s % shard_rows * stride``, so reading goes on from any slot without an index.
 
 A record is: document id (8 bytes), piece (4), number of ids (2), ids (2 each, zeros to the end), a line feed; integers are little-endian.
-Shards are written in the shared folder and by Spark's writer, so a lost task leaves no half file.
+Shards are written in the shared folder and by Spark's writer, so a lost task leaves no half file. Records travel in
+compressed lots, one for each shard that a batch has records for.
 
-Defined cases: null ids are written as -1 and null texts have the end id only; rows that repeat are sequences of their own; an
+Defined cases: null document ids are written as -1 and null texts have the end id only; rows that repeat are sequences of their own; an
 empty table makes one empty shard and no rows. Ids beyond 16 bits are an error.
 """
 
@@ -21,16 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .packing import token_pieces
-from .shared import shared_folder
+from .shared import free_name, shared_folder
 
 ROUNDS = 4
 HEAD = 14
+#: Records that go to the writer as one value; bytes of records that a task gathers before it sends them.
+LINES, GATHERED = 2048, 8 << 20
 #: Multipliers of the round function and their modulus.
 FIRST, SECOND, PRIME = 1_103_515_245, 1_664_525_003, 2_147_483_647
 
@@ -61,57 +62,57 @@ def permuted(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return x
 
 
-def slots(number: Column, n: int, key: int) -> Column:
-    @F.pandas_udf("bigint")
-    def run(numbers: pd.Series) -> pd.Series:
-        return pd.Series(permuted(numbers.to_numpy(), n, key))
-
-    return run(number)
-
-
 def numbered(sequences: DataFrame, path: str, name: str = "number") -> tuple[DataFrame, int]:
     """``sequences`` written to ``path`` and read back with dense numbers, and how many there are.
 
-    A task numbers its rows as it writes them; the tasks' totals, a row each, make the numbers global.
+    The writing task and the row's place in it are written too; the tasks' totals, a row each, make the numbers global.
     """
     spark = sequences.sparkSession
-    schema = StructType([*sequences.schema.fields, StructField("_part", LongType()), StructField("_at", LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(batch.num_rows, part), pa.int64()), pa.array(np.arange(at, at + batch.num_rows), pa.int64())],
-                names=schema.names,
-            )
-            at += batch.num_rows
-
-    sequences.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
-    rows = spark.read.schema(schema).parquet(path)
-    totals = rows.groupBy("_part").agg(F.count("_at").alias("n")).toPandas().sort_values("_part")
-    begin = spark.createDataFrame(
-        pd.DataFrame({"_of": totals["_part"].astype("int64"), "_begin": (totals["n"].cumsum() - totals["n"]).astype("int64")}), "_of bigint, _begin bigint"
-    )
-    joined = rows.join(F.broadcast(begin), F.col("_part") == F.col("_of"))
-    return joined.withColumn(name, F.col("_begin") + F.col("_at")).drop("_part", "_at", "_of", "_begin"), int(totals["n"].sum())
+    place = free_name(sequences, "_place")
+    placed = sequences.withColumn(place, F.monotonically_increasing_id())
+    placed.write.option("compression", "zstd").parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path)
+    part, at = F.shiftright(place, 33), F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    totals = rows.groupBy(part.alias("of")).agg(F.count(place).alias("n")).toPandas().sort_values("of")
+    begin = pd.DataFrame({"of": totals["of"].astype("int64"), "begin": (totals["n"].cumsum() - totals["n"]).astype("int64")})
+    begin = spark.createDataFrame(begin, "_of bigint, _begin bigint")
+    joined = rows.join(F.broadcast(begin), part == F.col("_of"))
+    return joined.withColumn(name, F.col("_begin") + at).drop(place, "_of", "_begin"), int(totals["n"].sum())
 
 
 def stride(length: int) -> int:
     return HEAD + 2 * length + 1
 
 
-def _records(length: int):
-    def run(ids: pd.Series, doc: pd.Series, piece: pd.Series) -> pd.Series:
-        out = []
-        for i, d, p in zip(ids, doc, piece, strict=True):
-            tokens = np.frombuffer(i, "<u4")
-            if len(tokens) > length or (len(tokens) and tokens.max() > 0xFFFF):
-                raise ValueError("a sequence is too long or an id needs more than 16 bits")
-            body = tokens.astype("<u2").tobytes()
-            out.append(b"".join([int(d).to_bytes(8, "little", signed=True), int(p).to_bytes(4, "little"), len(tokens).to_bytes(2, "little"), body, bytes(2 * (length - len(tokens)))]))
-        return pd.Series(out)
+def layout(length: int) -> np.dtype:
+    return np.dtype([("doc", "<i8"), ("piece", "<u4"), ("n", "<u2"), ("ids", "<u2", (length,)), ("end", "u1")])
+
 
-    return F.pandas_udf(run, "binary")
+def records(batch: pa.RecordBatch, length: int) -> np.ndarray:
+    """The records of sequences given as document id, piece and ids."""
+    ids = batch.column(2).to_pylist()
+    size = np.fromiter(map(len, ids), "int64", len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    if size.max(initial=0) > length or flat.max(initial=0) > 0xFFFF:
+        raise ValueError("a sequence is too long or an id needs more than 16 bits")
+    out = np.zeros(len(ids), layout(length))
+    out["doc"], out["piece"], out["n"], out["end"] = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), size, 10
+    out["ids"][np.arange(length) < size[:, None]] = flat
+    return out
+
+
+def gathered(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Records and numbers of some ``GATHERED`` bytes at a time: larger lots travel smaller."""
+    made, numbers, size = [], [], 0
+    for batch in batches:
+        made.append(records(batch, length))
+        numbers.append(batch.column(3).to_numpy())
+        size += made[-1].nbytes
+        if size >= GATHERED:
+            yield np.concatenate(made), np.concatenate(numbers)
+            made, numbers, size = [], [], 0
+    if made:
+        yield np.concatenate(made), np.concatenate(numbers)
 
 
 def materialise(docs: DataFrame, path: str, length: int = 128, key: int = 20260101, end_id: int = 1, shard_rows: int = 1 << 16, id_col: str = "doc_id", text: str = "text") -> tuple[str, int]:
@@ -121,13 +122,46 @@ def materialise(docs: DataFrame, path: str, length: int = 128, key: int = 202601
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/order-{uuid.uuid4().hex}"
-    pieces = token_pieces(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")), path, length, end_id)
+    pieces = token_pieces(docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("doc_id"), F.col(text).alias("text")), path, length, end_id, crc=False)
     rows, n = numbered(pieces.select("doc_id", "piece", "ids"), f"{folder}/sequences")
-    record = _records(length)("ids", F.coalesce("doc_id", F.lit(-1)), "piece")
-    placed = rows.select(slots(F.col("number"), n, key).alias("slot"), record.alias("record"))
-    shard = F.floor(F.col("slot") / shard_rows).cast("int")
-    shards = placed.repartitionById(max(1, -(-n // shard_rows)), shard).sortWithinPartitions("slot")
-    shards.select(F.col("record").cast("string").alias("value")).write.text(f"{folder}/shards")
+
+    def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for made, number in gathered(batches, length):
+            slot = permuted(number, n, key)
+            order = np.argsort(slot)
+            shard = slot[order] // shard_rows
+            cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+            parts = [order[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(shard[cuts[:-1]], pa.int32()),
+                    pa.array([slot[p].astype("<i8").tobytes() for p in parts], pa.binary()),
+                    pa.array([pack(made[p].tobytes()) for p in parts], pa.binary()),
+                ],
+                names=["shard", "slots", "lot"],
+            )
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack, slot, lot = zstandard.ZstdDecompressor().decompress, [], []
+        for batch in batches:
+            slot += [np.frombuffer(s, "<i8") for s in batch.column(1).to_pylist()]
+            lot += [np.frombuffer(unpack(d), layout(length)) for d in batch.column(2).to_pylist()]
+        if not slot:
+            return
+        order = np.argsort(np.concatenate(slot))
+        made = np.concatenate(lot)
+        for a in range(0, len(order), LINES):
+            # The writer adds a line feed, which is the last record's end.
+            yield pa.RecordBatch.from_arrays([pa.array([made[order[a : a + LINES]].tobytes()[:-1]], pa.binary())], names=["value"])
+
+    packed = rows.select("doc_id", "piece", "ids", "number").mapInArrow(lots, "shard int, slots binary, lot binary")
+    shards = packed.repartitionById(max(1, -(-n // shard_rows)), F.col("shard")).mapInArrow(in_order, "value binary")
+    shards.select(F.col("value").cast("string").alias("value")).write.text(f"{folder}/shards")
     return f"{folder}/shards", n
 
 

@@ -30,10 +30,11 @@ from .words_bpe import TEXT_AT_ONCE, tokenizer
 BINS_A_TASK = 2048
 
 
-def token_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each piece: the id, ``piece``, ``start``, ``length``, ``ids`` (binary, four bytes an id), ``ids_crc32``."""
+def token_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str = "doc_id", text: str = "text", crc: bool = True) -> DataFrame:
+    """A row for each piece: the id, ``piece``, ``start``, ``length``, ``ids`` (binary, four bytes an id), and with ``crc`` ``ids_crc32``."""
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint"
+    schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids binary" + ", ids_crc32 bigint" * crc
+    names = [id_col, "piece", "start", "length", "ids", "ids_crc32"][: 5 + crc]
     end, step = np.asarray([end_id], "<u4").tobytes(), 4 * size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,21 +42,24 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str
         for whole in batches:
             texts = whole.column(1).to_pylist()
             for some in grouped(texts, TEXT_AT_ONCE):
-                batch = whole.slice(some.start, some.stop - some.start)
-                all_ids = [i + end for i in encode(texts[some])]
-                cuts = [(row, at) for row, ids in enumerate(all_ids) for at in range(0, len(ids), step)]
-                parts = [all_ids[row][at : at + step] for row, at in cuts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array([row for row, _ in cuts], pa.int64())),
-                        pa.array([at // step for _, at in cuts], pa.int32()),
-                        pa.array([at // 4 for _, at in cuts], pa.int64()),
-                        pa.array([len(p) // 4 for p in parts], pa.int64()),
-                        pa.array(parts, pa.binary()),
-                        pa.array([zlib.crc32(p) for p in parts], pa.int64()),
-                    ],
-                    names=[id_col, "piece", "start", "length", "ids", "ids_crc32"],
-                )
+                all_ids = encode(texts[some])
+                stream = end.join([*all_ids, b""])  # the pieces of all documents, one after the other
+                bytes_of = np.fromiter(map(len, all_ids), "int64", len(all_ids)) + 4
+                pieces = -(-bytes_of // step)
+                row = np.repeat(np.arange(len(all_ids)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.minimum(step, bytes_of[row] - piece * step)
+                cuts = np.concatenate([[0], np.cumsum(length)])
+                columns = [
+                    whole.column(0).slice(some.start, some.stop - some.start).take(pa.array(row)),
+                    pa.array(piece, pa.int32()),
+                    pa.array(piece * size, pa.int64()),
+                    pa.array(length // 4, pa.int64()),
+                    pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts.astype("int32")), pa.py_buffer(stream)]),
+                ]
+                if crc:
+                    columns.append(pa.array([zlib.crc32(stream[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)], pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(F.col(id_col), F.col(text).cast("string").cast("binary")).mapInArrow(run, schema)
 

@@ -19,7 +19,7 @@ import numpy as np
 from .hashing import grouped, words_of
 
 #: Parts, and words, whose ids a worker has at hand: those of the last this many met, and of as many before.
-KEPT = 300_000
+KEPT = 150_000
 #: Parts or words in one call; bytes of text whose parts are looked up together.
 AT_ONCE, TEXT_AT_ONCE = 4096, 4 << 20
 #: Characters that composition leaves alone and whose lower case is one character.
@@ -79,6 +79,9 @@ class WordTokenizer:
     def _learn(self, parts: list[bytes]) -> None:
         plain, other = {}, []
         for raw in parts:
+            if raw.isalpha():  # ASCII letters are one word
+                plain[raw] = (raw.lower().decode(),)
+                continue
             p = raw.decode()
             if PLAIN.fullmatch(p) and "<|" not in p:
                 plain[raw] = WORDS.findall(p.lower())
