@@ -2,10 +2,11 @@
 
 The model is a modified Kneser-Ney model of order ``ORDER`` over the characters of words, one for each language. Spark
 counts the words of every text and from them the n-grams, the distinct left contexts of the lower orders, the counts of
-counts and the context totals. What stays of the n-grams is stored as arrays sorted by hash, with their discounted shares
-and their contexts' remaining mass; the mass of what does not stay goes to the next lower order, so the model
-stays a distribution. An n-gram stays if its count is at least the order's total count divided by ``MOST``, hence
-at most ``MOST`` n-grams an order, whatever the input; that is what is sent to the executors.
+counts and the context totals, and gives every n-gram its probability, by joins from the lowest order up. No n-gram is left out,
+whatever the input. Each distinct word of a language is scored once, by a join of its n-grams with their probabilities.
+
+Texts meet the scores of their words in two ways that give the same sums: the scores of the most frequent words, at most ``SENT``
+and those the most frequent by powers of two, are sent to the executors; a text's other words, none of which is frequent, are joined.
 
 A text is rejected for its perplexity if the logarithm lies more than ``SPREADS`` spreads (the middle 80 % of its language,
 as standard deviations) from its language's median, and more than ``LEAST_BAND``: texts that mix languages, or bear the wrong one, are no junk. Languages of fewer than ``ENOUGH`` scored texts reject none.
@@ -17,19 +18,22 @@ perplexity; repeated rows count each; an empty table gives no rows; extra column
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .hashing import Words, grouped, mixed, words_of
-from .memo import Memo
 from .shared import free_name, written
 
 ORDER = 4
+#: N-grams an order of the small model that ``fit`` gives; the corpus is not scored by it.
 MOST = 1 << 19
+#: Words whose scores are sent to every executor.
+SENT = 1 << 20
 SPREADS, LEAST_BAND, ENOUGH = 8.0, 2.5, 30
 NO_LANGUAGE = "und"
 #: Rows of bands, one for each language, up to which they are sent to every executor.
@@ -37,6 +41,8 @@ FEW = 10_000
 #: Words that a worker scores at once, which bounds its memory.
 WORDS_AT_ONCE = 16_384
 SYMBOLS = b"#*$%&|<>"
+#: What words are scored by.
+VALUES = ["surprise"]
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -82,35 +88,92 @@ def features(texts: list[bytes | None], words: Words) -> dict[str, np.ndarray]:
     }
 
 
+def _word_keys(words: Words, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the texts' languages; for each word the number of its name, and a hash of language and word."""
+    names, of = np.unique(langs.astype(str), return_inverse=True)
+    salt = np.array([int.from_bytes(blake2b(n.encode(), digest_size=8).digest(), "little") for n in names.tolist()], "uint64")
+    owner = of[words.owner]
+    return names, owner, mixed(words.hashes ^ salt[owner])
+
+
 def count_words(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """``lang``, ``word`` and its number ``n``: the words of all texts, counted in each task and then over tasks."""
+    """``lang``, ``word``, their hash ``key`` and number ``n``: the words of all texts, counted in each task and then over tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, langs = batch.column(1).to_pylist(), np.array(batch.column(0).to_pylist(), object)
             for some in grouped(texts):
                 words = words_of(texts[some])
-                names, of = np.unique(langs[some].astype(str), return_inverse=True)
-                owner = of[words.owner]
-                _, first, back = np.unique(mixed(words.hashes + owner.astype("uint64")), return_index=True, return_inverse=True)
+                names, owner, keys = _word_keys(words, langs[some])
+                keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
                 raw = words.raw.tobytes()
                 spelled = [raw[a:b].decode() for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[owner[first]].tolist(), pa.string()), pa.array(spelled, pa.string()), pa.array(np.bincount(back, minlength=len(first)), pa.int64())],
-                    names=["lang", "word", "n"],
+                    [pa.array(names[owner[first]].tolist(), pa.string()), pa.array(spelled, pa.string()), pa.array(keys.view("int64"), pa.int64()), pa.array(np.bincount(back, minlength=len(first)), pa.int64())],
+                    names=["lang", "word", "key", "n"],
                 )
 
     rows = docs.select(_language(F.col(lang)), F.col(text).cast("string").cast("binary"))
-    return rows.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, word string, key bigint, n bigint").groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
 
 
-def count_grams(words: DataFrame) -> DataFrame:
-    """``lang``, ``gram``, ``n``: a gram of up to ``ORDER`` characters for each character of a word and for its end, a space standing
-    for the word's edges. Shorter grams start at the word's edge."""
+def _grams() -> Column:
+    """A gram of up to ``ORDER`` characters for each character of ``word`` and for its end, a space standing for the word's
+    edges. Shorter grams start at the word's edge."""
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     ends = F.sequence(F.lit(2), F.length("word") + 2)
-    grams = F.transform(ends, lambda e: F.substring(padded, F.greatest(F.lit(1), e - (ORDER - 1)), F.least(e, F.lit(ORDER))))
-    return words.select("lang", F.explode(grams).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return F.transform(ends, lambda e: F.substring(padded, F.greatest(F.lit(1), e - (ORDER - 1)), F.least(e, F.lit(ORDER))))
+
+
+def count_grams(words: DataFrame) -> DataFrame:
+    """``lang``, ``gram``, ``n``: the words' grams and their numbers."""
+    return words.select("lang", F.explode(_grams()).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _levels(words: DataFrame) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """The words' grams, and the counts of each order: occurrences in the highest, distinct left contexts below."""
+    grams = written(count_grams(words), "grams")
+    level = {ORDER: grams.where(F.length("gram") == ORDER)}
+    for order in range(ORDER - 1, 0, -1):
+        # Left contexts of the next order's grams; a gram at the word's edge has none and counts as it is.
+        below = level[order + 1].select("lang", F.substring("gram", 2, order).alias("gram")).groupBy("lang", "gram").agg(F.count("gram").alias("n"))
+        if order > 1:
+            below = below.unionByName(grams.where(F.length("gram") == order))
+        level[order] = written(below.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lower")
+    return grams, level
+
+
+def _sent_if_few(by_language: DataFrame, languages: int) -> DataFrame:
+    return F.broadcast(by_language) if languages <= FEW else by_language
+
+
+def gram_probabilities(words: DataFrame) -> DataFrame:
+    """``lang``, ``gram``, ``p``: the probability of the last character of each gram of the words after the characters before it."""
+    _, level = _levels(words)
+    found: dict[int, DataFrame] = {}
+    languages = level[1].select("lang").distinct().count()
+    for order in range(1, ORDER + 1):
+        counts = level[order].withColumn("context", F.substring("gram", 1, order - 1))
+        times = [F.sum((F.col("n") == i).cast("double")) for i in range(1, 5)]
+        off = counts.groupBy("lang").agg(_discount_columns(*times).alias("off"), F.count("gram").alias("symbols"))
+        less = F.get("off", F.least(F.col("n"), F.lit(3)).cast("int") - 1)
+        cut = counts.join(_sent_if_few(off, languages), "lang").withColumn("cut", F.greatest(F.col("n") - less, F.lit(0.0)))
+        totals = cut.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("used"))
+        joined = cut.join(totals, ["lang", "context"])
+        below = 1 / (F.col("symbols") + 1)
+        if order > 1:
+            lower = found[order - 1].select("lang", F.col("gram").alias("shorter"), F.col("p").alias("below"))
+            joined, below = joined.withColumn("shorter", F.substring("gram", 2, order - 1)).join(lower, ["lang", "shorter"]), F.col("below")
+        rest = F.greatest(1 - F.col("used") / F.col("total"), F.lit(1e-9))
+        found[order] = written(joined.select("lang", "gram", (F.col("cut") / F.col("total") + rest * below).alias("p")), "probabilities")
+    # Below the highest order, words have the grams that begin at their edge.
+    return found[ORDER].unionByName(found[3].unionByName(found[2]).where(F.startswith("gram", F.lit(" "))))
+
+
+def word_scores(words: DataFrame) -> DataFrame:
+    """``key``, ``n`` and ``surprise`` of counted words: the sum of negative log probabilities of the characters and the end."""
+    grams = words.select("key", "n", F.explode(_grams()).alias("gram"), "lang").join(gram_probabilities(words), ["lang", "gram"])
+    return grams.groupBy("key", "n").agg(F.sum(-F.log("p")).alias("surprise"))
 
 
 def _hash(lang: int, points: np.ndarray) -> np.ndarray:
@@ -179,15 +242,9 @@ class Model:
 
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
-    """The model of all words of ``docs``."""
-    grams = written(count_grams(count_words(docs, lang, text)), "grams")
-    level = {ORDER: grams.where(F.length("gram") == ORDER)}
-    for order in range(ORDER - 1, 0, -1):
-        # Left contexts of the next order's grams; a gram at the word's edge has none and counts as it is.
-        below = level[order + 1].select("lang", F.substring("gram", 2, order).alias("gram")).groupBy("lang", "gram").agg(F.count("gram").alias("n"))
-        if order > 1:
-            below = below.unionByName(grams.where(F.length("gram") == order))
-        level[order] = written(below.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lower")
+    """A model of all words of ``docs`` with at most ``MOST`` n-grams an order, for texts that ``docs`` does not hold. The mass of
+    n-grams that it leaves out goes to the next lower order. ``assess`` does not use it."""
+    grams, level = _levels(count_words(docs, lang, text))
     languages = sorted(r[0] for r in grams.select("lang").distinct().collect())
     model = Model(languages)
     for order, counts in level.items():
@@ -212,43 +269,74 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
     return tuple(float(min(max(d, 0.1), i + 0.9)) for i, d in enumerate(raw))
 
 
-def score(docs: DataFrame, model: Model, lang: str = "lang", text: str = "text", into: str = "quality") -> DataFrame:
-    """``docs`` with a struct ``into`` (a free name): the counted features and ``log_perplexity`` (null without words). Rows are scored
-    where they are read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _discount_columns(n1: Column, n2: Column, n3: Column, n4: Column) -> Column:
+    """``_discounts`` as an array column."""
+    y = F.when(n1 > 0, n1 / (n1 + 2 * n2)).otherwise(0.5)
+    ratio = lambda a, b: F.when(a > 0, b / a).otherwise(1.0)
+    raw = 1 - 2 * y * ratio(n1, n2), 2 - 3 * y * ratio(n2, n3), 3 - 4 * y * ratio(n3, n4)
+    return F.array(*[F.least(F.greatest(d, F.lit(0.1)), F.lit(i + 0.9)) for i, d in enumerate(raw)])
+
+
+def frequent(scores: DataFrame, values: list[str]) -> list[np.ndarray]:
+    """Keys, in ascending order, and ``values`` of the words with at least 2**b occurrences, for the least b with at most ``SENT`` words."""
+    power = F.floor(F.log2("n")).cast("int")
+    least, held = 64, 0
+    for r in scores.groupBy(power.alias("b")).count().orderBy(F.desc("b")).collect():
+        held += r["count"]
+        if held > SENT:
+            break
+        least = r["b"]
+    rows = scores.where(power >= least).select("key", *[F.col(v).cast("float") for v in values]).toArrow()
+    key = rows.column("key").to_numpy().view("uint64")
+    order = np.argsort(key)
+    return [key[order], *(rows.column(v).to_numpy()[order] for v in values)]
+
+
+def score(docs: DataFrame, scores: DataFrame, lang: str = "lang", text: str = "text", into: str = "quality", drop_text: bool = False) -> DataFrame:
+    """``docs`` with a struct ``into`` (a free name): the counted features and the sums of ``VALUES`` of its words that are
+    sent to the executors, and ``others``, the keys of its other words. Rows are scored where they are read."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(scores, VALUES))
     of_lang, raw_text = free_name(docs, "_lang"), free_name(docs, "_raw")
     plain = docs.withColumns({of_lang: _language(F.col(lang)), raw_text: F.col(text).cast("string").cast("binary")})
-    kind = StructType([*(StructField(f, LongType()) for f in FEATURES), StructField("log_perplexity", DoubleType())])
-    schema = StructType([*docs.schema.fields, StructField(into, kind)])
+    plain = plain.drop(text) if drop_text else plain
+    kind = StructType([*(StructField(f, LongType()) for f in FEATURES), *(StructField(v, DoubleType()) for v in VALUES), StructField("others", ArrayType(LongType()))])
+    schema = StructType([*plain.schema.fields[:-2], StructField(into, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Memo] = {}
+        known, *values = shared.value
         for batch in batches:
             texts, langs = batch.column(batch.num_columns - 1).to_pylist(), np.array(batch.column(batch.num_columns - 2).to_pylist(), object)
             for some in grouped(texts):
                 words = words_of(texts[some])
                 found = features(texts[some], words)
-                names_here, of = np.unique(langs[some].astype(str), return_inverse=True)
-                surprise, symbols = np.zeros(len(words.hashes)), np.ones(len(words.hashes))
-                raw = words.raw.tobytes()
-                for i, name in enumerate(names_here):
-                    here = np.flatnonzero(of[words.owner] == i)
-                    _, first, back = np.unique(words.hashes[here], return_index=True, return_inverse=True)
-                    spelled = [raw[a:b].decode() for a, b in zip(words.starts[here[first]].tolist(), words.ends[here[first]].tolist(), strict=True)]
-                    if name not in known:
-                        known[name] = Memo(lambda w, name=str(name): np.stack(shared.value.surprise(name, w), 1), 2)
-                    found_here = known[name](spelled)
-                    surprise[here], symbols[here] = found_here[back, 0], found_here[back, 1]
+                _, _, keys = _word_keys(words, langs[some])
+                keys, back = np.unique(keys, return_inverse=True)
+                at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+                sent = known[at] == keys if len(known) else np.zeros(len(keys), bool)
                 total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[words.first])  # noqa: B023, E731
-                n_symbols = total(symbols)
-                mean = total(surprise) / np.maximum(n_symbols, 1)
+                sums = [total(np.where(sent, v[at], 0.0)[back] if len(known) else np.zeros(len(back))) for v in values]
+                other = ~sent[back]
+                first = np.concatenate([[0], np.cumsum(other)])[words.first].astype("int32")
+                others = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(keys[back[other]].view("int64"), pa.int64()))
                 part = batch.slice(some.start, some.stop - some.start)
-                values = [*(pa.array(found[f], pa.int64()) for f in FEATURES), pa.array(mean, pa.float64(), mask=n_symbols == 0)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.StructArray.from_arrays(values, names=kind.names)], names=schema.names)
+                columns = [*(pa.array(found[f], pa.int64()) for f in FEATURES), *(pa.array(x, pa.float64()) for x in sums), others]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.StructArray.from_arrays(columns, names=kind.names)], names=schema.names)
 
     return plain.mapInArrow(run, schema)
 
 
+def summed(scored: DataFrame, scores: DataFrame, lang: str, into: str, number: str) -> DataFrame:
+    """``number``, ``lang`` and the struct ``into`` of the features and ``log_perplexity`` (null without words) of rows that ``score`` gives,
+    ``number`` telling them apart."""
+    others = scored.select(number, F.explode(F.col(into)["others"]).alias("key")).join(scores.select("key", *VALUES), "key")
+    others = others.groupBy(F.col(number).alias("_at")).agg(*[F.sum(v).alias(f"_{v}") for v in VALUES])
+    value = lambda name: F.col(into)[name]
+    joined = scored.select(number, lang, into).join(others, F.col(number) == F.col("_at"), "left")
+    symbols = value("word_chars") + value("n_words")  # a word's end counts as one
+    mean = lambda v: F.when(symbols > 0, (value(v) + F.coalesce(f"_{v}", F.lit(0.0))) / symbols)
+    return joined.select(number, lang, F.struct(*[value(f).alias(f) for f in FEATURES], mean("surprise").alias("log_perplexity")).alias(into))
+
+
 def judged(scored: DataFrame, lang: str = "lang", into: str = "quality") -> DataFrame:
     """Adds ``base_failed`` and ``kept`` to the struct that ``score`` gives; reads ``scored`` twice."""
     value = lambda name: F.col(into)[name]
@@ -268,6 +356,11 @@ def judged(scored: DataFrame, lang: str = "lang", into: str = "quality") -> Data
 
 
 def assess(docs: DataFrame, lang: str = "lang", text: str = "text", into: str = "quality", drop_text: bool = False) -> DataFrame:
-    """Fits the model on ``docs``, scores them, writes the scored rows to the shared folder and judges them."""
-    scored = score(docs, fit(docs, lang, text), lang, text, into)
-    return judged(written(scored.drop(text) if drop_text else scored, "scored"), lang, into)
+    """Scores the words of ``docs`` by the model of all of them, writes the texts' sums to the shared folder and judges them."""
+    words = written(count_words(docs, lang, text), "words")
+    scores = written(word_scores(words), "scores")
+    number = free_name(docs, "_number")
+    scored = written(score(docs, scores, lang, text, into, drop_text).withColumn(number, F.monotonically_increasing_id()), "scored")
+    totals = written(summed(scored, scores, lang, into, number), "totals")
+    verdicts = judged(totals, lang, into).select(number, into)
+    return scored.drop(into).join(verdicts, number).drop(number)

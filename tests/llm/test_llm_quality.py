@@ -77,6 +77,23 @@ def test_a_model_cut_short_stays_a_distribution(spark, monkeypatch):
     assert 0 < total < 1
 
 
+def test_scores_use_every_gram(spark, monkeypatch):
+    """Neither the bound of the small model nor the number of words that are sent changes a score."""
+    texts = {"xx": ["the cat sat on the mat", "the dog sat on the log and the cat", "été élan zebra"], "yy": ["die katze sah den hund", "the the a"]}
+    docs = spark.createDataFrame([(t, x) for x, some in texts.items() for t in some] + [("", "xx"), (None, None)], "text string, lang string").repartition(3)
+    plain = {x: plain_model(collections.Counter(w for t in some for w in t.split())) for x, some in texts.items()}
+    for most, sent in ((12, 2), (1 << 19, 1 << 20), (12, 0)):
+        monkeypatch.setattr(perplexity, "MOST", most)
+        monkeypatch.setattr(perplexity, "SENT", sent)
+        found = {(r["text"], r["lang"]): r["quality"]["log_perplexity"] for r in perplexity.assess(docs).collect()}
+        assert len(found) == 7
+        assert found["", "xx"] is None and found[None, None] is None
+        for x, some in texts.items():
+            for t in some:
+                p = [q for w in t.split() for q in plain[x](w)]
+                assert found[t, x] == pytest.approx(-sum(map(math.log, p)) / len(p), rel=1e-4)
+
+
 def test_bands_reject_noise_and_keep_the_rest(spark, monkeypatch):
     """In so small a corpus the noise is a good part of what the model has learned, so the band is narrower here."""
     import random
