@@ -22,6 +22,13 @@ KINDS = (*BASE, "iban", "ssn")
 PRIOR = {"email": 0.6, "ip": 0.4, "card": 0.3, "phone": 0.4, "iban": 0.3, "ssn": 0.3}
 CHECKED, NEARBY, ENOUGH = 0.3, 0.3, 0.6
 
+#: Characters of an account number after its country's code and two digits, from the register of account number formats.
+IBAN_REST = {
+    11: "NO", 12: "BE", 14: "DK FK FO FI GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU MN XK", 17: "CH HR LI LV",
+    18: "BG BH CR DE GB GE IE ME RS VA", 19: "AE GI IL IQ OM SO TL", 20: "AD CZ ES MD PK RO SA SE SK TN VG",
+    21: "LY PT ST", 22: "IS TR", 23: "BI DJ FR GR IT MC MR SM", 24: "AL AZ BY CY DO GT HN HU LB NI PL SV", 25: "BR EG PS QA UA",
+    26: "JO KW MU YE", 27: "MT SC", 28: "LC", 29: "RU",
+}
 LOCAL = "A-Za-z0-9._%+-"
 #: Same matches as the stated base patterns; see ``spans.run_start`` for the starts that are skipped.
 PATTERNS = {
@@ -29,7 +36,10 @@ PATTERNS = {
     "ip": sp.run_start("0-9") + r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # As long as the country has it, so what follows after a space does not count; codes outside the register have any length.
+    "iban": r"(?<![A-Za-z0-9])(?:"
+    + "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n}}}+" for n, names in IBAN_REST.items())
+    + rf"|(?!(?:{'|'.join(IBAN_REST.values()).replace(' ', '|')}))[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
 }
 NEEDS = {"email": ("@",), "ip": (".",), "phone": ("+",), "ssn": ("-",)}

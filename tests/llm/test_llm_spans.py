@@ -70,6 +70,23 @@ def test_checksums_and_context(spark, tmp_path, text, kinds):
         assert text[int(start) : int(end)].replace(" ", "").isalnum() or "-" in text
 
 
+@pytest.mark.parametrize(
+    ("number", "after"),
+    [
+        ("DE89 3704 0044 0532 0130 00", " BIC COBADEFFXXX"),
+        ("GB29NWBK60161331926819", " USD 500"),
+        ("GB82 WEST 1234 5698 7654 32", " 1200 EUR"),
+        ("NO93 8601 1117 947", " DNBANOKK"),
+        ("FR1420041010050500013M02606", "."),
+        ("MT84MALT011000012345MTLCAST001S", " A"),
+    ],
+)
+def test_account_numbers_before_other_words(spark, tmp_path, number, after):
+    text = f"IBAN {number}{after}"
+    found = spans_in(spark, tmp_path, catalogue.op8_pii, text)
+    assert [s for s in found.split(",") if s.startswith("iban")] == [f"iban:5:{5 + len(number)}"]
+
+
 def test_context_raises_the_score(spark):
     docs = spark.createDataFrame([("call +49 30 123456 now",), ("see +49 30 123456 now",)], "text string")
     near, far = (r["spans"][0]["score"] for r in pii.find(docs).collect())
