@@ -8,8 +8,12 @@ whatever the input. Each distinct word of a language is scored once, by a join o
 Texts meet the scores of their words in two ways that give the same sums: the scores of the most frequent words, at most ``SENT``
 and those the most frequent by powers of two, are sent to the executors; a text's other words, none of which is frequent, are joined.
 
-A text is rejected for its perplexity if the logarithm lies more than ``SPREADS`` spreads (the middle 80 % of its language,
-as standard deviations) from its language's median, and more than ``LEAST_BAND``: texts that mix languages, or bear the wrong one, are no junk. Languages of fewer than ``ENOUGH`` scored texts reject none.
+The bands are of the logarithm, within a language. The lower edge is a share of the median: the share that the language's lowest
+tenth keeps, to the power that makes it ``SPREADS`` spreads, and ``MOST_LOW`` at most; it is above 0. The upper edge is ``SPREADS``
+spreads (the middle 80 % of its language, as standard deviations) above the median, and ``LEAST_BAND`` at least. Texts that
+mix languages, or bear the wrong one, are no junk: a text beyond the upper edge is rejected only if its excess is beyond that reach
+as well. A word's excess is its sum above its language's mean, taken in the language that gives the least, of those with ``ENOUGH``
+texts that have the word. Languages of fewer than ``ENOUGH`` scored texts reject none.
 
 Defined cases: null texts have no words, null languages count as one language of their own; texts without words have no
 perplexity; repeated rows count each; an empty table gives no rows; extra columns pass through.
@@ -22,7 +26,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
@@ -34,7 +38,9 @@ ORDER = 4
 MOST = 1 << 19
 #: Words whose scores are sent to every executor.
 SENT = 1 << 20
-SPREADS, LEAST_BAND, ENOUGH = 8.0, 2.5, 30
+#: N-grams whose probabilities are sent to every executor.
+SENT_GRAMS = 1 << 19
+SPREADS, LEAST_BAND, MOST_LOW, ENOUGH = 8.0, 0.5, 0.85, 30
 NO_LANGUAGE = "und"
 #: Rows of bands, one for each language, up to which they are sent to every executor.
 FEW = 10_000
@@ -42,7 +48,7 @@ FEW = 10_000
 WORDS_AT_ONCE = 16_384
 SYMBOLS = b"#*$%&|<>"
 #: What words are scored by.
-VALUES = ["surprise"]
+VALUES = ["surprise", "excess"]
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -97,7 +103,7 @@ def _word_keys(words: Words, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def count_words(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """``lang``, ``word``, their hash ``key`` and number ``n``: the words of all texts, counted in each task and then over tasks."""
+    """``lang``, ``word`` and its number ``n``: the words of all texts, counted in each task and then over tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,16 +111,28 @@ def count_words(docs: DataFrame, lang: str, text: str) -> DataFrame:
             for some in grouped(texts):
                 words = words_of(texts[some])
                 names, owner, keys = _word_keys(words, langs[some])
-                keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
+                _, first, back = np.unique(keys, return_index=True, return_inverse=True)
                 raw = words.raw.tobytes()
                 spelled = [raw[a:b].decode() for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[owner[first]].tolist(), pa.string()), pa.array(spelled, pa.string()), pa.array(keys.view("int64"), pa.int64()), pa.array(np.bincount(back, minlength=len(first)), pa.int64())],
-                    names=["lang", "word", "key", "n"],
+                    [pa.array(names[owner[first]].tolist(), pa.string()), pa.array(spelled, pa.string()), pa.array(np.bincount(back, minlength=len(first)), pa.int64())],
+                    names=["lang", "word", "n"],
                 )
 
     rows = docs.select(_language(F.col(lang)), F.col(text).cast("string").cast("binary"))
-    return rows.mapInArrow(run, "lang string, word string, key bigint, n bigint").groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def keyed(words: DataFrame) -> DataFrame:
+    """Counted words with ``key``, the hash of language and word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, spelled, n = batch.columns
+            _, _, keys = _word_keys(words_of(spelled.cast(pa.binary()).to_pylist()), np.array(langs.to_pylist(), object))
+            yield pa.RecordBatch.from_arrays([langs, spelled, n, pa.array(keys.view("int64"))], names=["lang", "word", "n", "key"])
+
+    return words.select("lang", "word", "n").mapInArrow(run, "lang string, word string, n bigint, key bigint")
 
 
 def _grams() -> Column:
@@ -148,7 +166,7 @@ def _sent_if_few(by_language: DataFrame, languages: int) -> DataFrame:
 
 
 def gram_probabilities(words: DataFrame) -> DataFrame:
-    """``lang``, ``gram``, ``p``: the probability of the last character of each gram of the words after the characters before it."""
+    """``lang``, ``gram``, ``n``, ``p``: number, and the probability of the last character of each gram of the words after the characters before it."""
     _, level = _levels(words)
     found: dict[int, DataFrame] = {}
     languages = level[1].select("lang").distinct().count()
@@ -165,15 +183,43 @@ def gram_probabilities(words: DataFrame) -> DataFrame:
             lower = found[order - 1].select("lang", F.col("gram").alias("shorter"), F.col("p").alias("below"))
             joined, below = joined.withColumn("shorter", F.substring("gram", 2, order - 1)).join(lower, ["lang", "shorter"]), F.col("below")
         rest = F.greatest(1 - F.col("used") / F.col("total"), F.lit(1e-9))
-        found[order] = written(joined.select("lang", "gram", (F.col("cut") / F.col("total") + rest * below).alias("p")), "probabilities")
+        found[order] = written(joined.select("lang", "gram", "n", (F.col("cut") / F.col("total") + rest * below).alias("p")), "probabilities")
     # Below the highest order, words have the grams that begin at their edge.
     return found[ORDER].unionByName(found[3].unionByName(found[2]).where(F.startswith("gram", F.lit(" "))))
 
 
-def word_scores(words: DataFrame) -> DataFrame:
-    """``key``, ``n`` and ``surprise`` of counted words: the sum of negative log probabilities of the characters and the end."""
-    grams = words.select("key", "n", F.explode(_grams()).alias("gram"), "lang").join(gram_probabilities(words), ["lang", "gram"])
-    return grams.groupBy("key", "n").agg(F.sum(-F.log("p")).alias("surprise"))
+def _least_sent(counted: DataFrame, most: int) -> tuple[int, bool]:
+    """The least b with at most ``most`` rows whose ``n`` is 2**b or more; whether these are all rows."""
+    least, held = 64, 0
+    for r in counted.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().orderBy(F.desc("b")).collect():
+        held += r["count"]
+        if held > most:
+            return least, False
+        least = r["b"]
+    return least, True
+
+
+def word_scores(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """``key``, ``n``, ``surprise`` and ``excess`` of counted words. ``surprise``: the sum of negative log probabilities of the
+    characters and the end; ``excess``: what it is above the language's mean, in the word's best language. ``texts``: ``lang`` and
+    its number of texts ``texts``."""
+    p = gram_probabilities(words)
+    mean = p.groupBy("lang").agg((-F.sum(F.col("n") * F.log("p")) / F.sum("n")).alias("mean")).join(texts, "lang")
+    mean = written(mean.select("lang", "mean", (F.col("texts") >= ENOUGH).alias("counts")), "means")
+    # Partitioned by word, which serves the sums and the languages of a word alike.
+    spread = words.withColumn("word_hash", F.xxhash64("word")).repartition("word_hash")
+    grams = spread.select("word_hash", "key", "n", (F.length("word") + 1).alias("size"), "lang", F.explode(_grams()).alias("gram"))
+    # Most of the words' grams meet a gram that is sent; only the others are moved to theirs.
+    least, all_sent = _least_sent(p, SENT_GRAMS)
+    power = F.floor(F.log2("n"))
+    met = grams.join(F.broadcast(p.where(power >= least).select("lang", "gram", "p")), ["lang", "gram"], "inner" if all_sent else "left")
+    if not all_sent:
+        rare = p.where(power < least).select("lang", "gram", "p")
+        met = met.where("p IS NOT NULL").unionByName(met.where("p IS NULL").drop("p").join(rare, ["lang", "gram"]))
+    summed = met.groupBy("word_hash", "key", "n", "size", "lang").agg(F.sum(-F.log("p")).alias("surprise"))
+    own = summed.join(_sent_if_few(mean, mean.count()), "lang").withColumn("own", F.col("surprise") - F.col("size") * F.col("mean"))
+    best = F.min(F.when(F.col("counts"), F.col("own"))).over(Window.partitionBy("word_hash"))
+    return own.select("key", "n", "surprise", F.least("own", best).alias("excess"))
 
 
 def _hash(lang: int, points: np.ndarray) -> np.ndarray:
@@ -279,13 +325,8 @@ def _discount_columns(n1: Column, n2: Column, n3: Column, n4: Column) -> Column:
 
 def frequent(scores: DataFrame, values: list[str]) -> list[np.ndarray]:
     """Keys, in ascending order, and ``values`` of the words with at least 2**b occurrences, for the least b with at most ``SENT`` words."""
-    power = F.floor(F.log2("n")).cast("int")
-    least, held = 64, 0
-    for r in scores.groupBy(power.alias("b")).count().orderBy(F.desc("b")).collect():
-        held += r["count"]
-        if held > SENT:
-            break
-        least = r["b"]
+    least, _ = _least_sent(scores, SENT)
+    power = F.floor(F.log2("n"))
     rows = scores.where(power >= least).select("key", *[F.col(v).cast("float") for v in values]).toArrow()
     key = rows.column("key").to_numpy().view("uint64")
     order = np.argsort(key)
@@ -326,7 +367,7 @@ def score(docs: DataFrame, scores: DataFrame, lang: str = "lang", text: str = "t
 
 
 def summed(scored: DataFrame, scores: DataFrame, lang: str, into: str, number: str) -> DataFrame:
-    """``number``, ``lang`` and the struct ``into`` of the features and ``log_perplexity`` (null without words) of rows that ``score`` gives,
+    """``number``, ``lang`` and the struct ``into`` of the features, ``log_perplexity`` and ``excess`` (null without words) of rows that ``score`` gives,
     ``number`` telling them apart."""
     others = scored.select(number, F.explode(F.col(into)["others"]).alias("key")).join(scores.select("key", *VALUES), "key")
     others = others.groupBy(F.col(number).alias("_at")).agg(*[F.sum(v).alias(f"_{v}") for v in VALUES])
@@ -334,31 +375,34 @@ def summed(scored: DataFrame, scores: DataFrame, lang: str, into: str, number: s
     joined = scored.select(number, lang, into).join(others, F.col(number) == F.col("_at"), "left")
     symbols = value("word_chars") + value("n_words")  # a word's end counts as one
     mean = lambda v: F.when(symbols > 0, (value(v) + F.coalesce(f"_{v}", F.lit(0.0))) / symbols)
-    return joined.select(number, lang, F.struct(*[value(f).alias(f) for f in FEATURES], mean("surprise").alias("log_perplexity")).alias(into))
+    return joined.select(number, lang, F.struct(*[value(f).alias(f) for f in FEATURES], mean("surprise").alias("log_perplexity"), mean("excess").alias("excess")).alias(into))
 
 
 def judged(scored: DataFrame, lang: str = "lang", into: str = "quality") -> DataFrame:
-    """Adds ``base_failed`` and ``kept`` to the struct that ``score`` gives; reads ``scored`` twice."""
+    """Adds ``base_failed`` and ``kept`` to the struct that ``summed`` gives, without ``excess``; reads ``scored`` twice."""
     value = lambda name: F.col(into)[name]
     failed = (value("n_words") < 50) | (100 * value("n_repeat_words") > 50 * value("n_words"))
     at = F.percentile_approx(value("log_perplexity"), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.lit(10_000))
     bands = scored.where(~failed).groupBy(_language(F.col(lang)).alias("of")).agg(at.alias("q"), F.count(value("log_perplexity")).alias("n"))
     reach = F.greatest(F.lit(LEAST_BAND), F.lit(SPREADS) * (F.col("q")[2] - F.col("q")[0]) / 2.563)
-    band = F.struct((F.col("q")[1] - reach).alias("low"), (F.col("q")[1] + reach).alias("high"))
+    share = F.least(F.pow(F.col("q")[0] / F.col("q")[1], F.lit(SPREADS / 1.2816)), F.lit(MOST_LOW))
+    band = F.struct((F.col("q")[1] * share).alias("low"), (F.col("q")[1] + reach).alias("high"), reach.alias("reach"))
     own, found = free_name(scored, "_of"), free_name(scored, "_band")
     bands = written(bands.where(F.col("n") >= ENOUGH).select(F.col("of").alias(own), band.alias(found)), "bands")
     if bands.count() <= FEW:
         bands = F.broadcast(bands)
-    outside = (value("log_perplexity") < F.col(found)["low"]) | (value("log_perplexity") > F.col(found)["high"])
+    high = (value("log_perplexity") > F.col(found)["high"]) & (value("excess") > F.col(found)["reach"])
+    outside = (value("log_perplexity") < F.col(found)["low"]) | high
     joined = scored.join(bands, _language(scored[lang]) == bands[own], "left")
-    verdict = F.col(into).withField("base_failed", failed).withField("kept", ~failed & ~F.coalesce(outside, F.lit(False)))
+    verdict = F.col(into).dropFields("excess").withField("base_failed", failed).withField("kept", ~failed & ~F.coalesce(outside, F.lit(False)))
     return joined.withColumn(into, verdict).drop(own, found)
 
 
 def assess(docs: DataFrame, lang: str = "lang", text: str = "text", into: str = "quality", drop_text: bool = False) -> DataFrame:
     """Scores the words of ``docs`` by the model of all of them, writes the texts' sums to the shared folder and judges them."""
-    words = written(count_words(docs, lang, text), "words")
-    scores = written(word_scores(words), "scores")
+    words = written(keyed(count_words(docs, lang, text)), "words")
+    texts = docs.groupBy(_language(F.col(lang)).alias("lang")).agg(F.count(F.lit(1)).alias("texts"))
+    scores = written(word_scores(words, texts), "scores")
     number = free_name(docs, "_number")
     scored = written(score(docs, scores, lang, text, into, drop_text).withColumn(number, F.monotonically_increasing_id()), "scored")
     totals = written(summed(scored, scores, lang, into, number), "totals")

@@ -4,6 +4,7 @@ import math
 import brute
 import llmdata
 import pytest
+from pyspark.sql import functions as F
 
 from layerwright.llm import perplexity
 
@@ -85,6 +86,7 @@ def test_scores_use_every_gram(spark, monkeypatch):
     for most, sent in ((12, 2), (1 << 19, 1 << 20), (12, 0)):
         monkeypatch.setattr(perplexity, "MOST", most)
         monkeypatch.setattr(perplexity, "SENT", sent)
+        monkeypatch.setattr(perplexity, "SENT_GRAMS", sent)
         found = {(r["text"], r["lang"]): r["quality"]["log_perplexity"] for r in perplexity.assess(docs).collect()}
         assert len(found) == 7
         assert found["", "xx"] is None and found[None, None] is None
@@ -108,5 +110,29 @@ def test_bands_reject_noise_and_keep_the_rest(spark, monkeypatch):
     assert [i for i, k in kept.items() if not k] == [500]
 
 
+def test_production_bands_on_planted_texts(spark):
+    """Noise and over-predictable texts go; texts under a wrong label, or in two languages, stay."""
+    import random
+
+    from conftest import SF
+
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").cast("string"), "text", "lang")
+    prose = {x: [r["text"].split() for r in docs.where((F.col("lang") == x) & (F.length("text") > 600)).collect()] for x in ("en", "de")}
+    english, german = max(prose["en"], key=len)[:400], max(prose["de"], key=len)[:400]
+    letters = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 10))) for _ in range(100))
+    common = [w for w, _ in collections.Counter(w for t in prose["en"] for w in t).most_common(10)]
+    planted = {
+        "noise": (letters, "en"),
+        "easy": (" ".join(rng.choice(common) for _ in range(100)), "en"),
+        "wrong": (" ".join(german), "en"),
+        "mixed": (" ".join(w for pair in zip(english, german, strict=False) for w in pair), "de"),
+    }
+    rows = docs.unionByName(spark.createDataFrame([(k, *v) for k, v in planted.items()], docs.schema))
+    found = {r["doc_id"]: r["quality"] for r in perplexity.assess(rows).where(F.col("doc_id").isin(*planted)).collect()}
+    assert not any(q["base_failed"] for q in found.values())
+    assert {k for k, q in found.items() if q["kept"]} == {"wrong", "mixed"}, found
+
+
 def test_empty_table(spark):
     assert perplexity.assess(llmdata.frame(spark, [])).count() == 0
