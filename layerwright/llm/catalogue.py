@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, jaccard, langid, ordering, packing, perplexity, pieces, pii, spans, substring, topk
+from . import credentials, jaccard, langid, ordering, packing, perplexity, phrases, pieces, pii, spans, substring, topk
 from .shared import workers_ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,36 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn(docs.where(~F.col("held_out")), PIECE_MODEL)
     found = langid.predict(docs.select("doc_id", "held_out", "text"), model, PIECE_MODEL)
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+ORACLES["op11_phrases"] = f"""
+WITH p AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({FOLDED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+f AS MATERIALIZED (
+  SELECT lang, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*) AS a FROM (
+    SELECT lang, w[i : i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) s(k)))
+  GROUP BY lang, phrase),
+candidates AS MATERIALIZED (SELECT * FROM f WHERE a >= 10 AND len(g) > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, k, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM candidates) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.g[: k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.g[k + 1 :], ' ')),
+least AS (
+  SELECT lang, phrase, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, array_to_string(g[i : i + 1], ' ') AS phrase, max(a) AS longest
+  FROM (SELECT lang, g, a, unnest([1, 2]) AS i FROM candidates WHERE len(g) = 3) GROUP BY ALL),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM least s LEFT JOIN longer o ON o.lang = s.lang AND o.phrase = s.phrase
+  WHERE o.longest IS NULL OR 100 * o.longest < 50 * s.a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
