@@ -5,10 +5,10 @@ wherever they stand, and a chunk goes on for two words into the next one. Equal
 number of times the parse has them. Sequences of one to three words are counted inside the distinct chunks only, each
 weighted by the chunk's number; one that lies in two chunks belongs to the chunk that it begins in, so it counts once.
 
-The dictionary is dealt to batches of a few MB. A batch tells blocks the hashes of its distinct sequences and their
-numbers (no number above the least that matters), and learns which may be frequent enough; only those it spells out, and these are counted
-exactly. Hash collisions cost a spelled word more and change no count. A sequence is named once by a batch, however often it
-occurs, and chunks that a third of all documents share are one row, so nothing is crowded.
+The dictionary is dealt to batches of a few MB, as packed lots of chunks, and a batch puts equal chunks together. It tells blocks the
+hashes of its sequences and their numbers (no number above the least that matters), and learns which may be frequent enough; only those it spells
+out, and these are counted exactly. Hash collisions cost a spelled sequence more and change no count. A sequence is named once by
+a batch, however often it occurs, and chunks that a third of all documents share are one entry, so nothing is crowded.
 
 Text is lower-cased (A-Z) and cut into pieces at ``.,;:!?`` and U+000A to U+000D, pieces into words at spaces and tabs.
 All counts are by language; a null language is ``und``.
@@ -36,9 +36,9 @@ NO_LANGUAGE = "und"
 #: Words of the longest phrase.
 LONGEST = 3
 #: One word in so many begins a chunk; words after which a chunk ends anyway.
-EVERY, CHUNK_WORDS = 8, 64
-#: Bytes of chunks in a batch, and of chunks whose sequences share a block.
-BATCH_BYTES, BLOCK_BYTES = 3 << 20, 8 << 20
+EVERY, CHUNK_WORDS = 16, 64
+#: Bytes of text parsed at once, bytes of text whose chunks share a batch, and bytes of text whose sequences share a block.
+AT_ONCE, BATCH_BYTES, BLOCK_BYTES = 4 << 20, 6 << 20, 12 << 20
 _PLAIN = bytearray(range(256))
 _PLAIN[65:91] = bytes(range(97, 123))
 _PLAIN[9] = 32
@@ -46,7 +46,7 @@ for _end in b".,;:!?\x0a\x0b\x0c\x0d":
     _PLAIN[_end] = 10
 _PLAIN = bytes(_PLAIN)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-CHUNKS = "lang string, chunk string, own int, n bigint"
+LOTS = "batch int, lang string, chunks binary, times binary"
 TOLD = "block int, batch int, keys binary, times binary"
 HEARD = "batch int, block int, hits binary"
 COUNTED = "lang string, phrase string, size int, n bigint"
@@ -60,124 +60,173 @@ class _Triggers(dict):
         return found
 
 
-def chunks(words: list[bytes], begins: _Triggers) -> Iterator[tuple[bytes, int]]:
-    """The chunks of a piece, each with the number of words that are its own; the words after these are the next one's."""
-    at, n = 0, len(words)
+def chunks(words: list[bytes], begins: _Triggers) -> Iterator[bytes]:
+    """The chunks of a piece: words joined by spaces, and at the end a space for each word that is not the chunk's own but the next one's."""
+    n = len(words)
     ends = [i for i, found in enumerate(map(begins.__getitem__, words)) if found and i]
+    if not ends and n <= CHUNK_WORDS:
+        if n:
+            yield b" ".join(words)
+        return
+    at = 0
     for end in (*ends, n):
         while at < end:
             stop = min(end, at + CHUNK_WORDS)
-            yield b" ".join(words[at : stop + LONGEST - 1]), stop - at
+            ahead = min(n - stop, LONGEST - 1)
+            yield b" ".join(words[at : stop + ahead]) + b" " * ahead
             at = stop
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for some in grouped(texts, BATCH_BYTES):
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(langs[some], texts[some], strict=True):
-                if text:
-                    by_lang.setdefault(lang, []).append(text)
-            begins = _Triggers()
-            for lang, found in by_lang.items():
-                times: Counter = Counter()
-                for piece, n in Counter(b"\n".join(found).translate(_PLAIN).split(b"\n")).items():
-                    for chunk in chunks(piece.split(), begins):
-                        times[chunk] += n
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(times), pa.string()),
-                        pa.array([c for c, _ in times], pa.binary()).cast(pa.string()),
-                        pa.array([own for _, own in times], pa.int32()),
-                        pa.array(list(times.values()), pa.int64()),
-                    ],
-                    names=["lang", "chunk", "own", "n"],
-                )
-
-
-def dictionary(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """The distinct chunks of each language: ``chunk``, ``own`` (how many of its words are its own) and ``n``, how often the parse has it."""
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text).cast("string").cast("binary").alias("raw"))
-    return rows.where(F.octet_length("raw") > 0).mapInArrow(_parsed, CHUNKS).groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n"))
+def parsed(texts: list[bytes]) -> Counter:
+    """The distinct chunks of some texts, and how often the parse has each."""
+    begins, times = _Triggers(), Counter()
+    for piece, n in Counter(b"\n".join(texts).translate(_PLAIN).split(b"\n")).items():
+        for chunk in chunks(piece.split(), begins):
+            times[chunk] += n
+    return times
+
+
+def _lots(docs: DataFrame, lang: str, text: str, batches: int) -> DataFrame:
+    """The parse as packed lots: chunks of a language for a batch, a line each, and the numbers of each."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for part in parts:
+            langs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            for some in grouped(texts, AT_ONCE):
+                by_lang: dict[str, list[bytes]] = {}
+                for name, t in zip(langs[some], texts[some], strict=True):
+                    by_lang.setdefault(name, []).append(t)
+                for name, found in by_lang.items():
+                    times = parsed(found)
+                    lots: dict[int, tuple[list, list]] = {}
+                    for chunk, n in times.items():
+                        lot = lots.setdefault(zlib.crc32(chunk) % batches, ([], []))
+                        lot[0].append(chunk)
+                        lot[1].append(n)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(list(lots), pa.int32()),
+                            pa.array([name] * len(lots), pa.string()),
+                            pa.array([pack(b"\n".join(c)) for c, _ in lots.values()], pa.binary()),
+                            pa.array([pack(np.asarray(n, "<i8").tobytes()) for _, n in lots.values()], pa.binary()),
+                        ],
+                        names=["batch", "lang", "chunks", "times"],
+                    )
+
+    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)), F.col(text).cast("string").cast("binary").alias("raw"))
+    return rows.where(F.octet_length("raw") > 0).mapInArrow(run, LOTS)
+
+
+def dictionary(lots: pa.Table) -> dict[str, dict[bytes, int]]:
+    """The distinct chunks of a batch's lots by language, in one order whatever the lots' order, and the number of each."""
+    import zstandard
+
+    unpack, out = zstandard.ZstdDecompressor().decompress, {}
+    for lot in lots.select(["lang", "chunks", "times"]).to_pylist():
+        known = out.setdefault(lot["lang"], {})
+        get = known.get
+        for chunk, n in zip(unpack(lot["chunks"]).split(b"\n"), np.frombuffer(unpack(lot["times"]), "<i8").tolist(), strict=True):
+            known[chunk] = get(chunk, 0) + n
+    return out
 
 
 class _Sequences:
-    """The distinct sequences of a batch of chunks, their numbers, and hashes that any batch finds alike."""
+    """All sequences in the distinct chunks of a batch, each with its chunk's number, and keys that any batch finds alike."""
 
-    def __init__(self, batch: pa.Table):
+    def __init__(self, lots: pa.Table, blocks: int):
         import xxhash
 
-        chunk = batch.column("chunk").cast(pa.binary()).to_pylist()
-        own, n = batch.column("own").to_numpy(), batch.column("n").to_numpy()
-        lang = batch.column("lang").combine_chunks().dictionary_encode()
-        lang_of, langs = lang.indices.to_numpy(), lang.dictionary.to_pylist()
-        text = b"".join([c + b" " for c in chunk])
-        ends = np.flatnonzero(np.frombuffer(text, "uint8") == 32) + 1
+        found = dictionary(lots)
+        self.langs = list(found)
+        text = b"\n".join([chunk for some in found.values() for chunk in some]) + b"\n"
+        raw = np.frombuffer(text, "uint8")
+        ends = np.flatnonzero((raw == 32) | (raw == 10)) + 1
+        closes = raw[ends - 1] == 10
         offsets = np.concatenate([[0], ends]).astype("int32")
-        words = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(text)]).dictionary_encode()
-        last = np.searchsorted(ends, np.cumsum([len(c) + 1 for c in chunk]), side="right")
-        sizes = np.diff(last, prepend=0)
-        owner = np.repeat(np.arange(len(chunk)), sizes)
-        place = np.arange(len(ends)) - np.repeat(last - sizes, sizes)
-        # A word of a language is a number; numbers of a sequence's words make the sequence's number.
-        both, word = np.unique(words.indices.to_numpy().astype("int64") * len(langs) + lang_of[owner], return_inverse=True)
-        spelled = [w[:-1] for w in words.dictionary.take(pa.array(both // len(langs))).to_pylist()]
-        self.langs, self.lang_of, self.spelled = langs, (both % len(langs)).tolist(), spelled
+        spaced = text.replace(b"\n", b" ")
+        words = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(spaced)]).dictionary_encode()
+        chunk = np.cumsum(closes) - closes
+        real = np.diff(offsets) > 1
+        number, chunk = words.indices.to_numpy()[real].astype("int64"), chunk[real]
+        marks = np.bincount(np.repeat(np.arange(closes.sum()), np.diff(np.flatnonzero(closes), prepend=-1))[~real], minlength=closes.sum())
+        sizes = np.bincount(chunk, minlength=len(marks))
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(number))
+        owned = left > marks[chunk]
+        lang = np.repeat(np.arange(len(found)), [len(x) for x in found.values()])[chunk]
+        self.n = np.fromiter((n for some in found.values() for n in some.values()), "int64")[chunk]
+        self.words = np.bincount(lang[owned], weights=self.n[owned], minlength=len(found))
+        # A word of a language is a number; the numbers of a sequence's words make the sequence's number.
+        both = number * len(found) + lang
+        seen = np.zeros(len(words.dictionary) * len(found), bool)
+        seen[both] = True
+        self.word = (np.cumsum(seen) - 1)[both].astype("uint64")
+        both = np.flatnonzero(seen)
+        self.lang_of = (both % max(1, len(found))).tolist()
+        self.spelled = [w[:-1] for w in words.dictionary.take(pa.array(both // max(1, len(found)))).to_pylist()]
         if len(both) ** LONGEST >= 1 << 64:
             raise ValueError("a batch has too many distinct words for a sequence's number")
         self.base = np.uint64(max(2, len(both)))
-        word = word.astype("uint64")
-        names = [x.encode() + b"\n" for x in langs]
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(names[x] + w) for x, w in zip(self.lang_of, spelled, strict=True)), "uint64", len(spelled))
-        left, owned = sizes[owner] - place, place < own[owner]
-        self.numbers, self.times, self.hashes = [], [], []
-        for size in range(1, LONGEST + 1):
-            at = np.flatnonzero(owned & (left >= size))
-            number = word[at]
+        names = [x.encode() + b"\n" for x in self.langs]
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(names[x] + w) for x, w in zip(self.lang_of, self.spelled, strict=True)), "uint64", len(both))[self.word]
+        self.at = [np.flatnonzero(owned & (left >= size)) for size in range(1, LONGEST + 1)]
+        keys = []
+        for size, at in enumerate(self.at, 1):
+            h = hashes[at] + np.uint64(size)
             for k in range(1, size):
-                number = number * self.base + word[at + k]
-            order = np.argsort(number, kind="stable")
+                h = mixed(h * _STEP + hashes[at + k])
+            keys.append(((h >> np.uint64(32)) % np.uint64(blocks) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)))
+        keys = np.concatenate(keys)
+        self.order = np.argsort(keys)
+        self.sorted = keys[self.order]
+        self.first = np.flatnonzero(np.diff(self.sorted, prepend=~self.sorted[:1]))
+
+    def keys(self) -> np.ndarray:
+        """The distinct keys, in order: a block's number in the upper 32 bits, the key in the block in the lower ones."""
+        return self.sorted[self.first]
+
+    def times(self) -> np.ndarray:
+        """How often each key's sequences occur."""
+        every = self.n[np.concatenate(self.at)][self.order]
+        return np.add.reduceat(every, self.first) if len(self.first) else every
+
+    def spell(self, hit: np.ndarray) -> Iterator[tuple[int, list[str], list[bytes], list[int]]]:
+        """For each size, the sequences whose key is ``hit``: languages, phrases and how often each occurs."""
+        marked = np.zeros(len(self.order), bool)
+        marked[self.order] = np.repeat(hit, np.diff(np.append(self.first, len(self.order))))
+        for size, (at, here) in enumerate(zip(self.at, np.split(marked, np.cumsum([len(x) for x in self.at])[:-1]), strict=True), 1):
+            at = at[here]
+            number = self.word[at]
+            for k in range(1, size):
+                number = number * self.base + self.word[at + k]
+            order = np.argsort(number)
             number = number[order]
             fresh = np.flatnonzero(np.diff(number, prepend=~number[:1]))
-            self.numbers.append(number[fresh])
-            self.times.append(np.add.reduceat(n[owner[at]][order], fresh) if len(fresh) else np.zeros(0, "int64"))
-            h = np.full(len(fresh), size, "uint64")
-            for w in self.words_of(self.numbers[-1], size):
-                h = mixed(h * _STEP + hashes[w])
-            self.hashes.append(h)
-
-    def words_of(self, numbers: np.ndarray, size: int) -> list[np.ndarray]:
-        """The words' numbers, for each place in the sequence."""
-        out = []
-        for _ in range(size):
-            out.append((numbers % self.base).astype("int64"))
-            numbers = numbers // self.base
-        return out[::-1]
-
-    def keys(self, blocks: int) -> np.ndarray:
-        """A block and a key in it for each sequence: the block's number in the upper 32 bits."""
-        h = np.concatenate(self.hashes)
-        return ((h >> np.uint64(32)) % np.uint64(blocks) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-
-
-def _frequent(chunks_: DataFrame, least: int) -> DataFrame:
-    """Exact numbers of all sequences that occur ``least`` times or more, and of some that do not."""
-    total = chunks_.agg(F.sum(F.octet_length("chunk") + 1)).first()[0] or 0
+            if not len(fresh):
+                continue
+            words = [self.word[at[order[fresh]] + k].tolist() for k in range(size)]
+            phrases = [b" ".join([self.spelled[w] for w in some]) for some in zip(*words, strict=True)]
+            yield size, [self.langs[self.lang_of[w]] for w in words[0]], phrases, np.add.reduceat(self.n[at][order], fresh).tolist()
+
+
+def frequent(docs: DataFrame, least: int, lang: str = "lang", text: str = "text") -> DataFrame:
+    """``lang``, ``phrase``, ``size``, ``n``: all sequences that occur ``least`` times or more, with exact numbers; size 0 is the number of the language's words."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("bigint"))).first()[0] or 0
     batches, blocks = max(1, -(-total // BATCH_BYTES)), max(1, -(-total // BLOCK_BYTES))
     most = min(least, 255)
 
-    def tell(batch: pa.Table) -> pa.Table:
-        found = _Sequences(batch)
-        keys, back = np.unique(found.keys(blocks), return_inverse=True)
-        times = np.minimum(np.bincount(back, weights=np.minimum(np.concatenate(found.times), most), minlength=len(keys)), most).astype("uint8")
+    def tell(lots: pa.Table) -> pa.Table:
+        found = _Sequences(lots, blocks)
+        keys, times = found.keys(), np.minimum(found.times(), most).astype("uint8")
         block = (keys >> np.uint64(32)).astype("int64")
         cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(keys))
         low, parts = keys.astype("<u4"), list(zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
         return pa.table(
             {
                 "block": pa.array(block[cuts[:-1]], pa.int32()),
-                "batch": pa.array([batch.column("batch")[0].as_py()] * len(parts), pa.int32()),
+                "batch": pa.array([lots.column("batch")[0].as_py()] * len(parts), pa.int32()),
                 "keys": pa.array([low[a:b].tobytes() for a, b in parts], pa.binary()),
                 "times": pa.array([times[a:b].tobytes() for a, b in parts], pa.binary()),
             }
@@ -186,49 +235,43 @@ def _frequent(chunks_: DataFrame, least: int) -> DataFrame:
     def hear(block: pa.Table) -> pa.Table:
         lists = [np.frombuffer(k, "<u4") for k in block.column("keys").to_pylist()]
         keys = np.concatenate(lists)
-        order = np.argsort(keys, kind="stable")
-        group = np.zeros(len(keys), "int32")
-        group[order] = np.cumsum(np.diff(keys[order], prepend=keys[order[:1]]) != 0)
-        del order
-        times = np.bincount(group, weights=np.frombuffer(b"".join(block.column("times").to_pylist()), "uint8"))
-        hit = (times >= most)[group]
+        order = np.argsort(keys)
+        first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+        times = np.add.reduceat(np.frombuffer(b"".join(block.column("times").to_pylist()), "uint8")[order].astype("int32"), first)
+        hit = np.zeros(len(keys), bool)
+        hit[order] = np.repeat(times >= most, np.diff(np.append(first, len(keys))))
         cuts = np.cumsum([len(x) for x in lists])
-        marks = [np.packbits(m).tobytes() if m.any() else None for m in np.split(hit, cuts[:-1])]
-        keep = [i for i, m in enumerate(marks) if m is not None]
         return pa.table(
             {
-                "batch": block.column("batch").take(pa.array(keep, pa.int64())),
-                "block": block.column("block").take(pa.array(keep, pa.int64())),
-                "hits": pa.array([marks[i] for i in keep], pa.binary()),
+                "batch": block.column("batch"),
+                "block": block.column("block"),
+                "hits": pa.array([np.packbits(m).tobytes() for m in np.split(hit, cuts[:-1])], pa.binary()),
             }
         )
 
-    def spell(batch: pa.Table, replies: pa.Table) -> pa.Table:
-        out = {"lang": [], "phrase": [], "size": [], "n": []}
-        if batch.num_rows and replies.num_rows:
-            found = _Sequences(batch)
-            keys, back = np.unique(found.keys(blocks), return_inverse=True)
+    def spell(lots: pa.Table, replies: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], [], []]
+        if lots.num_rows:
+            found = _Sequences(lots, blocks)
+            keys = found.keys()
             block = keys >> np.uint64(32)
             hit = np.zeros(len(keys), bool)
             for r in replies.select(["block", "hits"]).to_pylist():
-                a, b = np.searchsorted(block, [r["block"], r["block"] + 1])
+                a, b = np.searchsorted(block, np.array([r["block"], r["block"] + 1], "uint64"))
                 hit[a:b] = np.unpackbits(np.frombuffer(r["hits"], "uint8"), count=b - a)
-            hits = np.split(hit[back], np.cumsum([len(x) for x in found.numbers])[:-1])
-            for size, (numbers, times, here) in enumerate(zip(found.numbers, found.times, hits, strict=True), 1):
-                words = [w.tolist() for w in found.words_of(numbers[here], size)]
-                out["lang"] += [found.langs[found.lang_of[w]] for w in words[0]]
-                out["phrase"] += [b" ".join([found.spelled[w] for w in some]) for some in zip(*words, strict=True)]
-                out["size"] += [size] * len(words[0])
-                out["n"] += times[here].tolist()
-        return pa.table(
-            [pa.array(out["lang"], pa.string()), pa.array(out["phrase"], pa.binary()).cast(pa.string()), pa.array(out["size"], pa.int32()), pa.array(out["n"], pa.int64())],
-            names=list(out),
-        )
+            every = [(0, found.langs, [b""] * len(found.langs), found.words.astype("int64").tolist()), *found.spell(hit)]
+            for size, langs, phrases, times in every:
+                for column, values in zip(out, (langs, phrases, [size] * len(langs), times), strict=True):
+                    column += values
+        kinds = (pa.string(), pa.binary(), pa.int32(), pa.int64())
+        columns = [pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)]
+        return pa.table([columns[0], columns[1].cast(pa.string()), *columns[2:]], names=["lang", "phrase", "size", "n"])
 
-    dealt = chunks_.withColumn("batch", F.pmod(F.xxhash64("lang", "chunk", "own"), F.lit(batches)).cast("int")).groupBy("batch")
-    replies = dealt.applyInArrow(tell, TOLD).groupBy("block").applyInArrow(hear, HEARD)
-    spelled = dealt.cogroup(replies.groupBy("batch")).applyInArrow(spell, COUNTED)
-    return spelled.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    lots = _lots(docs, lang, text, batches).groupBy("batch")
+    replies = lots.applyInArrow(tell, TOLD).groupBy("block").applyInArrow(hear, HEARD)
+    spelled = lots.cogroup(replies.groupBy("batch")).applyInArrow(spell, COUNTED)
+    counted = spelled.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    return counted.where((F.col("n") >= least) | (F.col("size") == 0))
 
 
 def _cuts(size: int) -> list:
@@ -245,9 +288,9 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     ``score`` the floor of ``1000000 a a / (l r)``, least over the cuts. A phrase needs ``a >= least``; one that lies in a longer phrase with at least
     ``inside`` per cent of its number is left out.
     """
-    table = written(dictionary(docs, lang, text), "chunks")
-    words = table.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n"))
-    counted = written(_frequent(table, least).where(F.col("n") >= least), "sequences")
+    every = written(frequent(docs, least, lang, text), "sequences")
+    words = every.where(F.col("size") == 0).select("lang", "n")
+    counted = every.where(F.col("size") > 0)
     part = counted.select("lang", F.col("phrase").alias("part"), F.col("n").alias("times"))
 
     phrases = counted.where(F.col("size") > 1).withColumnRenamed("n", "a")
