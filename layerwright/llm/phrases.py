@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import grouped, mixed
 from .hot import attach
-from .shared import written
+from .ordering import numbered
+from .shared import fresh_path, written
 
 NO_LANGUAGE = "und"
 #: Words of the longest phrase.
@@ -38,7 +39,7 @@ LONGEST = 3
 #: One word in so many begins a chunk; words after which a chunk ends anyway.
 EVERY, CHUNK_WORDS = 16, 64
 #: Bytes of text parsed at once, bytes of text whose chunks share a batch, and bytes of text whose sequences share a block.
-AT_ONCE, BATCH_BYTES, BLOCK_BYTES = 4 << 20, 6 << 20, 12 << 20
+AT_ONCE, BATCH_BYTES, BLOCK_BYTES = 4 << 20, 5 << 20, 10 << 20
 _PLAIN = bytearray(range(256))
 _PLAIN[65:91] = bytes(range(97, 123))
 _PLAIN[9] = 32
@@ -308,10 +309,11 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     stay = F.col("longer").isNull() | (F.col("size") > 2) | (100 * F.col("longer") < inside * F.col("a"))
     kept = scored.join(longer, ["lang", "phrase"], "left").where(stay).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
-    # The best of each share of a language first, so that no task sorts a whole language.
-    order = (F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = F.pmod(F.xxhash64("phrase"), F.lit(shares))
-    best = kept.withColumn("share", share).withColumn("place", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("place") <= top)
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).where(F.col("rank") <= top)
-    return ranked.join(F.broadcast(words) if words.count() <= 1024 else words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # Ranks are places in one order of all phrases, less the place of the language's first, so no task sorts a language alone.
+    order = ("lang", F.col("score").desc(), F.col("a").desc(), "phrase")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(kept, "scored").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows, _ = numbered(dealt, fresh_path(docs.sparkSession, "ranked"))
+    first = words.join(rows.groupBy("lang").agg(F.min("number").alias("first")), "lang")
+    ranked = attach(rows, first, ["lang"]).withColumn("rank", F.col("number") - F.col("first") + 1).where(F.col("rank") <= top)
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

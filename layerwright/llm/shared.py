@@ -31,12 +31,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder for a table of its own."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if (noted := _NOTED.get()) is not None:
         noted.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 @contextmanager
