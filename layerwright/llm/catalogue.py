@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, jaccard, langid, ordering, packing, perplexity, phrases, pieces, pii, spans, substring, topk
+from . import credentials, jaccard, langid, licenses, ordering, packing, perplexity, phrases, pieces, pii, spans, substring, topk
 from .shared import workers_ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,42 @@ ranked AS (
   WHERE o.longest IS NULL OR 100 * o.longest < 50 * s.a)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """
+
+
+@query
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_QUOTED = [(label, text.lower().replace("'", "''")) for label, some in licenses.TEMPLATES.items() for text in some]
+_TEMPLATES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(_QUOTED))
+_PHRASES = ", ".join(f"(['{"', '".join(phrase.split())}'], '{label}')" for phrase, label in licenses.PHRASES.items())
+_SHINGLES = "array_to_string(w[i : i + 4], ' ') AS shingle"
+ORACLES["op13_licenses"] = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {FOLDED} AS t FROM documents),
+all_words AS MATERIALIZED (SELECT row, doc_id, {_WORDS.format("t")} AS w FROM d),
+placed AS (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM all_words),
+base AS (
+  SELECT row, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list_sort(list(DISTINCT label)) AS labels
+  FROM placed JOIN (VALUES {_PHRASES}) p(phrase, label) ON w[i : i + len(phrase) - 1] = phrase GROUP BY row),
+lines AS (
+  SELECT row, i, {_WORDS.format("l[i]")} AS w FROM (SELECT row, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT row, string_split(t, chr(10)) AS l FROM d))),
+marked AS (SELECT *, sum((len(w) = 0)::INT) OVER (PARTITION BY row ORDER BY i) AS block FROM lines),
+blocks AS (SELECT row, block, flatten(list(w ORDER BY i)) AS w FROM marked WHERE len(w) > 0 GROUP BY row, block),
+shingles AS (SELECT DISTINCT row, block, {_SHINGLES} FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM blocks)),
+templates AS (
+  SELECT DISTINCT id, label, {_SHINGLES} FROM (
+    SELECT *, unnest(range(1, len(w) - 3)) AS i FROM (SELECT id, label, {_WORDS.format("t")} AS w FROM (VALUES {_TEMPLATES}) v(id, label, t)))),
+sizes AS (SELECT id, count(*) AS size FROM templates GROUP BY id),
+matched AS (
+  SELECT row, label, count(*) / any_value(size) AS share FROM shingles JOIN templates USING (shingle) JOIN sizes USING (id)
+  GROUP BY row, block, id, label HAVING 100 * count(*) >= {licenses.CONTAINED} * any_value(size)),
+found AS (SELECT row, list(DISTINCT label) AS labels, max(share) AS share FROM matched GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+  coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ',') AS labels,
+  greatest(coalesce(share, 0.0), CASE WHEN n_base > 0 THEN {licenses.NAMED} ELSE 0.0 END)::DOUBLE AS score
+FROM all_words LEFT JOIN base b USING (row) LEFT JOIN found f USING (row)
+"""
