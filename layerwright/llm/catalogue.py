@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, jaccard, langid, licenses, ordering, packing, perplexity, phrases, pieces, pii, spans, substring, topk
+from . import credentials, jaccard, langid, licenses, ordering, packing, perplexity, phrases, pieces, pii, prefixes, spans, substring, topk
 from .shared import workers_ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,6 +192,53 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n
 """
 
 
+@query
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixes.turns_of(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    most = F.crc32(conv.cast("string").cast("binary")) % 4
+    return prefixes.trie(prefixes.with_beginnings(turns, conv - conv % 20, most, 3))
+
+
+#: CRC-32 of ASCII text, bit by bit: a character goes in by exclusive or, and eight shifts (-1) follow it.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295],
+    flatten([[ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split({}, '')])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END))"""
+_SAID = "coalesce(role, '') AS role, coalesce(text, '') AS text"
+ORACLES["op12_trie"] = f"""
+WITH t AS MATERIALIZED (
+  SELECT conv_id, {_SAID}, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS b, {_CRC32.format('conv_id::VARCHAR')} % 4 AS h FROM t),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS own, i, role, text FROM c JOIN t ON t.conv_id = c.b AND i <= h
+  UNION ALL SELECT c.conv_id, 1, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND i > h),
+placed AS MATERIALIZED (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS d FROM rebuilt),
+member AS MATERIALIZED (
+  SELECT p.conv_id, p.d, any_value(p.text) AS text, md5(string_agg(md5(q.role) || md5(q.text), '' ORDER BY q.d)) AS node
+  FROM placed p JOIN placed q ON q.conv_id = p.conv_id AND q.d <= p.d GROUP BY p.conv_id, p.d
+  UNION ALL SELECT conv_id, 0, '', '' FROM c),
+node AS MATERIALIZED (
+  SELECT d, node, min(conv_id) AS conv_id, count(*) AS n_convs, len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS words
+  FROM member GROUP BY d, node),
+step AS MATERIALIZED (
+  SELECT DISTINCT a.d, a.node, b.node AS child FROM member a JOIN member b ON b.conv_id = a.conv_id AND b.d = a.d + 1),
+below AS MATERIALIZED (
+  SELECT DISTINCT a.d, a.node, b.d AS low_d, b.node AS low FROM member a JOIN member b ON b.conv_id = a.conv_id AND b.d >= a.d),
+children AS (SELECT d, node, count(*) AS n FROM step GROUP BY d, node),
+sums AS (
+  SELECT s.d, s.node, sum((n.n_convs - 1) * n.words) AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+  FROM below s JOIN node n ON n.d = low_d AND n.node = low LEFT JOIN children k ON k.d = low_d AND k.node = low GROUP BY s.d, s.node),
+last AS (SELECT conv_id, max(d) AS d FROM member GROUP BY conv_id),
+ends AS (
+  SELECT d, node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS hash FROM member JOIN last USING (conv_id, d) GROUP BY d, node)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0)::BIGINT AS n_children,
+  leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(hash, sha256('')) AS ends_sha256
+FROM node n JOIN sums s USING (d, node) LEFT JOIN children k USING (d, node) LEFT JOIN ends e USING (d, node)
+LEFT JOIN step u ON u.d = n.d - 1 AND u.child = n.node LEFT JOIN node p ON p.d = u.d AND p.node = u.node
+"""
+
+
 @query
 def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
