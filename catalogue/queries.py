@@ -132,6 +132,59 @@ def bronze_unparsed(spark, sf_dir):
     ).join(F.broadcast(hashes))
 
 
+RAGGED_EVERY = 11
+_ODD = f"o_orderkey % {RAGGED_EVERY}"
+
+
+@query(
+    "bronze_ragged",
+    f"""WITH lines AS (
+      SELECT o_orderkey, concat_ws(',', o_orderkey, o_custkey, o_orderstatus, CAST(o_custkey AS DOUBLE), strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority) AS line,
+        {_ODD} AS odd FROM orders),
+    found AS (
+      SELECT o_orderkey, NULL AS line FROM lines WHERE odd > 2
+      UNION ALL SELECT NULL, line || ',surplus' FROM lines WHERE odd = 0
+      UNION ALL SELECT NULL, o_orderkey || ',short' FROM lines WHERE odd = 1
+      UNION ALL SELECT NULL, o_orderkey || ',1,"O' FROM lines WHERE odd = 2
+      UNION ALL SELECT NULL, 'rest",1.0,2020-01-01,x' FROM lines WHERE odd = 2)
+    SELECT o_orderkey, line, 64 AS hash_length, (SELECT count(line) FROM found) AS n_ragged, 'failed' AS strict_status,
+      (SELECT count(*) FROM found WHERE line IS NULL) AS n_silver FROM found""",
+)
+def bronze_ragged(spark, sf_dir):
+    """Lines with too many and too few values, and quoted line breaks: bronze keeps the lines and counts them, a strict run fails, silver leaves them out."""
+    root = fresh_path(spark, "ragged")
+    text = _orders(spark, sf_dir).withColumn("o_totalprice", F.col("o_custkey").cast("double"))
+    line = F.concat_ws(",", *(F.col(c).cast("string") for c in ORDER.raw_types))
+    key, odd = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % RAGGED_EVERY
+    written = (
+        F.when(odd == 0, F.array(F.concat(line, F.lit(",surplus"))))
+        .when(odd == 1, F.array(F.concat(key, F.lit(",short"))))
+        .when(odd == 2, F.array(F.concat(key, F.lit(',1,"O')), F.lit('rest",1.0,2020-01-01,x')))
+        .otherwise(F.array(line))
+    )
+    layout = plans.Layout(f"{root}/landing", f"{root}/bronze", "", "")
+    # One column, whose name is the header and whose values are lines as they are.
+    as_it_is = {"header": True, "sep": "\x01", "quote": "", "escapeQuotes": False}
+    lines = text.select(F.explode(written).alias(",".join(ORDER.raw_types)))
+    lines.write.options(**as_it_is).csv(f"{layout.landing}/orders")
+    try:
+        plans.run_bronze(spark, layout, STAMP, {"orders": ORDER})
+        status = "written"
+    except plans.RunFailed as failure:
+        status = failure.runs[0].status
+    (run,) = plans.run_bronze(spark, layout, STAMP, {"orders": ORDER}, ragged="report")
+    bronze = sources.read_partition(spark, f"{layout.bronze}/orders", _ing_ano=2026, _ing_mes=7)
+    silver = plans.read_conformed(spark, layout, STAMP, {"orders": ORDER})["orders"]
+    return bronze.select(
+        "o_orderkey",
+        F.col("_ragged").alias("line"),
+        F.length("_record_hash").alias("hash_length"),
+        F.lit(run.ragged).cast("bigint").alias("n_ragged"),
+        F.lit(status).alias("strict_status"),
+        F.lit(silver.count()).cast("bigint").alias("n_silver"),
+    )
+
+
 @query(
     "src_parquet_partition",
     """SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, CAST(1998 AS INTEGER) AS ano, CAST(7 AS INTEGER) AS mes
@@ -881,11 +934,12 @@ def _delivered(entity: str) -> str:
 def _run_report_sql() -> str:
     none = "CAST(NULL AS BIGINT)"
 
-    def row(layer, name, status, source, duplicates=none, unmatched=none, unparsed=none):
+    def row(layer, name, status, source, duplicates=none, unmatched=none, unparsed=none, ragged=none):
         return f"""SELECT '{layer}' AS layer, '{name}' AS table_name, '{status}' AS status, count(*) AS row_count,
-          {duplicates} AS duplicates, {unmatched} AS unmatched, {unparsed} AS unparsed FROM {source}"""
+          {duplicates} AS duplicates, {unmatched} AS unmatched, {unparsed} AS unparsed, {ragged} AS ragged FROM {source}"""
 
-    rows = [row("bronze", n, "written", _delivered(n), unparsed="CAST(0 AS BIGINT)") for n in BRONZE_SOURCES]
+    zero = "CAST(0 AS BIGINT)"
+    rows = [row("bronze", n, "written", _delivered(n), unparsed=zero, ragged=zero) for n in BRONZE_SOURCES]
     for n in BRONZE_SOURCES:
         keys = ", ".join(PACK[n].key)
         rows.append(row("silver", n, "read", _delivered(n), f"count(*) - count(DISTINCT ({keys}))"))
@@ -955,7 +1009,7 @@ def _stored_bronze_sql(entity: str) -> str:
 def _stored_bronze(entity: str) -> Query:
     def run(spark, sf_dir):
         bronze = sources.read_partition(spark, f"{written_layers(spark, sf_dir).bronze}/{entity}", _ing_ano=2026, _ing_mes=7)
-        return bronze.withColumn("hash_length", F.length("_record_hash")).drop("_record_hash", "_source_file", "_unparsed")
+        return bronze.withColumn("hash_length", F.length("_record_hash")).drop("_record_hash", "_source_file", "_unparsed", "_ragged")
 
     return run
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layerwright.functions import record_hash
+from layerwright.sources.landing import RAGGED
 
 
 @dataclass(frozen=True)
@@ -53,16 +54,20 @@ def add_lineage(
     """Add when, from which file and for which entity a raw row came in, and the hash of its values.
 
     ``df`` must come from files, with nothing but projections and filters in between, or hold the
-    file in ``_source_file`` already.
+    file in ``_source_file`` already. The hash of a ragged line is that of the line.
     """
-    raw = [c for c in df.columns if c != SOURCE_FILE]
+    kept = [c for c in df.columns if c != SOURCE_FILE]
+    raw = [c for c in kept if c != RAGGED]
+    digest = record_hash(raw, null_safe_hash)
+    if RAGGED in kept:
+        digest = F.when(F.col(RAGGED).isNull(), digest).otherwise(record_hash([RAGGED], null_safe_hash))
     file = F.col(SOURCE_FILE if SOURCE_FILE in df.columns else "_metadata.file_path")
     return df.select(
-        *raw,
+        *kept,
         F.lit(f"{stamp.utc:%Y%m%d_%H%M%S}").alias("_ingestion_timestamp"),
         F.lit(f"{stamp.utc:%Y-%m-%d}").alias("_ingestion_date"),
         file.alias(SOURCE_FILE),
         F.lit(entity).alias("_source_entity"),
-        record_hash(raw, null_safe_hash).alias("_record_hash"),
+        digest.alias("_record_hash"),
         *(c.alias(k) for k, c in stamp.partition(*BRONZE_PARTITION).items()),
     )

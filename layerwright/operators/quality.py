@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from layerwright.functions import count_where, parse
-from layerwright.sources.landing import UNPARSED
+from layerwright.sources.landing import RAGGED, UNPARSED
 from layerwright.sources.workspace import Staged
 from layerwright.spec import Rule
 
@@ -45,16 +45,23 @@ def out_of_range(df: DataFrame, column: str, low: float, high: float) -> Column:
     return (c < low) | (c > high)
 
 
+def _sound(df: DataFrame) -> Column:
+    """Rows of whole lines: the values of a ragged line are not known, so no rule on a column counts it."""
+    return F.col(RAGGED).isNull() if RAGGED in df.columns else F.lit(True)
+
+
 def _counter(df: DataFrame, rule: Rule) -> Column:
     """The aggregate that measures a rule other than unique; NULL if its column is missing."""
     if rule.kind == "min_count":
         return F.count(F.lit(1))
+    if rule.kind == "width":
+        return count_where(F.col(RAGGED).isNotNull()) if RAGGED in df.columns else F.lit(None).cast("bigint")
     if rule.column not in df.columns or (rule.kind == "parsed" and UNPARSED not in df.columns):
         return F.lit(None).cast("bigint")
     if rule.kind == "parsed":
         return count_where(F.coalesce(F.map_contains_key(UNPARSED, rule.column), F.lit(False)))
     if rule.kind == "not_null":
-        return count_where(F.col(rule.column).isNull())
+        return count_where(F.col(rule.column).isNull() & _sound(df))
     if rule.kind == "range":
         return count_where(out_of_range(df, rule.column, *rule.bounds))
     raise ValueError(f"unknown rule kind {rule.kind!r}")
@@ -74,7 +81,7 @@ def counters(df: DataFrame, rules: Iterable[Rule]) -> dict[str, Column]:
 def surplus_rows(df: DataFrame, column: str) -> DataFrame:
     """Rows minus distinct values of a column, NULL being one value. Reads that column only, and
     each task sends one row per value it saw."""
-    per_value = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    per_value = df.where(_sound(df)).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     return per_value.agg((F.coalesce(F.sum("n"), F.lit(0)) - F.count(F.lit(1))).alias("measured"))
 
 

@@ -13,7 +13,7 @@ from layerwright.plans.marts import (
     state_targets,
     student_features,
 )
-from layerwright.plans.runs import Layout, RunFailed, TableRun, report_frame, run_bronze, run_gold, run_silver
+from layerwright.plans.runs import Layout, RunFailed, TableRun, read_conformed, report_frame, run_bronze, run_gold, run_silver
 
 __all__ = [
     "Layout",
@@ -24,6 +24,7 @@ __all__ = [
     "area_target_rows",
     "area_targets",
     "level_distribution",
+    "read_conformed",
     "report_frame",
     "run_bronze",
     "run_gold",

@@ -19,22 +19,23 @@ from layerwright.operators.lineage import (
     GOLD_TIME,
     SILVER_PARTITION,
     SILVER_TIME,
+    SOURCE_FILE,
     RunStamp,
     add_lineage,
 )
 from layerwright.operators.quality import Outcome, counters, evaluate
 from layerwright.plans import facts as fact_plans
 from layerwright.plans import marts as mart_plans
-from layerwright.sources.landing import read_landing, read_text, typed
+from layerwright.sources.landing import RAGGED, ragged_per_file, read_text, typed
 from layerwright.sources.layers import read_partition, write_partitioned
 from layerwright.sources.workspace import Staged, stage, staging
-from layerwright.spec import Entity
+from layerwright.spec import Entity, Rule
 
 # The batch that a bronze run writes, beside those of a stream.
 RUN = "run"
 REPORT_SCHEMA = (
     "layer string, table_name string, status string, row_count bigint, duplicates bigint,"
-    " unmatched bigint, unparsed bigint, message string"
+    " unmatched bigint, unparsed bigint, ragged bigint, message string"
 )
 
 
@@ -53,7 +54,7 @@ class TableRun:
     """What a run did with one table. Status is read, written, failed or withheld.
 
     ``unmatched`` counts rows that found no partner in a lookup; ``unparsed`` counts values whose text
-    did not fit their type. The message says which, or why the table failed.
+    did not fit their type, ``ragged`` lines of another width than their header. The message says which, or why the table failed.
     """
 
     layer: str
@@ -63,6 +64,7 @@ class TableRun:
     duplicates: int | None = None
     unmatched: int | None = None
     unparsed: int | None = None
+    ragged: int | None = None
     message: str | None = None
 
 
@@ -77,7 +79,7 @@ class RunFailed(Exception):
 def report_frame(spark: SparkSession, runs: list[TableRun]) -> DataFrame:
     """The run report, one row per table."""
     rows = [
-        (r.layer, r.table, r.status, r.rows, r.duplicates, r.unmatched, r.unparsed, r.message) for r in runs
+        (r.layer, r.table, r.status, r.rows, r.duplicates, r.unmatched, r.unparsed, r.ragged, r.message) for r in runs
     ]
     return spark.createDataFrame(rows, REPORT_SCHEMA)
 
@@ -86,9 +88,11 @@ def _failures(outcomes: list[Outcome]) -> str:
     return "; ".join(f"{o.rule} measured {o.measured}" for o in outcomes if not o.passed)
 
 
-def _require(layer: str, outcomes: dict[str, list[Outcome]], done: list[TableRun] = ()) -> None:
-    """Raise before anything is written if any table of the layer fails a rule."""
-    messages = {table: _failures(found) for table, found in outcomes.items()}
+def _require(
+    layer: str, outcomes: dict[str, list[Outcome]], done: list[TableRun] = (), told: Iterable[str] = ()
+) -> None:
+    """Raise before anything is written if any table of the layer fails a rule. ``told`` is added to the message."""
+    messages = {table: "; ".join([text, *told]) if (text := _failures(found)) else "" for table, found in outcomes.items()}
     if any(messages.values()):
         raise RunFailed(
             [
@@ -137,29 +141,55 @@ def _check(layer: str, tables: dict, rules: dict, done: list[TableRun] = ()) ->
     _require(layer, outcomes, done)
 
 
+#: Files that a message names.
+FILES_TOLD = 5
+
+
+def _told_files(staged: Staged, ragged: int) -> list[str]:
+    """The files with the most ragged lines, and how many other files have some."""
+    if not ragged:
+        return []
+    per_file = ragged_per_file(staged.df, SOURCE_FILE)
+    first = per_file.orderBy(F.desc("ragged"), SOURCE_FILE).limit(FILES_TOLD).collect()
+    rest = per_file.count() - len(first)
+    return [*(f"{r['ragged']} ragged in {r[SOURCE_FILE]}" for r in first), *([f"and in {rest} other files"] if rest else [])]
+
+
 def _ingest(
-    spark: SparkSession, layout: Layout, entity: Entity, stamp: RunStamp, infer: bool, null_safe: bool, unparsed: str
+    spark: SparkSession,
+    layout: Layout,
+    entity: Entity,
+    stamp: RunStamp,
+    infer: bool,
+    null_safe: bool,
+    unparsed: str,
+    ragged: str,
+    multiline: bool,
 ) -> TableRun:
     """Parse the files once, into a staged table that is checked and then published.
 
     The hash is of the text as it came. Text that does not fit its type stays in the table beside
-    the NULL it became, and is counted by column.
+    the NULL it became, and is counted by column. A line of another width than its header stays as a line and is counted by file.
     """
-    folder = f"{layout.landing}/{entity.name}"
-    raw = read_landing(spark, folder, infer=True) if infer else read_text(spark, folder)
+    raw = read_text(spark, f"{layout.landing}/{entity.name}", ragged=True, multiline=multiline, infer=infer)
     lined = add_lineage(raw, entity.name, stamp, null_safe)
     bronze = typed(lined, {} if infer else entity.raw_types, unparsed=True).withColumn(BATCH, F.lit(RUN))
-    rules = (*entity.rules, *entity.parse_rules(raw.columns))
+    rules = (*entity.rules, *entity.parse_rules(raw.columns), Rule("width"))
     staged = stage(bronze, entity.name, counters(bronze, rules))
     outcomes = evaluate({entity.name: (staged, rules)})[entity.name]
     lost = {o.rule.column: o.measured for o in outcomes if o.rule.kind == "parsed" and o.measured}
-    gated = [o for o in outcomes if unparsed == "fail" or o.rule.kind != "parsed"]
-    _require("bronze", {entity.name: gated})
+    n_ragged = sum(o.measured for o in outcomes if o.rule.kind == "width")
+    files = _told_files(staged, n_ragged)
+    reported = {kind for kind, handling in (("parsed", unparsed), ("width", ragged)) if handling == "report"}
+    gated = [o for o in outcomes if o.rule.kind not in reported]
+    _require("bronze", {entity.name: gated}, told=files)
     found = write_partitioned(
         staged.df, f"{layout.bronze}/{entity.name}", (*BRONZE_PARTITION, BATCH), keep_others=True
     )
-    told = "; ".join(f"{n} unparsed in {c}" for c, n in lost.items())
-    return TableRun("bronze", entity.name, "written", found["rows"], unparsed=sum(lost.values()), message=told or None)
+    told = "; ".join([*(f"{n} unparsed in {c}" for c, n in lost.items()), *files])
+    return TableRun(
+        "bronze", entity.name, "written", found["rows"], unparsed=sum(lost.values()), ragged=n_ragged, message=told or None
+    )
 
 
 def run_bronze(
@@ -170,18 +200,23 @@ def run_bronze(
     infer: bool = False,
     null_safe_hash: bool = True,
     unparsed: str = "fail",
+    ragged: str = "fail",
+    multiline: bool = False,
 ) -> list[TableRun]:
     """Land every entity in its bronze table, replacing what a run has written this month and nothing else.
 
     An entity that fails leaves the others alone; the run raises at its end. A value that does not
     fit its declared type fails its entity; with ``unparsed="report"`` it is kept as text, counted and reported.
+    So does a line that has more or fewer values than its header; with ``ragged="report"`` bronze keeps the line, and silver
+    leaves it out. ``multiline`` reads quoted values that hold line breaks.
     """
-    if unparsed not in ("fail", "report"):
-        raise ValueError(f"unparsed must be 'fail' or 'report', not {unparsed!r}")
+    for name, handling in (("unparsed", unparsed), ("ragged", ragged)):
+        if handling not in ("fail", "report"):
+            raise ValueError(f"{name} must be 'fail' or 'report', not {handling!r}")
     pack = pack or entities()
     with staging(spark):
         done, failed = _attempt(
-            "bronze", lambda n: _ingest(spark, layout, pack[n], stamp, infer, null_safe_hash, unparsed), pack
+            "bronze", lambda n: _ingest(spark, layout, pack[n], stamp, infer, null_safe_hash, unparsed, ragged, multiline), pack
         )
     if failed:
         by_name = {r.table: r for r in (*done.values(), *failed)}
@@ -200,7 +235,9 @@ def read_conformed(
     month = _month(stamp, BRONZE_PARTITION)
 
     def read(name: str) -> DataFrame:
-        return conform(read_partition(spark, f"{layout.bronze}/{name}", **month), pack[name])
+        rows = read_partition(spark, f"{layout.bronze}/{name}", **month)
+        whole = rows.where(F.col(RAGGED).isNull()) if RAGGED in rows.columns else rows
+        return conform(whole, pack[name])
 
     tables, failed = _attempt("silver", read, pack)
     _stop_on(failed, "silver", pack)

@@ -1,12 +1,14 @@
-from layerwright.sources.landing import UNPARSED, landing_schema, read_landing, read_text, typed
+from layerwright.sources.landing import RAGGED, UNPARSED, landing_schema, ragged_per_file, read_landing, read_text, typed
 from layerwright.sources.layers import MissingPartition, read_partition, write_partitioned
 from layerwright.sources.workspace import Staged, shared_folder, stage, staging
 
 __all__ = [
+    "RAGGED",
     "UNPARSED",
     "MissingPartition",
     "Staged",
     "landing_schema",
+    "ragged_per_file",
     "read_landing",
     "read_partition",
     "read_text",

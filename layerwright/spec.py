@@ -36,8 +36,8 @@ class Field:
 
 @dataclass(frozen=True)
 class Rule:
-    """A data-quality rule. ``kind`` is not_null, min_count, unique, range, or parsed: no text of the
-    column failed to take its declared type."""
+    """A data-quality rule. ``kind`` is not_null, min_count, unique, range, parsed (no text of the
+    column failed to take its declared type) or width (no line has another number of values than its header)."""
 
     kind: str
     column: str | None = None

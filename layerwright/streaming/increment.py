@@ -10,10 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from layerwright.operators.lineage import BATCH, BRONZE_PARTITION, SOURCE_FILE, RunStamp, add_lineage
 from layerwright.operators.quality import counters, evaluate, gate
-from layerwright.sources.landing import CSV_OPTIONS, landing_schema, typed
+from layerwright.sources.landing import CSV_OPTIONS, RAGGED, WHOLE_LINES, landing_schema, ragged_schema, set_ragged_apart, typed
 from layerwright.sources.layers import MissingPartition, write_partitioned
 from layerwright.sources.workspace import file_system, stage, staging
-from layerwright.spec import Entity
+from layerwright.spec import Entity, Rule
 
 COMPACTED = "compacted"
 
@@ -30,7 +30,7 @@ def _forget(spark: SparkSession, root: str, batch: str) -> None:
         files.delete(found.getPath(), True)
 
 
-def land_increment(entity: Entity, target: str, clock: Callable[[], RunStamp], null_safe_hash: bool = True, unparsed: str = "fail"):
+def land_increment(entity: Entity, target: str, clock: Callable[[], RunStamp], null_safe_hash: bool = True, unparsed: str = "fail", ragged: str = "fail"):
     """The work on one micro-batch of text rows: lineage, types, rules, then the write.
 
     A failed rule raises before the write, so the batch is not committed and comes again. Each
@@ -43,7 +43,8 @@ def land_increment(entity: Entity, target: str, clock: Callable[[], RunStamp], n
         lined = add_lineage(batch, entity.name, clock(), null_safe_hash)
         bronze = typed(lined, entity.raw_types, unparsed=True).withColumn(BATCH, F.lit(name))
         strict = entity.parse_rules(batch.columns) if unparsed == "fail" else ()
-        rules = (*entity.rules, *strict)
+        width = (Rule("width"),) if ragged == "fail" and RAGGED in batch.columns else ()
+        rules = (*entity.rules, *strict, *width)
         with staging(spark):
             staged = stage(bronze, f"{entity.name}-increment", counters(bronze, rules))
             gate(evaluate({entity.name: (staged, rules)}))
@@ -63,20 +64,22 @@ def ingest_new_files(
     max_files: int | None = None,
     null_safe_hash: bool = True,
     unparsed: str = "fail",
+    ragged: str = "fail",
+    multiline: bool = False,
 ) -> StreamingQuery:
     """Take in the files of a landing folder that ``progress`` does not know yet, and stop.
 
     ``target`` is a bronze table as a bronze run writes it: both may write to the same one, which is
     read by month. ``progress`` must outlive the run and be reachable from the cluster. ``max_files``
-    bounds a micro-batch.
+    bounds a micro-batch. ``unparsed``, ``ragged`` and ``multiline`` are as in a bronze run.
     """
-    reader = spark.readStream.options(**CSV_OPTIONS, enforceSchema=False)
+    reader = spark.readStream.options(**CSV_OPTIONS, **WHOLE_LINES, enforceSchema=False, multiLine=multiline)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    text = reader.schema(landing_schema(spark, landing)).csv(landing)
-    raw = text.select("*", F.col("_metadata.file_path").alias(SOURCE_FILE))
+    text = reader.schema(ragged_schema(landing_schema(spark, landing, multiline))).csv(landing)
+    raw = set_ragged_apart(text).select("*", F.col("_metadata.file_path").alias(SOURCE_FILE))
     return (
-        raw.writeStream.foreachBatch(land_increment(entity, target, clock, null_safe_hash, unparsed))
+        raw.writeStream.foreachBatch(land_increment(entity, target, clock, null_safe_hash, unparsed, ragged))
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()

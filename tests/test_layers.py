@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 from layerwright import plans
 from layerwright.literacy import TARGETS, entities
 from layerwright.operators import RunStamp, add_lineage
-from layerwright.sources import MissingPartition, read_landing, read_partition, read_text, shared_folder, write_partitioned
+from layerwright.sources import (
+    MissingPartition,
+    ragged_per_file,
+    read_landing,
+    read_partition,
+    read_text,
+    shared_folder,
+    stage,
+    write_partitioned,
+)
 
 
 JULY = RunStamp(datetime(2026, 7, 31, 23, 59, 59, tzinfo=timezone.utc))
@@ -235,6 +244,56 @@ def test_text_that_does_not_fit_stays_in_bronze(spark, tmp_path):
         plans.run_bronze(spark, layout, JULY, only, unparsed="other")
 
 
+RAGGED_LINES = [
+    FILES["mapeamento_municipio"][0], "1,Town,SP", "2,Short", "3,Long,SP,surplus", '4,"Two', 'lines",SP', '5,"A, b",RJ', "6,C,BA",
+]
+
+
+def test_ragged_lines_fail_an_entity_or_stay_as_lines(spark, tmp_path):
+    layout = land(str(tmp_path), mapeamento_municipio=RAGGED_LINES)
+    only = {"mapeamento_municipio": entities()["mapeamento_municipio"]}
+    with pytest.raises(plans.RunFailed, match=r"width\(\*\) measured 4; 4 ragged in file:.*/mapeamento_municipio/data.csv"):
+        plans.run_bronze(spark, layout, JULY, only)
+    assert not os.path.exists(f"{layout.bronze}/mapeamento_municipio")
+    (run,) = plans.run_bronze(spark, layout, JULY, only, ragged="report")
+    assert (run.rows, run.ragged, run.unparsed) == (7, 4, 0) and run.message.startswith("4 ragged in file:")
+    stored = read_partition(spark, f"{layout.bronze}/mapeamento_municipio", _ing_ano=2026, _ing_mes=7)
+    assert {r["_ragged"] for r in stored.where("_ragged IS NOT NULL").collect()} == set(RAGGED_LINES[2:6])
+    assert rows(stored.where("_ragged IS NOT NULL").select("id_municipio", "nome_municipio", "sigla_uf").distinct()) == [(None, None, None)]
+    assert stored.select("_record_hash").distinct().count() == 7
+    silver = plans.read_conformed(spark, layout, JULY, only)["mapeamento_municipio"]
+    assert {r["id_municipio"] for r in silver.collect()} == {1, 5, 6}
+    with pytest.raises(ValueError):
+        plans.run_bronze(spark, layout, JULY, only, ragged="drop")
+
+
+def test_ragged_lines_with_guessed_types(spark, tmp_path):
+    layout = land(str(tmp_path), mapeamento_municipio=RAGGED_LINES)
+    only = {"mapeamento_municipio": entities()["mapeamento_municipio"]}
+    (run,) = plans.run_bronze(spark, layout, JULY, only, infer=True, ragged="report")
+    assert (run.rows, run.ragged) == (7, 4)
+
+
+def test_quoted_line_breaks_are_read_on_request(spark, tmp_path):
+    layout = land(str(tmp_path), mapeamento_municipio=[*RAGGED_LINES[:2], *RAGGED_LINES[4:]])
+    only = {"mapeamento_municipio": entities()["mapeamento_municipio"]}
+    (run,) = plans.run_bronze(spark, layout, JULY, only, multiline=True)
+    assert (run.rows, run.ragged) == (4, 0)
+    stored = spark.read.parquet(f"{layout.bronze}/mapeamento_municipio")
+    assert {r["nome_municipio"] for r in stored.collect()} == {"Town", "Two\nlines", "A, b", "C"}
+
+
+def test_ragged_lines_of_several_files_are_told_by_file(spark, tmp_path):
+    for name in "abcdefg":
+        (tmp_path / f"{name}.csv").write_text("id,name\n1,x\n" + "2\n" * (1 + (name == "c")))
+    found = read_landing(spark, str(tmp_path), {"id": "int"}, ragged=True)
+    assert rows(found.select("id").distinct()) == [(1,), (None,)]
+    stored = stage(add_lineage(read_text(spark, str(tmp_path), ragged=True), "things", JULY), "ragged").df
+    per_file = ragged_per_file(stored, "_source_file")
+    assert sorted((r[0][-5:], r[1]) for r in per_file.collect()) == [(f"{n}.csv", 1 + (n == "c")) for n in "abcdefg"]
+    assert rows(read_landing(spark, str(tmp_path)).select("id").distinct()) == [("1",), ("2",)]
+
+
 def test_hash_is_of_the_text(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id\n1\n01\n")
     hashed = add_lineage(read_text(spark, str(tmp_path)), "things", JULY)

@@ -93,6 +93,16 @@ def test_text_that_does_not_fit_is_kept_on_request(spark, folders):
     assert folders.stored(spark).first()["_unparsed"] == {"id": "x"}
 
 
+def test_ragged_lines_fail_a_batch_or_stay_as_lines(spark, folders):
+    folders.land("a", "1,x", "2", "3,y,z", "4,w")
+    with pytest.raises(Exception, match="width"):
+        folders.take_in(spark)
+    assert not os.path.exists(folders.target)
+    folders.take_in(spark, ragged="report")
+    stored = folders.stored(spark)
+    assert rows(stored.select("id", "_ragged")) == [(1, None), (4, None), (None, "2"), (None, "3,y,z")]
+
+
 def test_a_run_and_a_stream_share_a_bronze_table(spark, folders, tmp_path):
     folders.target = f"{tmp_path}/bronze/things"
     folders.land("a", "1,x")
