@@ -72,37 +72,55 @@ def _position() -> Column:
     return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + F.spark_partition_id()
 
 
-def split_join(
-    rows: DataFrame, table: DataFrame, on: tuple[str, ...], how: str, null_safe: bool, counts: Staged
+def _dealt_join(
+    rows: DataFrame, table: DataFrame, crowded: DataFrame, on: tuple[str, ...], how: str, null_safe: bool
 ) -> DataFrame:
-    """Shuffle join in which rows of a crowded key are dealt out over several pieces, each of which
-    meets its own copy of the key's table rows. ``counts`` holds the rows of each key.
+    """Shuffle join of rows of crowded keys, dealt out over several pieces, each of which meets its own copy of the key's table rows.
 
-    The rows of crowded keys are sorted inside each task, by all their columns, and dealt out in that
+    The rows are sorted inside each task, by all their columns, and dealt out in that
     order: a task spreads its rows however few tasks there are, copies as well as others, and a
     retried task, whatever order its rows come in, deals them as before. NULL keys are dealt out too.
     """
-    crowded = F.broadcast(prefixed(_crowded_keys(counts, on), on, "_c_"))
     same_as_crowded = matches(on, "_c_", null_safe=True)
     helpers = [f"_c_{k}" for k in on] + ["_pieces"]
     sortable = [F.col(f.name) for f in rows.schema.fields if not isinstance(f.dataType, MapType)]
     dealt = (
-        rows.join(crowded, same_as_crowded, "left")
-        .sortWithinPartitions(F.when(F.col("_pieces").isNotNull(), F.struct(*sortable)))
-        .withColumn("_place", _position())
-        .withColumn("_piece", F.coalesce(F.pmod("_place", "_pieces"), F.lit(0)))
-        .drop(*helpers, "_place")
+        rows.join(crowded, same_as_crowded)
+        .sortWithinPartitions(F.struct(*sortable))
+        .withColumn("_piece", F.pmod(_position(), "_pieces"))
+        .drop(*helpers)
     )
-    last = F.coalesce(F.col("_pieces") - 1, F.lit(0))
     copied = (
-        table.join(crowded, same_as_crowded, "left")
-        .withColumn("_t__piece", F.explode(F.sequence(F.lit(0), last)))
+        table.join(crowded, same_as_crowded)
+        .withColumn("_t__piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
         .drop(*helpers)
     )
     match = matches(on, "_t_", null_safe) & (F.col("_piece") == F.col("_t__piece"))
-    return dealt.join(prefixed(copied, on, "_t_"), match, how).drop(
-        "_piece", "_t__piece", *(f"_t_{k}" for k in on)
-    )
+    return dealt.join(prefixed(copied, on, "_t_"), match, how).drop("_piece", "_t__piece")
+
+
+def split_join(
+    rows: DataFrame, table: DataFrame, on: tuple[str, ...], how: str, null_safe: bool, counts: Staged
+) -> DataFrame:
+    """Shuffle join that sets the rows of crowded keys apart. ``counts`` holds the rows of each key.
+
+    Rows of all other keys go through a plain join. Rows of crowded keys, of which there are few, stay where they are
+    if the table's rows of those keys fit the broadcast bound, and are dealt out over pieces if not.
+    """
+    keys = _crowded_keys(counts, on)
+    drop = [f"_t_{k}" for k in on]
+    right = prefixed(table, on, "_t_")
+    if keys.isEmpty():
+        return rows.join(right, matches(on, "_t_", null_safe), how).drop(*drop)
+    crowded, same = F.broadcast(prefixed(keys, on, "_c_")), matches(on, "_c_", null_safe=True)
+    others = rows.join(crowded, same, "left_anti").join(right, matches(on, "_t_", null_safe), how)
+    near = table.join(crowded, same, "left_semi")
+    if measure(near)[0] <= broadcast_limit(rows.sparkSession):
+        here = rows.join(crowded, same, "left_semi")
+        met = here.join(F.broadcast(prefixed(near, on, "_t_")), matches(on, "_t_", null_safe), how)
+    else:
+        met = _dealt_join(rows, table, crowded, on, how, null_safe)
+    return others.drop(*drop).unionByName(met.drop(*drop))
 
 
 def lookup_join(
@@ -135,3 +153,23 @@ def lookup_join(
         return stage(split_join(rows, table, on, how, null_safe, counts), "looked-up").df
     small = F.broadcast(prefixed(table, on, "_t_"))
     return rows.join(small, matches(on, "_t_", null_safe), how).drop(*(f"_t_{k}" for k in on))
+
+
+def lookup_all(rows: DataFrame, lookups: list[tuple[DataFrame, tuple[str, ...]]], how: str = "left") -> DataFrame:
+    """``rows`` joined to one table after the other, each with its key columns; a key may come from a table before.
+
+    All tables are measured in one job. If all fit the broadcast bound, no row moves. If not, the tables are first
+    joined to the distinct keys that ``rows`` have, a narrow table, and ``rows`` meet the result in one join, however many tables
+    there are. The counts of those keys tell which are crowded.
+    """
+    sizes = measure(*(table for table, _ in lookups))
+    if max(sizes) <= broadcast_limit(rows.sparkSession):
+        for (table, on), size in zip(lookups, sizes):
+            rows = lookup_join(rows, table, on, how, table_bytes=size)
+        return rows
+    keys = tuple(dict.fromkeys(k for _, on in lookups for k in on if k in rows.columns))
+    counts = count_rows_per_key(rows, keys)
+    found = counts.df.drop(ROWS)
+    for (table, on), size in zip(lookups, sizes):
+        found = lookup_join(found, table, on, how, table_bytes=size)
+    return lookup_join(rows, stage(found, "found"), keys, how, null_safe=True, row_counts=counts)

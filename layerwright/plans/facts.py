@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from layerwright.functions import count_where, fill_number, fill_text
 from layerwright.literacy import NOT_FOUND, SHARE_PREFIX, TARGETS
 from layerwright.operators.conform import select_by_prefix
-from layerwright.operators.lookup import lookup_join, measure
+from layerwright.operators.lookup import lookup_all, lookup_join
 
 Tables = dict[str, DataFrame]
 LOST = "_lost"
@@ -19,13 +19,6 @@ def _measures(df: DataFrame, keys: tuple[str, ...], **names: str) -> DataFrame:
     return df.select(*keys, *(F.col(c).alias(out) for out, c in names.items()))
 
 
-def _with_lookups(rows: DataFrame, *lookups: tuple[DataFrame, tuple[str, ...]], how: str) -> DataFrame:
-    """Join rows to one table after the other, all tables being measured in one job."""
-    for (table, on), size in zip(lookups, measure(*(t for t, _ in lookups))):
-        rows = lookup_join(rows, table, on, how, table_bytes=size)
-    return rows
-
-
 def _known_place(df: DataFrame) -> DataFrame:
     return df.withColumns({c: fill_text(F.col(c), NOT_FOUND) for c in ("nome_municipio", "sigla_uf")})
 
@@ -33,17 +26,14 @@ def _known_place(df: DataFrame) -> DataFrame:
 def student_fact(tables: Tables) -> DataFrame:
     """Students with their place and the mean scores of their municipality's and state's network.
 
-    The students stay where they are as long as the three small tables fit the broadcast bound.
+    The students stay where they are as long as the three small tables fit the broadcast bound, and are shuffled once if not.
     """
     town_key, state_key = ("ano", "id_municipio", "rede"), ("ano", "sigla_uf", "rede")
     town = _measures(tables["municipio"], town_key, media_portugues_municipio="media_portugues")
     state = _measures(tables["uf"], state_key, media_portugues_estado="media_portugues")
-    rows = _with_lookups(
+    rows = lookup_all(
         tables["avaliacao_aluno"],
-        (tables["mapeamento_municipio"], ("id_municipio",)),
-        (town, town_key),
-        (state, state_key),
-        how="left",
+        [(tables["mapeamento_municipio"], ("id_municipio",)), (town, town_key), (state, state_key)],
     )
     means = ("media_portugues_municipio", "media_portugues_estado")
     return _known_place(rows).select(
@@ -102,7 +92,7 @@ def area_target_rows(tables: Tables, dimension: DataFrame | None = None, seen: O
     ).withColumn("_target", F.lit(True))
     actual = dimension.select(*keys, "nome_municipio", "sigla_uf", "rede", "taxa_alfabetizacao")
     state = _state_rates(tables["meta_uf"]).withColumn("_state", F.lit(True))
-    placed = _with_lookups(actual, (target, keys), (state, ("ano", "sigla_uf")), how="left")
+    placed = lookup_all(actual, [(target, keys), (state, ("ano", "sigla_uf"))])
     reasons = {
         "no state": F.col("sigla_uf") == NOT_FOUND,
         "no state target": F.col("_state").isNull(),
@@ -149,7 +139,7 @@ def state_target_rows(tables: Tables, seen: Observation | None = None) -> DataFr
         taxa_alfabetizacao_nacional="taxa_alfabetizacao",
         percentual_participacao_nacional="percentual_participacao",
     ).withColumn("_nation", F.lit(True))
-    placed = _with_lookups(actual, (target, ("ano", "sigla_uf")), (nation, ("ano",)), how="left")
+    placed = lookup_all(actual, [(target, ("ano", "sigla_uf")), (nation, ("ano",))])
     reasons = {"no target": F.col("_target").isNull(), "no national target": F.col("_nation").isNull()}
     return _kept(placed, reasons, seen)
 

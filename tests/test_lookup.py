@@ -4,7 +4,7 @@ import pytest
 from conftest import plan, rows
 from pyspark.sql import functions as F
 
-from layerwright.operators import lookup_join, measure, with_group_mean
+from layerwright.operators import lookup_all, lookup_join, measure, with_group_mean
 from layerwright.operators.lookup import count_rows_per_key, split_join
 from layerwright.sources import stage
 
@@ -55,6 +55,52 @@ def test_shuffle_path(spark, no_broadcast, how, null_safe):
     assert "SortMergeJoin" in plan(lazy)
 
 
+def sorts(df):
+    """What is sorted in a plan, of each side of a join and of rows that are dealt out."""
+    return [line.split("Sort [")[1] for line in plan(df).split("\n") if "Sort [" in line]
+
+
+@pytest.mark.parametrize("near", ["broadcast", "dealt"])
+def test_only_crowded_rows_are_dealt(spark, no_broadcast, near):
+    """Rows of other keys are sorted by the join alone; rows of crowded keys do not move if the table's part is small."""
+    left, right = skewed(spark), described(spark)
+    counts = count_rows_per_key(left, ("k",))
+    if near == "broadcast":
+        spark.conf.set("spark.layerwright.maxBroadcastBytes", "1000")
+    joined = split_join(left, right, ("k",), "left", False, counts)
+    by_value = [s for s in sorts(joined) if "struct" in s]
+    assert len(by_value) == (near == "dealt") and "LeftAnti" in plan(joined)
+    assert len(sorts(joined)) == (5 if near == "dealt" else 2)
+    assert rows(joined) == nested_loop(left, right, "left", False)
+
+
+def test_even_keys_are_not_split(spark, no_broadcast):
+    left = spark.range(4000).select((F.col("id") % 1000).cast("int").alias("k"), F.col("id").alias("v"))
+    joined = split_join(left, described(spark), ("k",), "left", False, count_rows_per_key(left, ("k",)))
+    assert plan(joined).count("SortMergeJoin") == 1 and "Anti" not in plan(joined)
+    assert rows(joined) == nested_loop(left, described(spark), "left", False)
+
+
+def several(spark):
+    places = spark.createDataFrame([(k, f"p{k}", f"s{k % 3}") for k in range(60)] + [(5, "again", "s0")], "k int, place string, state string")
+    towns = spark.createDataFrame([(k, y, k * y) for k in range(50) for y in (1, 2)], "k int, y int, town int")
+    states = spark.createDataFrame([(f"s{i}", y, i + (y or 9)) for i in range(2) for y in (1, None)], "state string, y int, mean int")
+    return [(places, ("k",)), (towns, ("k", "y")), (states, ("state", "y"))]
+
+
+def test_lookups_after_each_other_in_one_shuffle(spark, no_broadcast):
+    left = skewed(spark).withColumn("y", F.when(F.col("v") % 7 != 0, (F.col("v") % 3).cast("int")))
+    found = lookup_all(left, several(spark))
+    want = left
+    for table, on in several(spark):
+        want = want.join(table, list(on), "left")
+    assert found.columns == ["k", "v", "y", "place", "state", "town", "mean"]
+    assert rows(found) == rows(want.select(*found.columns))
+    spark.conf.unset("spark.layerwright.maxBroadcastBytes")
+    assert rows(lookup_all(left, several(spark))) == rows(found)
+    assert plan(lookup_all(left, several(spark))).count("BroadcastHashJoin") == 3
+
+
 SHARES = {
     "mixed": lambda id: id % 3 == 0,
     "clustered": lambda id: id < 10000,  # all of the key's rows in a few tasks
