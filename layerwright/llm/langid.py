@@ -5,7 +5,11 @@ pieces, by the forward algorithm; a text's is the product over its words. The pi
 of the labelled texts, counted by Spark, by rounds of expectation and maximisation that start from equal
 probabilities. Only expected counts by language and piece, whose number the vocabulary bounds, come to the driver.
 
-Words are lower-cased and reduced to their letters; words of more than ``LONGEST`` letters are cut into words of that many.
+Words are lower-cased and reduced to their letters. A word of any length is summed over all its segmentations when a text is scored: the sums are
+rescaled as they go. Learning reads words of more than ``LONGEST`` letters as words of that many.
+
+The logs of the ``SENT`` words that are most frequent in what was learned are computed once and sent to the tasks, which compute those of other words
+themselves, once a task while it keeps them. Where a word's logs come from does not change them.
 
 Defined cases: a text that is null or has no letter, and any text if nothing was learned, gets ``und`` with score 0; rows
 that repeat count each in learning; ties go to the language first in order; an empty table gives no rows; other columns
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,10 @@ from .memo import Memo
 from .shared import free_name, written
 
 LONGEST, ROUNDS = 24, 2
+#: Frequent words whose logs are sent: a bound on what is sent, not on what is scored.
+SENT = 1 << 18
+#: Positions after which running sums are scaled.
+SCALED = 16
 #: Added to every expected count; probability of a character that is no piece, and least probability of all.
 ADDED, UNKNOWN = 0.5, 1e-8
 NO_LANGUAGE = "und"
@@ -50,6 +59,9 @@ class Vocabulary:
         hashes = np.array([_hashes(p, np.array([0]), np.array([len(p)]))[0] for p in plain], "uint64")
         order = np.argsort(hashes)
         self.hashes, self.numbers = hashes[order], order
+        #: Whether any piece's hash begins with these bits.
+        self.begun = np.zeros(1 << 20, bool)
+        self.begun[hashes >> np.uint64(44)] = True
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Where each word's positions begin and end, and for each end, counted from the word's start, the edges into it, a pair of
@@ -64,6 +76,9 @@ class Vocabulary:
         for n in range(1, self.longest + 1):
             end = np.flatnonzero(place >= n - 1)
             h = between(sums, end - n + 1, end + 1, _BASE)
+            if n > 1:
+                some = self.begun[h >> np.uint64(44)]
+                end, h = end[some], h[some]
             at = np.minimum(np.searchsorted(self.hashes, h), self.size - 1)
             found = self.hashes[at] == h
             number = np.where(found, self.numbers[at], self.size)
@@ -93,17 +108,33 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _portions(sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Words in order of length, as many at a time as have ``most`` letters together, one at least."""
+    order = np.argsort(sizes, kind="stable")
+    total, start = np.cumsum(sizes[order]), 0
+    while start < len(order):
+        end = max(start + 1, int(np.searchsorted(total, total[start] - sizes[order[start]] + most, side="right")))
+        yield order[start:end]
+        start = end
+
+
 def forward(words: list[str], pieces: Vocabulary, p: np.ndarray) -> np.ndarray:
     """Log probability of each word (rows) in each language (columns); ``p`` has a row for each piece and one more for unknown characters."""
-    out, step = np.zeros((len(words), p.shape[1])), max(1, TABLE // (p.shape[1] * (LONGEST + 2)))
-    for a in range(0, len(words), step):
-        starts, ends, by_end = pieces.edges(words[a : a + step])
-        sums = np.zeros((int(ends[-1]) + 1, p.shape[1]))
+    out = np.zeros((len(words), p.shape[1]))
+    for some in _portions(np.array([len(w) + 2 for w in words], "int64"), max(1, TABLE // p.shape[1])):
+        starts, ends, by_end = pieces.edges([words[i] for i in some.tolist()])
+        sums, scale = np.zeros((int(ends[-1]) + 1, p.shape[1])), np.zeros((len(some), p.shape[1]))
         sums[starts] = 1
-        for edges in by_end:
+        for i, edges in enumerate(by_end):
             for n, at, number in edges:
                 sums[at] += sums[at - n] * p[number]
-        out[a : a + step] = np.log(sums[ends])
+            if i and i % SCALED == 0:
+                going = np.flatnonzero(starts + i < ends)
+                recent = starts[going, None] + np.arange(max(0, i - pieces.longest), i + 1)
+                top = sums[recent].max(1)
+                sums[recent] /= top[:, None]
+                scale[going] += np.log(top)
+        out[some] = np.log(sums[ends]) + scale
     return out
 
 
@@ -137,8 +168,8 @@ def _plain(word: str) -> str:
     return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
-def word_lists(texts: list[bytes | None]) -> Iterator[tuple[slice, list[str], np.ndarray, np.ndarray]]:
-    """For each group of texts: its place, its distinct words, and for each word of a text the text and the word's number."""
+def word_lists(texts: list[bytes | None], cut: bool = False) -> Iterator[tuple[slice, list[str], np.ndarray, np.ndarray]]:
+    """For each group of texts: its place, its distinct words, and for each word of a text the text and the word's number. ``cut`` gives long words in parts."""
     for some in grouped(texts):
         words = words_of(texts[some])
         raw = words.raw.tobytes()
@@ -147,9 +178,9 @@ def word_lists(texts: list[bytes | None]) -> Iterator[tuple[slice, list[str], np
         parts, sizes = [], []
         for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True):
             w = _plain(raw[a:b].decode())
-            cut = [w] if 0 < len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
-            parts += [names.setdefault(c, len(names)) for c in cut]
-            sizes.append(len(cut))
+            pieces = [w][: len(w)] if len(w) <= LONGEST or not cut else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
+            parts += [names.setdefault(c, len(names)) for c in pieces]
+            sizes.append(len(pieces))
         sizes, parts = np.array(sizes, "int64"), np.array(parts, "int64")
         begin = np.cumsum(sizes) - sizes
         count = sizes[back]
@@ -161,7 +192,7 @@ def count_words(labelled: DataFrame, lang: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object).astype(str)
-            for some, words, owner, number in word_lists(batch.column(1).to_pylist()):
+            for some, words, owner, number in word_lists(batch.column(1).to_pylist(), cut=True):
                 names, of = np.unique(langs[some], return_inverse=True)
                 both, n = np.unique(of[owner] * len(words) + number, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -177,8 +208,19 @@ def count_words(labelled: DataFrame, lang: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def learn(labelled: DataFrame, path: str, lang: str = "lang", text: str = "text", rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """The languages, in order, and the probabilities: a row for each piece and one for unknown characters, a column for each language."""
+@dataclass(frozen=True)
+class Model:
+    """The languages, in order; the probabilities: a row for each piece and one for unknown characters, a column for
+    each language; and frequent words with the logs of their probabilities."""
+
+    languages: list[str]
+    p: np.ndarray
+    words: list[str]
+    logs: np.ndarray
+
+
+def learn(labelled: DataFrame, path: str, lang: str = "lang", text: str = "text", rounds: int = ROUNDS) -> Model:
+    """A model of the labelled texts."""
     counted = written(count_words(labelled, lang, text), "words")
     context = labelled.sparkSession.sparkContext
     languages = sorted(r[0] for r in counted.select("lang").distinct().collect())
@@ -209,19 +251,38 @@ def learn(labelled: DataFrame, path: str, lang: str = "lang", text: str = "text"
         counts[totals["piece"].to_numpy(), [languages.index(x) for x in totals["lang"]]] = totals["n"]
         p = np.maximum((counts + ADDED) / (counts[:size].sum(0) + ADDED * size), UNKNOWN)
         p[size] = UNKNOWN
-    return languages, p
+    return Model(languages, p, *_frequent(counted, path, p))
+
+
+def _frequent(counted: DataFrame, path: str, p: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The ``SENT`` most frequent whole words and their logs."""
+    context = counted.sparkSession.sparkContext
+    total = counted.where(F.length("word") < LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
+    top = total.orderBy(F.desc("n"), "word").limit(SENT).select("word")
+    shared = context.broadcast(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logs = forward(batch.column(0).to_pylist(), vocabulary(path), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in logs], pa.binary())], names=["word", "logs"])
+
+    found = top.repartition(context.defaultParallelism).mapInArrow(run, "word string, logs binary").toPandas() if p.shape[1] else None
+    if found is None or not len(found):
+        return [], np.zeros((0, p.shape[1]))
+    return found["word"].tolist(), np.frombuffer(b"".join(map(bytes, found["logs"])), "float64").reshape(-1, p.shape[1])
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the language's share of the text's probability over all languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     raw = free_name(docs, "_raw")
     schema = StructType([*docs.schema.fields, StructField(free_name(docs, "lang_pred"), StringType()), StructField(free_name(docs, "score"), DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, p = shared.value
+        model = shared.value
+        languages = model.languages
         names = np.array([*languages, NO_LANGUAGE], object)
-        logs_of = Memo(lambda words: forward(words, vocabulary(path), p), len(languages))
+        logs_of = Memo(lambda words: forward(words, vocabulary(path), model.p), model.words, model.logs)
         for batch in batches:
             for some, words, owner, number in word_lists(batch.column(batch.num_columns - 1).to_pylist()):
                 n = some.stop - some.start

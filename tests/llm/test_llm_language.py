@@ -32,6 +32,12 @@ def test_forward_sums_all_segmentations():
     number = {p: i for i, p in enumerate(plain)}
     p = np.random.default_rng(1).random((pieces.size + 1, 2)) * 1e-3
     words = ["the", "ça", "straße", "日本", "aaaaaaaaaaaa", "x", "unbelievable"]
+    long = [*words, "the" * 9, "antidis" * 12, "é日" * 17]
+    plain = [[plain_forward(w, number, p[:, j], pieces.size) for j in (0, 1)] for w in long]
+    assert langid.forward(long, pieces, p) == pytest.approx(np.array(plain))
+    endless = langid.forward(["aaaaaaab" * 4000, "the"], pieces, p)
+    twice = langid.forward(["aaaaaaab" * 8000], pieces, p)
+    assert np.isfinite(endless).all() and twice[0] == pytest.approx(2 * endless[0], rel=1e-3)
     found = langid.forward(words, pieces, p)
     assert found == pytest.approx(np.array([[plain_forward(w, number, p[:, j], pieces.size) for j in (0, 1)] for w in words]))
     # The expected number of a piece is the derivative of the log probability by the piece's own.
@@ -57,7 +63,7 @@ def test_awkward_rows(spark):
     rows = llmdata.documents()
     docs = llmdata.frame(spark, rows).withColumnRenamed("spans", "score")
     model = langid.learn(docs, PATH)
-    assert model[0] == ["en", "fr"]
+    assert model.languages == ["en", "fr"]
     found = langid.predict(docs, model, PATH)
     assert found.columns == [*docs.columns, "lang_pred", "_score"]
     found = found.collect()
@@ -67,6 +73,17 @@ def test_awkward_rows(spark):
         assert (r["lang_pred"] == "und") == (not letters)
 
 
+def test_sent_words_change_nothing(spark, monkeypatch):
+    docs = llmdata.frame(spark)
+    found = {}
+    for sent in (3, 1 << 18):
+        monkeypatch.setattr(langid, "SENT", sent)
+        model = langid.learn(docs, PATH)
+        assert (len(model.words) == 3) == (sent == 3)
+        found[sent] = sorted(map(repr, langid.predict(docs, model, PATH).select("doc_id", "lang_pred", "score").collect()))
+    assert found[3] == found[1 << 18]
+
+
 def test_nothing_learned_and_empty_tables(spark):
     none = llmdata.frame(spark, [])
     model = langid.learn(none, PATH)
