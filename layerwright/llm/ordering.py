@@ -4,11 +4,12 @@ Sequences are numbered densely and the number goes through a Feistel network ove
 holds all of them; a result beyond the last number goes through again until it is a number (cycle walking), so the slots
 are a permutation. One shuffle takes each sequence to its shard, a range of slots that one task puts in order and
 writes as a file of records of one length. A reader finds slot ``s`` in file ``s // shard_rows`` at byte
-``s % shard_rows * stride``, so reading goes on from any slot without an index.
+``s % shard_rows * stride``, so reading goes on from any slot without an index, and files before it are neither opened nor needed.
 
 A record is: document id (8 bytes), piece (4), number of ids (2), ids (2 each, zeros to the end), a line feed; integers are little-endian.
 Shards are written in the shared folder and by Spark's writer, so a lost task leaves no half file. Records travel in
-compressed lots, one for each shard that a batch has records for.
+compressed lots, one for each shard that a batch has records for; a task holds one array of its shard's size and one lot. Only the id and the text of
+a document are read. The table of sequences goes when the shards are written.
 
 Defined cases: null document ids are written as -1 and null texts have the end id only; rows that repeat are sequences of their own; an
 empty table makes one empty shard and no rows. Ids beyond 16 bits are an error.
@@ -25,13 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from layerwright.sources.workspace import remove
+
 from .packing import token_pieces
 from .shared import free_name, shared_folder
 
 ROUNDS = 4
 HEAD = 14
 #: Records that go to the writer as one value; bytes of records that a task gathers before it sends them.
-LINES, GATHERED = 2048, 8 << 20
+LINES, GATHERED = 2048, 6 << 20
+#: Bytes of text in work at a time.
+TEXT_AT_ONCE = 2 << 20
 #: Multipliers of the round function and their modulus.
 FIRST, SECOND, PRIME = 1_103_515_245, 1_664_525_003, 2_147_483_647
 
@@ -90,9 +95,11 @@ def layout(length: int) -> np.dtype:
 
 def records(batch: pa.RecordBatch, length: int) -> np.ndarray:
     """The records of sequences given as document id, piece and ids."""
-    ids = batch.column(2).to_pylist()
-    size = np.fromiter(map(len, ids), "int64", len(ids)) // 4
-    flat = np.frombuffer(b"".join(ids), "<u4")
+    ids = batch.column(2)
+    _, ends, data = ids.buffers()
+    ends = np.frombuffer(ends, "<i4")[ids.offset : ids.offset + len(ids) + 1]
+    size = np.diff(ends) // 4
+    flat = np.frombuffer(data, "uint8")[ends[0] : ends[-1]].view("<u4") if len(ids) else np.zeros(0, "<u4")
     if size.max(initial=0) > length or flat.max(initial=0) > 0xFFFF:
         raise ValueError("a sequence is too long or an id needs more than 16 bits")
     out = np.zeros(len(ids), layout(length))
@@ -122,7 +129,7 @@ def materialise(docs: DataFrame, path: str, length: int = 128, key: int = 202601
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/order-{uuid.uuid4().hex}"
-    pieces = token_pieces(docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("doc_id"), F.col(text).alias("text")), path, length, end_id, crc=False)
+    pieces = token_pieces(docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("doc_id"), F.col(text).alias("text")), path, length, end_id, crc=False, at_once=TEXT_AT_ONCE)
     rows, n = numbered(pieces.select("doc_id", "piece", "ids"), f"{folder}/sequences")
 
     def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,30 +154,44 @@ def materialise(docs: DataFrame, path: str, length: int = 128, key: int = 202601
     def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpack, slot, lot = zstandard.ZstdDecompressor().decompress, [], []
+        unpack, made, last = zstandard.ZstdDecompressor().decompress, None, 0
         for batch in batches:
-            slot += [np.frombuffer(s, "<i8") for s in batch.column(1).to_pylist()]
-            lot += [np.frombuffer(unpack(d), layout(length)) for d in batch.column(2).to_pylist()]
-        if not slot:
+            for shard, slots, lot in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if made is None:
+                    made = np.zeros(min(shard_rows, n - shard * shard_rows), layout(length))
+                place = np.frombuffer(slots, "<i8") - shard * shard_rows
+                made[place] = np.frombuffer(unpack(lot), layout(length))
+                last += len(place)
+        if made is None:
             return
-        order = np.argsort(np.concatenate(slot))
-        made = np.concatenate(lot)
-        for a in range(0, len(order), LINES):
+        if last != len(made):
+            raise ValueError("a shard does not have all its records")
+        for a in range(0, len(made), LINES):
             # The writer adds a line feed, which is the last record's end.
-            yield pa.RecordBatch.from_arrays([pa.array([made[order[a : a + LINES]].tobytes()[:-1]], pa.binary())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([made[a : a + LINES].tobytes()[:-1]], pa.binary())], names=["value"])
 
     packed = rows.select("doc_id", "piece", "ids", "number").mapInArrow(lots, "shard int, slots binary, lot binary")
     shards = packed.repartitionById(max(1, -(-n // shard_rows)), F.col("shard")).mapInArrow(in_order, "value binary")
     shards.select(F.col("value").cast("string").alias("value")).write.text(f"{folder}/shards")
+    remove(spark, f"{folder}/sequences")
     return f"{folder}/shards", n
 
 
+def names_from(shard: int) -> str:
+    """A pattern for the names of files from a shard's on. Their numbers have five digits, or as many as they need."""
+    digits, any_digit = f"{shard:05}", "[0-9]"
+    same = [digits[:i] + f"[{int(d) + 1}-9]" + any_digit * (len(digits) - i - 1) for i, d in enumerate(digits) if d != "9"]
+    longer = ["[1-9]" + any_digit * more for more in range(len(digits), 10)]
+    return f"part-{{{','.join([digits, *same, *longer])}}}-*"
+
+
 def read_shards(spark: SparkSession, folder: str, length: int = 128, shard_rows: int = 1 << 16, first: int = 0) -> DataFrame:
     """``slot``, ``shard``, ``place`` in the shard, ``doc_id``, ``piece``, ``length``, ``ids`` (binary, four bytes an id) of the records from slot
-    ``first`` on, as the files hold them; files before it are not opened."""
+    ``first`` on, as the files hold them. Files of earlier slots are left out by name."""
     step = stride(length)
     number = F.regexp_extract("path", r"part-(\d+)-", 1).cast("bigint")
-    files = spark.read.format("binaryFile").load(folder).select(number.alias("shard"), "path", "length", "content").where(F.col("shard") >= first // shard_rows)
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", names_from(first // shard_rows))
+    files = reader.load(folder).select(number.alias("shard"), "path", "length", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

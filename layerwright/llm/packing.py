@@ -30,8 +30,8 @@ from .words_bpe import TEXT_AT_ONCE, tokenizer
 BINS_A_TASK = 2048
 
 
-def token_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str = "doc_id", text: str = "text", crc: bool = True) -> DataFrame:
-    """A row for each piece: the id, ``piece``, ``start``, ``length``, ``ids`` (binary, four bytes an id), and with ``crc`` ``ids_crc32``."""
+def token_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str = "doc_id", text: str = "text", crc: bool = True, at_once: int = TEXT_AT_ONCE) -> DataFrame:
+    """A row for each piece: the id, ``piece``, ``start``, ``length``, ``ids`` (binary, four bytes an id), and with ``crc`` ``ids_crc32``. ``at_once`` bytes of text are in work at a time."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids binary" + ", ids_crc32 bigint" * crc
     names = [id_col, "piece", "start", "length", "ids", "ids_crc32"][: 5 + crc]
@@ -41,8 +41,8 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str
         encode = tokenizer(path).encode
         for whole in batches:
             texts = whole.column(1).to_pylist()
-            for some in grouped(texts, TEXT_AT_ONCE):
-                all_ids = encode(texts[some])
+            for some in grouped(texts, at_once):
+                all_ids = encode(texts[some], at_once)
                 stream = end.join([*all_ids, b""])  # the pieces of all documents, one after the other
                 bytes_of = np.fromiter(map(len, all_ids), "int64", len(all_ids)) + 4
                 pieces = -(-bytes_of // step)

@@ -18,8 +18,8 @@ import numpy as np
 
 from .hashing import grouped, words_of
 
-#: Parts, and words, whose ids a worker has at hand: those of the last this many met, and of as many before.
-KEPT = 150_000
+#: Bytes of parts, and of words, whose ids a worker has at hand: those met last that take so many, and as many before; bytes that an entry takes beside its own.
+KEPT, ENTRY = 16 << 20, 160
 #: Parts or words in one call; bytes of text whose parts are looked up together.
 AT_ONCE, TEXT_AT_ONCE = 4096, 4 << 20
 #: Characters that composition leaves alone and whose lower case is one character.
@@ -35,16 +35,21 @@ class Recent:
     def __init__(self):
         self.new: dict = {}
         self.old: dict = {}
+        self.size = 0
+
+    def add(self, key, value: bytes) -> None:
+        self.new[key] = value
+        self.size += len(key) + len(value) + ENTRY
 
     def missing(self, keys: Iterable) -> list:
         """Keys without a value; the values of all others are in ``new`` afterwards."""
-        if len(self.new) > KEPT:
-            self.old, self.new = self.new, {}
+        if self.size > KEPT:
+            self.old, self.new, self.size = self.new, {}, 0
         new, old, out = self.new, self.old, []
         for k in keys:
             if k not in new:
                 if k in old:
-                    new[k] = old[k]
+                    self.add(k, old[k])
                 else:
                     out.append(k)
         return out
@@ -73,7 +78,7 @@ class WordTokenizer:
                 raise ValueError("a word does not end in one token with the end mark")
             raw, start = ids.tobytes(), 0
             for word, end in zip(some, ends, strict=True):
-                self.words.new[word] = raw[4 * start : 4 * end]
+                self.words.add(word, raw[4 * start : 4 * end])
                 start = end
 
     def _learn(self, parts: list[bytes]) -> None:
@@ -88,12 +93,12 @@ class WordTokenizer:
             else:
                 other.append(p)
         self._learn_words(self.words.missing({w for words in plain.values() for w in words}))
-        known, learned = self.words.new, self.parts.new
+        known, learned = self.words.new, self.parts.add
         for raw, words in plain.items():
-            learned[raw] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+            learned(raw, known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]))
         for a in range(0, len(other), AT_ONCE):
             for p, ids in zip(other[a : a + AT_ONCE], self._library(other[a : a + AT_ONCE]), strict=True):
-                learned[p.encode()] = ids.tobytes()
+                learned(p.encode(), ids.tobytes())
 
     def _group(self, texts: list[bytes | None]) -> list[bytes]:
         words = words_of(texts)
@@ -111,9 +116,9 @@ class WordTokenizer:
         cuts = (4 * np.concatenate([[0], ends])[words.first]).tolist()
         return [laid[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+    def encode(self, texts: list[bytes | None], at_once: int = TEXT_AT_ONCE) -> list[bytes]:
         """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers, no ids added; null as empty."""
-        return [ids for some in grouped(texts, TEXT_AT_ONCE) for ids in self._group(texts[some])]
+        return [ids for some in grouped(texts, at_once) for ids in self._group(texts[some])]
 
 
 @functools.lru_cache(maxsize=2)

@@ -1,4 +1,6 @@
 import collections
+import fnmatch
+import os
 
 import llmdata
 import numpy as np
@@ -41,6 +43,44 @@ def test_round_trip(spark):
     assert sorted(r["slot"] for r in rest) == list(range(n - 150, n))
 
 
+def test_reading_goes_on_where_earlier_files_are_gone(spark):
+    folder, n = ordering.materialise(llmdata.frame(spark), PATH, length=32, shard_rows=40)
+    whole = {r["slot"]: tuple(r) for r in ordering.read_shards(spark, folder, length=32, shard_rows=40).collect()}
+    assert n > 12 * 40
+    for first in (41, 400, 477, n - 1):
+        for name in os.listdir(folder):
+            if name.startswith("part-") and int(name.split("-")[1]) < first // 40:
+                os.remove(f"{folder}/{name}")
+        rest = ordering.read_shards(spark, folder, length=32, shard_rows=40, first=first).collect()
+        assert {r["slot"]: tuple(r) for r in rest} == {s: r for s, r in whole.items() if s >= first}
+    assert not os.path.exists(os.path.join(os.path.dirname(folder), "sequences"))
+
+
+@pytest.mark.parametrize("shard", [0, 7, 99, 12345, 99999, 100000, 123456, 999999])
+def test_names_of_later_files(shard):
+    braces = ordering.names_from(shard).removeprefix("part-{").removesuffix("}-*").split(",")
+    for number in {0, 1, 6, 7, 8, 98, 99, 100, 999, 12344, 12345, 12346, 99998, 99999, 100000, 123455, 123456, 999998, 999999, 10**6, 10**9}:
+        assert any(fnmatch.fnmatchcase(f"{number:05}", p) for p in braces) == (number >= shard)
+
+
+def test_slots_of_given_sequences(spark):
+    """The network written out once more, number by number."""
+    n, key = 1000, 7
+    for number in (0, 1, 2, 500, 999):
+        x = number
+        while True:
+            left, right = divmod(x, 32)
+            for i in range(4):
+                k = (key * 1103515245 + (i + 1) * 1664525003) % 2147483647
+                f = (right * 1103515245 + k) % 2147483647
+                f = ((f ^ (f >> 15)) * 1664525003 + k) % 2147483647
+                left, right = right, left ^ ((f ^ (f >> 13)) & 31)
+            x = left * 32 + right
+            if x < n:
+                break
+        assert ordering.permuted(np.array([number]), n, key)[0] == x
+
+
 def test_files_have_one_stride(spark):
     folder, n = ordering.materialise(llmdata.frame(spark), PATH, length=32, shard_rows=100)
     sizes = sorted(r["length"] for r in spark.read.format("binaryFile").load(folder).select("length").collect())
