@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -94,3 +95,15 @@ def workers_ready(spark: SparkSession) -> None:
         environment.setdefault(name, value)
     if spark.conf.get(BATCH_ROWS, None) is None:
         spark.conf.set(BATCH_ROWS, ROWS)
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Millions of small values without reference cycles are made inside: the search for cycles would only cost time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()

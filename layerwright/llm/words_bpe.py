@@ -2,8 +2,8 @@
 
 The vocabulary's own pipeline (composition, lower case, splitting) never looks across white space, so a text's
 ids are the ids of the parts between spaces and U+0009 to U+000D. The distinct parts of some megabytes of text are looked up
-once, and their ids are laid out for all texts together. Parts that a worker has met keep their ids. A new part of plain letters, digits and signs is split as the vocabulary splits it, and only words
-not met before go through the ``tokenizers`` library, many in one call: each word's last token bears the
+once, and their ids are laid out for all texts together. A part of plain letters, digits and signs is split as the vocabulary splits it, and only words
+that a worker has not met lately go through the ``tokenizers`` library, many in one call: each word's last token bears the
 vocabulary's mark for a word's end. Any other part goes through the library as it is.
 """
 
@@ -17,14 +17,16 @@ from collections.abc import Iterable
 import numpy as np
 
 from .hashing import grouped, words_of
+from .shared import uncollected
 
-#: Bytes of parts, and of words, whose ids a worker has at hand: those met last that take so many, and as many before; bytes that an entry takes beside its own.
-KEPT, ENTRY = 16 << 20, 160
+#: Bytes of words whose ids a worker has at hand: those met last that take so many, and as many before; bytes that an entry takes beside its own.
+KEPT, ENTRY = 24 << 20, 160
 #: Parts or words in one call; bytes of text whose parts are looked up together.
 AT_ONCE, TEXT_AT_ONCE = 4096, 4 << 20
 #: Characters that composition leaves alone and whose lower case is one character.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: The vocabulary's words among them, in lower case.
+SIGNS = frozenset(b".,;:!?")
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 END = "</w>"
 
@@ -64,15 +66,15 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(END)]] = True
-        self.parts, self.words = Recent(), Recent()
+        self.words = Recent()
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         for a in range(0, len(words), AT_ONCE):
             some = words[a : a + AT_ONCE]
-            ids = self._library([" ".join(some)])[0]
+            ids = self._library([b" ".join(some).decode()])[0]
             ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(ends) != len(some):
                 raise ValueError("a word does not end in one token with the end mark")
@@ -81,32 +83,30 @@ class WordTokenizer:
                 self.words.add(word, raw[4 * start : 4 * end])
                 start = end
 
-    def _learn(self, parts: list[bytes]) -> None:
-        plain, other = {}, []
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of each part."""
+        words, other = [], []
         for raw in parts:
             if raw.isalpha():  # ASCII letters are one word
-                plain[raw] = (raw.lower().decode(),)
-                continue
-            p = raw.decode()
-            if PLAIN.fullmatch(p) and "<|" not in p:
-                plain[raw] = WORDS.findall(p.lower())
+                words.append((raw.lower(),))
+            elif raw[-1] in SIGNS and raw[:-1].isalpha():
+                words.append((raw[:-1].lower(), raw[-1:]))
+            elif PLAIN.fullmatch(p := raw.decode()) and "<|" not in p:
+                words.append([w.encode() for w in WORDS.findall(p.lower())])
             else:
                 other.append(p)
-        self._learn_words(self.words.missing({w for words in plain.values() for w in words}))
-        known, learned = self.words.new, self.parts.add
-        for raw, words in plain.items():
-            learned(raw, known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]))
-        for a in range(0, len(other), AT_ONCE):
-            for p, ids in zip(other[a : a + AT_ONCE], self._library(other[a : a + AT_ONCE]), strict=True):
-                learned(p.encode(), ids.tobytes())
+                words.append(None)
+        self._learn(self.words.missing({w for some in words if some for w in some}))
+        known = self.words.new
+        rest = iter([ids.tobytes() for a in range(0, len(other), AT_ONCE) for ids in self._library(other[a : a + AT_ONCE])])
+        return [next(rest) if some is None else known[some[0]] if len(some) == 1 else b"".join([known[w] for w in some]) for some in words]
 
     def _group(self, texts: list[bytes | None]) -> list[bytes]:
         words = words_of(texts)
         _, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
         raw = words.raw.tobytes()
         parts = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
-        self._learn(self.parts.missing(parts))
-        ids = list(map(self.parts.new.__getitem__, parts))
+        ids = self._ids(parts)
         flat = np.frombuffer(b"".join(ids), "<u4")
         size = np.fromiter(map(len, ids), "int64", len(ids)) // 4
         begin, n = np.cumsum(size) - size, size[back]
@@ -118,7 +118,8 @@ class WordTokenizer:
 
     def encode(self, texts: list[bytes | None], at_once: int = TEXT_AT_ONCE) -> list[bytes]:
         """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers, no ids added; null as empty."""
-        return [ids for some in grouped(texts, at_once) for ids in self._group(texts[some])]
+        with uncollected():
+            return [ids for some in grouped(texts, at_once) for ids in self._group(texts[some])]
 
 
 @functools.lru_cache(maxsize=2)
