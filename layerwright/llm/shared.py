@@ -99,7 +99,7 @@ def workers_ready(spark: SparkSession) -> None:
 
 @contextmanager
 def uncollected() -> Iterator[None]:
-    """Millions of small values without reference cycles are made inside: the search for cycles would only cost time."""
+    """Millions of small values are made inside: cycles among all others are looked for once, at the end, not every few hundred values."""
     was = gc.isenabled()
     gc.disable()
     try:
@@ -107,3 +107,4 @@ def uncollected() -> Iterator[None]:
     finally:
         if was:
             gc.enable()
+            gc.collect()
