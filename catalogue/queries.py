@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1017,7 +1019,7 @@ def _stored_bronze(entity: str) -> Query:
 def _stored(layer: str, name: str, time: str, **month: int) -> Query:
     def run(spark, sf_dir):
         root = f"{getattr(written_layers(spark, sf_dir), layer)}/{name}"
-        stored = sources.read_partition(spark, root, **month) if month else spark.read.parquet(root)
+        stored = sources.read_partition(spark, root, **month) if month else sources.read_table(spark, root)
         return stored.withColumn(time, F.unix_timestamp(time))
 
     return run
@@ -1069,3 +1071,53 @@ def stream_bronze_increment(spark, sf_dir):
             spark, f"{root}/landing", f"{root}/bronze", f"{root}/progress", ORDER, clock=lambda: STAMP
         ).awaitTermination()
     return sources.read_partition(spark, f"{root}/bronze", _ing_ano=2026, _ing_mes=7).select(*ORDER.raw_types)
+
+
+def _orders_later(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders a month on: some are gone, some have another price, some are new."""
+    orders, key = _orders(spark, sf_dir), F.col("o_orderkey")
+    price = F.when(key % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    stayed = orders.where(key % 7 != 0).withColumn("o_totalprice", price)
+    return stayed.unionAll(orders.where((key % 11 == 0) & (key > 0)).withColumn("o_orderkey", -key))
+
+
+@query(
+    "bronze_changes",
+    """SELECT o_orderkey, CASE WHEN o_orderkey < 0 THEN 'new' WHEN o_orderkey % 7 = 0 THEN 'gone' ELSE 'changed' END AS change
+      FROM (SELECT o_orderkey FROM orders UNION ALL SELECT -o_orderkey FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey > 0)
+      WHERE o_orderkey < 0 OR o_orderkey % 7 = 0 OR o_orderkey % 5 = 0""",
+)
+def bronze_changes(spark, sf_dir):
+    """Two months of orders land in bronze; their row hashes tell which keys are new, changed or gone."""
+    root = fresh_path(spark, "months")
+    target = f"{root}/bronze/orders"
+    months = []
+    for month, delivered in ((7, _orders(spark, sf_dir)), (8, _orders_later(spark, sf_dir))):
+        _land(delivered, f"{root}/landing-{month}/orders")
+        stamp = op.RunStamp(datetime(2026, month, 14, tzinfo=timezone.utc))
+        plans.run_bronze(spark, plans.Layout(f"{root}/landing-{month}", f"{root}/bronze", "", ""), stamp, {"orders": ORDER})
+        months.append(month)
+    before, after = (sources.read_partition(spark, target, _ing_ano=2026, _ing_mes=m) for m in months)
+    return op.changes(before, after, ("o_orderkey",))
+
+
+@query(
+    "stream_unique_over_batches",
+    f"""SELECT o_orderkey, o_custkey, 'stream-0' AS batch, (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0) AS n_again
+      FROM ({ORDERS_SQL}) WHERE o_orderkey % 2 = 0""",
+)
+def stream_unique_over_batches(spark, sf_dir):
+    """The second delivery brings some keys of the first again: its batch fails, and the table holds the first one only."""
+    root = fresh_path(spark, "again")
+    orders, key = _orders(spark, sf_dir), F.col("o_orderkey")
+    again = 0
+    for delivery in (key % 2 == 0, key % 3 == 0):
+        _land(orders.where(delivery), f"{root}/landing")
+        try:
+            ingest_new_files(
+                spark, f"{root}/landing", f"{root}/bronze", f"{root}/progress", ORDER, clock=lambda: STAMP
+            ).awaitTermination()
+        except StreamingQueryException as failure:
+            again = int(re.search(r"unique\(o_orderkey\) measured (\d+)", str(failure))[1])
+    bronze = sources.read_partition(spark, f"{root}/bronze", _ing_ano=2026, _ing_mes=7)
+    return bronze.select("o_orderkey", "o_custkey", F.col("_batch").alias("batch"), F.lit(again).cast("bigint").alias("n_again"))

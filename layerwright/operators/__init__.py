@@ -1,5 +1,6 @@
 """Operators: functions from DataFrames to DataFrames that know nothing of a domain."""
 
+from layerwright.operators.changes import changes
 from layerwright.operators.conform import conform, select_by_prefix
 from layerwright.operators.dedup import dedup_by_key, find_repeats, first_per_key
 from layerwright.operators.groups import group_means, share_of_total, with_group_mean, with_target_gap
@@ -8,6 +9,7 @@ from layerwright.operators.lookup import lookup_all, lookup_join, measure
 from layerwright.operators.quality import QualityError, evaluate, gate, quality_report
 
 __all__ = [
+    "changes",
     "QualityError",
     "RunStamp",
     "add_lineage",

@@ -28,6 +28,7 @@ from layerwright.plans import facts as fact_plans
 from layerwright.plans import marts as mart_plans
 from layerwright.sources.landing import RAGGED, ragged_per_file, read_text, typed
 from layerwright.sources.layers import read_partition, write_partitioned
+from layerwright.sources.versions import publish, run_folder
 from layerwright.sources.workspace import Staged, stage, staging
 from layerwright.spec import Entity, Rule
 
@@ -279,13 +280,15 @@ def run_silver(
     pack: dict[str, Entity] | None = None,
     dedup: str = "drop",
 ) -> list[TableRun]:
-    """Build the facts from this month's bronze partitions: check all of them, then write.
+    """Build the facts from this month's bronze partitions: check all of them, write all, then let them count at once.
+
+    Readers (``read_partition``) see the facts of the run before until the last one is written.
 
     ``unmatched`` counts students without a known municipality, and the indicator rows that a target
     fact loses; the message gives the reasons. They are counted in the pass that checks the rules.
     """
     pack = pack or entities()
-    with staging(spark):
+    with staging(spark), run_folder(spark, layout.silver) as folder:
         tables, runs = without_duplicates(read_conformed(spark, layout, stamp, pack), pack, dedup)
         area, state = Observation(), Observation()
         builders = {
@@ -298,24 +301,25 @@ def run_silver(
         _check("silver", facts, FACT_RULES, runs)
         losses = {"fct_meta_municipio": dict(area.get), "fct_meta_uf": dict(state.get)}
 
-        def publish(name: str) -> TableRun:
+        def write(name: str) -> TableRun:
             stamped = facts[name].withColumns(
                 {SILVER_TIME: stamp.timestamp(), **stamp.partition(*SILVER_PARTITION)}
             )
             unplaced = {"unmatched": count_where(F.col("nome_municipio") == NOT_FOUND)}
             found = write_partitioned(
                 stamped,
-                f"{layout.silver}/{name}",
+                f"{folder}/{name}",
                 SILVER_PARTITION,
-                keep_others=True,
+                keep_others=False,
                 metrics=None if name in losses else unplaced,
             )
             lost = losses.get(name, {})
             unmatched = sum(lost.values()) if name in losses else found["unmatched"]
             return TableRun("silver", name, "written", found["rows"], unmatched=unmatched, message=_told(lost))
 
-        written, failed = _attempt("silver", publish, facts)
+        written, failed = _attempt("silver", write, facts)
         _stop_on(failed, "silver", facts, [*runs, *written.values()])
+        publish(spark, folder, **_month(stamp, SILVER_PARTITION))
     return [*runs, *written.values()]
 
 
@@ -339,9 +343,12 @@ ROW_LEVEL_MARTS = ("ml_aluno",)
 def run_gold(
     spark: SparkSession, layout: Layout, stamp: RunStamp, missing_target: str = "zero"
 ) -> list[TableRun]:
-    """Rebuild the marts from this month's facts: check all of them, then replace each table."""
+    """Rebuild the marts from this month's facts: check all of them, write all, then let them replace the marts before at once.
+
+    Readers (``read_table``) see the old marts until the last one is written.
+    """
     month = _month(stamp, SILVER_PARTITION)
-    with staging(spark):
+    with staging(spark), run_folder(spark, layout.gold) as folder:
         read = lambda n: read_partition(spark, f"{layout.silver}/{n}", **month)
         facts, failed = _attempt("silver", read, FACT_RULES)
         _stop_on(failed, "silver", FACT_RULES)
@@ -355,18 +362,19 @@ def run_gold(
         _stop_on(failed, "gold", plans)
         _check("gold", marts, MART_RULES)
 
-        def publish(name: str) -> TableRun:
+        def write(name: str) -> TableRun:
             table = marts[name]
             df = table.df if isinstance(table, Staged) else table
             found = write_partitioned(
                 df.withColumn(GOLD_TIME, stamp.timestamp()),
-                f"{layout.gold}/{name}",
+                f"{folder}/{name}",
                 ("ano",),
                 keep_others=False,
                 gather=name not in ROW_LEVEL_MARTS,
             )
             return TableRun("gold", name, "written", found["rows"])
 
-        written, failed = _attempt("gold", publish, marts)
+        written, failed = _attempt("gold", write, marts)
         _stop_on(failed, "gold", marts, list(written.values()))
+        publish(spark, folder)
     return list(written.values())

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from layerwright.sources.versions import pending
+
 
 class MissingPartition(Exception):
     """A table has no rows for the partition asked for."""
@@ -15,10 +17,11 @@ class MissingPartition(Exception):
 def read_partition(spark: SparkSession, root: str, **values: int) -> DataFrame:
     """One partition of a layer table, by pruning; the partition columns stay in the result.
 
-    A partition that is not there is an error: an empty table would read as a month without data.
+    A partition that is not there is an error: an empty table would read as a month without data. A month that was published
+    counts from then on, wherever its rows still are (see ``versions``).
     """
     wanted = [F.col(c) == v for c, v in values.items()]
-    found = spark.read.parquet(root).where(reduce(Column.__and__, wanted))
+    found = spark.read.parquet(pending(spark, root, **values) or root).where(reduce(Column.__and__, wanted))
     if found.select(*values).isEmpty():
         which = ", ".join(f"{c}={v}" for c, v in values.items())
         raise MissingPartition(f"{root} has no rows for {which}")

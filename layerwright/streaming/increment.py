@@ -14,6 +14,7 @@ from layerwright.sources.landing import CSV_OPTIONS, RAGGED, WHOLE_LINES, landin
 from layerwright.sources.layers import MissingPartition, write_partitioned
 from layerwright.sources.workspace import file_system, stage, staging
 from layerwright.spec import Entity, Rule
+from layerwright.streaming import seen
 
 COMPACTED = "compacted"
 
@@ -30,17 +31,23 @@ def _forget(spark: SparkSession, root: str, batch: str) -> None:
         files.delete(found.getPath(), True)
 
 
-def land_increment(entity: Entity, target: str, clock: Callable[[], RunStamp], null_safe_hash: bool = True, unparsed: str = "fail", ragged: str = "fail"):
+def land_increment(entity: Entity, target: str, clock: Callable[[], RunStamp], null_safe_hash: bool = True, unparsed: str = "fail", ragged: str = "fail", unique_over: str = "table"):
     """The work on one micro-batch of text rows: lineage, types, rules, then the write.
 
     A failed rule raises before the write, so the batch is not committed and comes again. Each
     batch owns a partition below the month, and a batch that comes again replaces it, so it adds no
-    duplicates. Unique rules hold within a batch.
+    duplicates. Unique rules hold over all batches of the stream (see ``seen``), or with ``unique_over="batch"`` within each.
     """
+    if unique_over not in ("table", "batch"):
+        raise ValueError(f"unique_over must be 'table' or 'batch', not {unique_over!r}")
+    unique = [r for r in entity.rules if r.kind == "unique"] if unique_over == "table" else []
+    columns = [r.column for r in unique]
 
     def land(batch: DataFrame, batch_id: int) -> None:
         spark, name = batch.sparkSession, batch_name(batch_id)
-        lined = add_lineage(batch, entity.name, clock(), null_safe_hash)
+        stamp = clock()
+        month = (int(stamp.year), int(stamp.month))
+        lined = add_lineage(batch, entity.name, stamp, null_safe_hash)
         bronze = typed(lined, entity.raw_types, unparsed=True).withColumn(BATCH, F.lit(name))
         strict = entity.parse_rules(batch.columns) if unparsed == "fail" else ()
         width = (Rule("width"),) if ragged == "fail" and RAGGED in batch.columns else ()
@@ -49,7 +56,9 @@ def land_increment(entity: Entity, target: str, clock: Callable[[], RunStamp], n
             staged = stage(bronze, f"{entity.name}-increment", counters(bronze, rules))
             gate(evaluate({entity.name: (staged, rules)}))
             _forget(spark, target, name)
+            gate({entity.name: seen.outcomes(staged, target, unique, name)})
             write_partitioned(staged.df, target, (*BRONZE_PARTITION, BATCH), keep_others=True)
+            seen.remember(staged, target, columns, name, month)
 
     return land
 
@@ -66,6 +75,7 @@ def ingest_new_files(
     unparsed: str = "fail",
     ragged: str = "fail",
     multiline: bool = False,
+    unique_over: str = "table",
 ) -> StreamingQuery:
     """Take in the files of a landing folder that ``progress`` does not know yet, and stop.
 
@@ -79,7 +89,7 @@ def ingest_new_files(
     text = reader.schema(ragged_schema(landing_schema(spark, landing, multiline))).csv(landing)
     raw = set_ragged_apart(text).select("*", F.col("_metadata.file_path").alias(SOURCE_FILE))
     return (
-        raw.writeStream.foreachBatch(land_increment(entity, target, clock, null_safe_hash, unparsed, ragged))
+        raw.writeStream.foreachBatch(land_increment(entity, target, clock, null_safe_hash, unparsed, ragged, unique_over))
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()

@@ -14,6 +14,7 @@ from layerwright.sources import (
     ragged_per_file,
     read_landing,
     read_partition,
+    read_table,
     read_text,
     shared_folder,
     stage,
@@ -423,3 +424,81 @@ def test_shared_folder_is_never_local_on_a_cluster():
     alone = Session("local[2]")
     assert shared_folder(alone) == shared_folder(alone)
     assert alone.folder is None  # the caller's settings stay as they are
+
+
+def snapshot(spark, layout):
+    """What readers of silver and gold see: rows of every fact and mart but for their times."""
+    month = {"_proc_ano": 2026, "_proc_mes": 7}
+    seen = {n: read_partition(spark, f"{layout.silver}/{n}", **month) for n in os.listdir(layout.silver) if not n.startswith("_")}
+    seen |= {n: read_table(spark, f"{layout.gold}/{n}") for n in os.listdir(layout.gold) if not n.startswith("_")}
+    return {n: rows(df.drop("_silver_processed_at", "_gold_processed_at")) for n, df in seen.items()}
+
+
+CHANGED_STUDENTS = [*FILES["avaliacao_aluno"][:2], "2024,1,10,109,1,2,3,1,1,1,800,1.25"]
+
+
+@pytest.mark.parametrize("layer", ["silver", "gold"])
+def test_a_run_that_stops_after_a_table_leaves_the_old_ones_whole(spark, july_copy, tmp_path, monkeypatch, layer):
+    from layerwright.plans import runs
+
+    layout = july_copy
+    old = snapshot(spark, layout)
+    assert len(old) == 8
+    land(str(tmp_path), avaliacao_aluno=CHANGED_STUDENTS)
+    plans.run_bronze(spark, layout, JULY)
+    if layer == "gold":
+        plans.run_silver(spark, layout, JULY)
+        old |= {n: r for n, r in snapshot(spark, layout).items() if n.startswith("fct")}
+    real, done = runs.write_partitioned, []
+
+    def stops(df, path, *args, **options):
+        if done:
+            raise OSError("the disk is gone")
+        done.append(path)
+        return real(df, path, *args, **options)
+
+    monkeypatch.setattr(runs, "side_by_side", lambda work, names: {n: work(n) for n in names})
+    monkeypatch.setattr(runs, "write_partitioned", stops)
+    with pytest.raises(plans.RunFailed, match="the disk is gone"):
+        {"silver": plans.run_silver, "gold": plans.run_gold}[layer](spark, layout, JULY)
+    assert snapshot(spark, layout) == old
+    monkeypatch.undo()
+    plans.run_silver(spark, layout, JULY)
+    plans.run_gold(spark, layout, JULY)
+    new = snapshot(spark, layout)
+    assert new["fct_avaliacao_aluno"] != old["fct_avaliacao_aluno"] or layer == "gold"
+    assert new["ml_aluno"] != old["ml_aluno"]
+    # What broke off is gone.
+    for folder in (layout.silver, layout.gold):
+        assert not [n for d in ("_runs", "_published") if os.path.isdir(f"{folder}/{d}") for n in os.listdir(f"{folder}/{d}") if not n.startswith(".")]
+
+
+@pytest.mark.parametrize("moved", [0, 1, 2])
+def test_tables_published_but_not_yet_moved_count(spark, july_copy, tmp_path, monkeypatch, moved):
+    """The moving of a silver run's tables breaks off; readers see the new month, and the next run ends the moving."""
+    from layerwright.sources import versions
+
+    layout = july_copy
+    old = snapshot(spark, layout)
+    land(str(tmp_path), avaliacao_aluno=CHANGED_STUDENTS, mapeamento_municipio=["id_municipio,nome_municipio,sigla_uf", "1,City,sp"])
+    plans.run_bronze(spark, layout, JULY)
+    real, done = versions._move, []
+
+    def stops(*args):
+        if len(done) == moved:
+            raise OSError("the disk is gone")
+        done.append(args)
+        real(*args)
+
+    monkeypatch.setattr(versions, "_move", stops)
+    with pytest.raises(OSError):
+        plans.run_silver(spark, layout, JULY)
+    monkeypatch.undo()
+    seen = snapshot(spark, layout)
+    assert seen["fct_avaliacao_aluno"] != old["fct_avaliacao_aluno"] and {r[0] for r in seen["fct_meta_municipio"]} == {"City"}
+    versions.finish(spark, layout.silver)
+    assert snapshot(spark, layout) == seen
+    for name in (n for n in seen if n.startswith("fct")):
+        assert rows(spark.read.parquet(f"{layout.silver}/{name}").drop("_silver_processed_at")) == seen[name]
+    plans.run_silver(spark, layout, JULY)
+    assert snapshot(spark, layout) == seen

@@ -7,6 +7,7 @@ from conftest import rows
 from layerwright import plans
 from layerwright.operators import RunStamp
 from layerwright.sources import read_landing, read_partition, read_text, shared_folder
+from layerwright.sources import stage as stage_table
 from layerwright.spec import Entity, Field, ruleset
 from layerwright.streaming import compact_month, ingest_new_files, land_increment
 
@@ -20,6 +21,10 @@ JULY = RunStamp(datetime(2026, 7, 1, tzinfo=timezone.utc))
 AUGUST = RunStamp(datetime(2026, 8, 1, tzinfo=timezone.utc))
 
 
+def sources_stage(df):
+    return stage_table(df.selectExpr("CAST(id AS INT) AS id", "name"), "raw")
+
+
 class Folders:
     def __init__(self, root):
         self.landing, self.target, self.progress = (f"{root}/{d}" for d in ("landing", "bronze", "progress"))
@@ -93,6 +98,52 @@ def test_text_that_does_not_fit_is_kept_on_request(spark, folders):
     assert folders.stored(spark).first()["_unparsed"] == {"id": "x"}
 
 
+KEYED = Entity("things", ("id",), THING.fields, ruleset(required=("name",), unique=("id",)))
+
+
+def test_a_key_that_comes_again_fails_its_batch(spark, folders, monkeypatch):
+    take_in = lambda stamp, **options: ingest_new_files(
+        spark, folders.landing, folders.target, folders.progress, KEYED, lambda: stamp, **options
+    ).awaitTermination()
+    folders.land("a", "1,x", "2,y", ",none")
+    take_in(JULY)
+    folders.land("b", "3,z", "4,w", ",none")
+    take_in(AUGUST)
+    folders.land("c", "5,v", "2,again", "4,again", ",none")
+    with pytest.raises(Exception, match=r"unique\(id\) measured 2"):
+        take_in(AUGUST)
+    assert rows(folders.stored(spark).where("id IS NOT NULL").select("id")) == [(1,), (2,), (3,), (4,)]
+    assert compact_month(spark, folders.target, AUGUST) == 1
+    monkeypatch.setattr("layerwright.streaming.seen.broadcast_limit", lambda s: 0)
+    with pytest.raises(Exception, match=r"unique\(id\) measured 2"):
+        take_in(AUGUST)
+    with pytest.raises(ValueError):
+        land_increment(KEYED, folders.target, lambda: JULY, unique_over="month")
+    take_in(AUGUST, unique_over="batch")
+    assert folders.stored(spark).count() == 10
+
+
+def test_keys_are_read_only_where_a_hash_was_seen(spark, folders, monkeypatch):
+    """A batch that comes again does not meet itself, and without a hit the table is not read."""
+    import layerwright.streaming.seen as seen
+
+    folders.land("a", "1,x", "2,y")
+    raw = read_text(spark, folders.landing)
+    land = land_increment(KEYED, folders.target, lambda: JULY)
+    land(raw, 0)
+    monkeypatch.setattr(seen, "BRONZE_PARTITION", seen.BRONZE_PARTITION)
+    land(raw, 0)
+    assert folders.stored(spark).count() == 2
+    with pytest.raises(Exception, match="measured 2"):
+        land(raw, 1)
+    # Another text under an equal hash is no key that came before.
+    monkeypatch.setattr(seen.F, "xxhash64", lambda *c: seen.F.lit(7).cast("bigint"))
+    other = spark.createDataFrame([("3", "z", "file")], "id string, name string, _source_file string")
+    seen.remember(sources_stage(raw), folders.target, ["id"], "stream-0", (2026, 7))
+    land(other, 2)
+    assert rows(folders.stored(spark).select("id")) == [(1,), (2,), (3,)]
+
+
 def test_ragged_lines_fail_a_batch_or_stay_as_lines(spark, folders):
     folders.land("a", "1,x", "2", "3,y,z", "4,w")
     with pytest.raises(Exception, match="width"):
