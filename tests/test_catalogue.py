@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 """Every registered query against its SQL on the smallest tables, and what the plans must look like."""
 
 import pytest
@@ -63,3 +67,15 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert schools.count("Exchange") == 1 and schools.count("HashAggregate") == 2
     rules = plan(quality_report(fact, FACT_RULES["fct_avaliacao_aluno"]))
     assert rules.count("FileScan") == 1 and "peso_aluno" not in rules
+
+
+def test_entry_stands_without_what_the_training_data_operators_need(tmp_path):
+    """With a library missing that only they import, all other queries are still registered."""
+    (tmp_path / "public_tokenizers.py").write_text("raise ImportError('not installed')\n")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    told = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') for n in e.queries()))"
+    paths = os.pathsep.join([str(tmp_path), root])
+    out = subprocess.run([sys.executable, "-c", told], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": paths}, cwd=tmp_path)
+    from catalogue import queries
+
+    assert out.stdout.split() == [str(len(queries.QUERIES)), str(len(queries.ORACLES)), "False"]
