@@ -7,6 +7,7 @@ result. ``n_chars`` follows the text where a stage changes it.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -22,20 +23,26 @@ WINDOW = 35
 SEQUENCE = 4096
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Tables that stages have written on their way to a result. They go when a later stage begins, which reads that result
-#: from where it was written; a stage that still reads them keeps them. The last stage's stay.
-_ON_THE_WAY: list[str] = []
+#: Tables that stages have written on their way to a result, by thread and folder of the tables, and by stage. The stages that a thread calls on a
+#: folder are one pipeline: what a stage has written goes when a later one begins, which reads that stage's result from where it was written.
+#: A stage called again, another folder and another thread leave them alone.
+_ON_THE_WAY: dict[tuple[int, str], dict[int, list[str]]] = {}
 
 
-def stage(noted: list[str]) -> Callable[[Stage], Stage]:
-    """A stage whose tables on the way are noted in ``noted``."""
+def _on_the_way(sf_dir: str, number: int) -> list[str]:
+    return _ON_THE_WAY.setdefault((threading.get_ident(), sf_dir), {}).setdefault(number, [])
+
+
+def stage(number: int) -> Callable[[Stage], Stage]:
+    """The pipeline's stage of that number, whose tables on the way are noted."""
 
     def decorate(run: Stage) -> Stage:
         @wraps(run)
         def ready(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             workers_ready(spark)
-            remove_unused(spark, _ON_THE_WAY, docs)
-            with noting(noted):
+            for earlier in range(number):
+                remove_unused(spark, _on_the_way(sf_dir, earlier), docs)
+            with noting(_on_the_way(sf_dir, number)):
                 return run(spark, docs, sf_dir)
 
         return ready
@@ -53,20 +60,20 @@ def with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
     return docs.withColumns(new).select(*columns)
 
 
-@stage(_ON_THE_WAY)
+@stage(0)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the perplexity bands keep."""
     into = free_name(docs, "quality")
     return perplexity.assess(docs, into=into).where(F.col(into)["kept"]).select(*docs.columns)
 
 
-@stage(_ON_THE_WAY)
+@stage(1)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return jaccard.distinct_documents(docs)
 
 
-@stage(_ON_THE_WAY)
+@stage(2)
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words that repeated passages cover; texts that lose none stay as they are, line breaks included."""
     removed, kept = free_name(docs, "n_removed"), free_name(docs, "kept")
@@ -74,7 +81,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return with_text(parsed, docs.columns, F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text")))
 
 
-@stage(_ON_THE_WAY)
+@stage(3)
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by the name of its kind."""
     original = free_name(docs, "original")
@@ -86,7 +93,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return marked.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
-@stage([])
+@stage(4)
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequences and offsets."""
     return packing.pack_documents(docs, catalogue.WORD_VOCABULARY, size=SEQUENCE)
@@ -105,8 +112,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each stage's result is written to the shared folder and read back for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES[:-1]:
-        docs = written(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    """All stages on ``documents``; each stage's result is written to the shared folder and read back for the next.
+
+    Tables that what follows does not read are removed as soon as it is written; those that the result reads stay.
+    """
+    docs, results = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for number, (name, step) in enumerate(STAGES[:-1]):
+        result = step(spark, docs, sf_dir)
+        with noting(results):
+            docs = written(result, name.replace(" ", "-"))
+        remove_unused(spark, _on_the_way(sf_dir, number), docs)
+        remove_unused(spark, results, docs)
     return STAGES[-1][1](spark, docs, sf_dir)

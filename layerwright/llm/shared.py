@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,21 +12,9 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
-
+from layerwright.sources.workspace import remove, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a cluster without that setting is refused.
-
-    A local session without the setting gets a folder of its own.
-    """
-    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), f"checkpoints-{spark.sparkContext.applicationId}")
-    return folder.rstrip("/")
+_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -59,8 +46,7 @@ def remove_unused(spark: SparkSession, paths: list[str], df: DataFrame) -> None:
     """Deletes the tables at ``paths`` that ``df`` does not read, through the paths' file system."""
     used = df.inputFiles()
     for path in [p for p in paths if not any(os.path.basename(p) in f for f in used)]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        remove(spark, path)
         paths.remove(path)
 
 

@@ -1,4 +1,6 @@
 import collections
+import os
+from concurrent.futures import ThreadPoolExecutor
 
 import brute
 import llmdata
@@ -6,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from layerwright.llm import catalogue
+from layerwright.sources import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -67,4 +70,27 @@ def test_run_gives_the_last_stage(spark, stages):
 
 def test_every_operator_has_one_query():
     numbers = [int(n.removeprefix("op").split("_")[0]) for n in catalogue.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
+
+
+def test_results_and_threads_keep_their_tables(spark, tmp_path):
+    """A stage that runs again leaves the tables of its first result; pipelines of two threads do not meet."""
+    one, two = (llmdata.frame(spark, llmdata.documents(seed)) for seed in (1, 2))
+    first = corpus_pipeline.near_duplicates(spark, one, "folder")
+    second = corpus_pipeline.near_duplicates(spark, two, "folder")
+    n = first.count()
+    assert second.count() and first.count() == n
+    for seed in (1, 2):
+        llmdata.frame(spark, llmdata.documents(seed)).drop("batch", "raw", "spans").write.parquet(f"{tmp_path}/{seed}/documents.parquet")
+    counts = [corpus_pipeline.run(spark, f"{tmp_path}/{seed}").count() for seed in (1, 2)]
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(lambda seed: corpus_pipeline.run(spark, f"{tmp_path}/{seed}").count(), (1, 2))) == counts
+
+
+def test_what_the_result_does_not_read_is_removed(spark, tmp_path):
+    llmdata.frame(spark).drop("batch", "raw", "spans").write.parquet(f"{tmp_path}/documents.parquet")
+    root = shared_folder(spark)
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - before}
+    assert left <= {"personal-data", "pieces"} and result.count()
