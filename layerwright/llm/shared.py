@@ -85,9 +85,11 @@ def workers_ready(spark: SparkSession) -> None:
 
 @contextmanager
 def uncollected() -> Iterator[None]:
-    """Millions of small values are made inside: cycles among all others are looked for once, at the end, not every few hundred values."""
+    """Millions of small values are made inside: cycles are looked for once, at the end, and not among what the worker had before the first time."""
     was = gc.isenabled()
     gc.disable()
+    if not gc.get_freeze_count():
+        gc.freeze()
     try:
         yield
     finally:
