@@ -37,7 +37,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     # As long as the country has it, so what follows after a space does not count; codes outside the register have any length.
-    "iban": r"(?<![A-Za-z0-9])(?:"
+    # The first lookahead says what all countries share, so that their list is gone through only there.
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:"
     + "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n}}}+" for n, names in IBAN_REST.items())
     + rf"|(?!(?:{'|'.join(IBAN_REST.values()).replace(' ', '|')}))[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",

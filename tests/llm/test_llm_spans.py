@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import random
+import time
 
 import brute
 import llmdata
@@ -100,6 +101,38 @@ def test_redaction(spark):
     assert [r["text"] for r in found.orderBy("spans").collect()] == ["é [EMAIL], ip [IP]!", "+[CARD] x", None, "", "none"]
 
 
+def test_redaction_like_cutting_the_text(spark):
+    rng = random.Random(4)
+    made = []
+    for i in range(300):
+        text = "".join(rng.choice("aé日𝒳 \n$\\") for _ in range(rng.choice([0, 30, 1023, 1024, 1025, 5000])))
+        cuts = [sorted(rng.sample(range(len(text) + 1), 2)) for _ in range(rng.randint(0, 9)) if len(text) > 1]
+        made.append((i, text, [("abc"[j % 3], a, b) for j, (a, b) in enumerate(cuts)]))
+    docs = spark.createDataFrame(made, "id int, text string, spans array<struct<kind: string, start: bigint, end: bigint>>")
+    out = dict(docs.select("id", spans.replaced(F.col("text"), F.col("spans"), lambda kind: F.concat(F.lit("<"), kind, F.lit(">")))).collect())
+    for i, text, found in made:
+        at, want = 0, ""
+        for kind, start, end in sorted(found, key=lambda s: (s[1], -s[2], s[0])):
+            if start >= at:
+                want += f"{text[at:start]}<{kind}>"
+            at = max(at, end)
+        assert out[i] == want + text[at:]
+
+
+@pytest.mark.parametrize("query", ["op5", "op8", "redact"])
+def test_a_hundred_thousand_matches_in_one_text(spark, tmp_path, query):
+    n, bit = 100_000, "é a@b.de " if query != "op5" else "é token=abcdef1 "
+    text = bit * n
+    began = time.monotonic()
+    if query == "redact":
+        assert pii.redact(spark.createDataFrame([(text,)], "text string")).first()["text"] == "é [EMAIL] " * n
+    else:
+        kind, a, b = ("email", 2, 8) if query == "op8" else ("assign", 2, 15)
+        found = spans_in(spark, tmp_path, catalogue.op8_pii if query == "op8" else catalogue.op5_secrets, text)
+        assert found == ",".join(f"{kind}:{i * len(bit) + a}:{i * len(bit) + b}" for i in range(n))
+    assert time.monotonic() - began < 60  # some seconds alone; what grows with the square takes far longer
+
+
 WEAK = "aB3dE6gH9jK2mN5pQ8sT"
 ADDRESS = "https://db.example.com:5432/x"
 
