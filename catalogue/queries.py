@@ -38,7 +38,7 @@ from layerwright.literacy import (
 )
 from layerwright.sources.workspace import fresh_path
 from layerwright.spec import Entity, Field, Rule, ruleset
-from layerwright.streaming import compact_month, ingest_new_files
+from layerwright.streaming import compact_month, ingest_new_files, read_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1121,3 +1121,24 @@ def stream_unique_over_batches(spark, sf_dir):
             again = int(re.search(r"unique\(o_orderkey\) measured (\d+)", str(failure))[1])
     bronze = sources.read_partition(spark, f"{root}/bronze", _ing_ano=2026, _ing_mes=7)
     return bronze.select("o_orderkey", "o_custkey", F.col("_batch").alias("batch"), F.lit(again).cast("bigint").alias("n_again"))
+
+
+@query(
+    "stream_file_ledger",
+    f"""SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'stream-0' ELSE 'stream-1' END AS batch,
+        (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0) AS refused_rows FROM ({ORDERS_SQL})""",
+)
+def stream_file_ledger(spark, sf_dir):
+    """The second delivery brings the first one's files under other names, beside new ones: they are taken once and reported."""
+    root = fresh_path(spark, "twice")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders, even = _orders(spark, sf_dir).repartition(files, "o_orderkey"), F.col("o_orderkey") % 2 == 0
+    for deliveries in ([even], [even, ~even]):
+        for delivery in deliveries:
+            _land(orders.where(delivery), f"{root}/landing")
+        ingest_new_files(
+            spark, f"{root}/landing", f"{root}/bronze", f"{root}/progress", ORDER, clock=lambda: STAMP
+        ).awaitTermination()
+    bronze = sources.read_partition(spark, f"{root}/bronze", _ing_ano=2026, _ing_mes=7)
+    refused = read_ledger(spark, f"{root}/bronze").where(F.col("same_as").isNotNull()).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("refused_rows"))
+    return bronze.select("o_orderkey", "o_custkey", F.col("_batch").alias("batch")).join(F.broadcast(refused))

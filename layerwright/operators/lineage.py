@@ -48,19 +48,22 @@ SILVER_TIME = "_silver_processed_at"
 GOLD_TIME = "_gold_processed_at"
 
 
+def row_digest(columns: list[str], null_safe: bool = True) -> Column:
+    """The hash of a raw row's values; that of a ragged line is of the line."""
+    raw = [c for c in columns if c not in (SOURCE_FILE, RAGGED)]
+    digest = record_hash(raw, null_safe)
+    return F.when(F.col(RAGGED).isNull(), digest).otherwise(record_hash([RAGGED], null_safe)) if RAGGED in columns else digest
+
+
 def add_lineage(
     df: DataFrame, entity: str, stamp: RunStamp, null_safe_hash: bool = True
 ) -> DataFrame:
     """Add when, from which file and for which entity a raw row came in, and the hash of its values.
 
     ``df`` must come from files, with nothing but projections and filters in between, or hold the
-    file in ``_source_file`` already. The hash of a ragged line is that of the line.
+    file in ``_source_file`` already.
     """
     kept = [c for c in df.columns if c != SOURCE_FILE]
-    raw = [c for c in kept if c != RAGGED]
-    digest = record_hash(raw, null_safe_hash)
-    if RAGGED in kept:
-        digest = F.when(F.col(RAGGED).isNull(), digest).otherwise(record_hash([RAGGED], null_safe_hash))
     file = F.col(SOURCE_FILE if SOURCE_FILE in df.columns else "_metadata.file_path")
     return df.select(
         *kept,
@@ -68,6 +71,6 @@ def add_lineage(
         F.lit(f"{stamp.utc:%Y-%m-%d}").alias("_ingestion_date"),
         file.alias(SOURCE_FILE),
         F.lit(entity).alias("_source_entity"),
-        digest.alias("_record_hash"),
+        row_digest(df.columns, null_safe_hash).alias("_record_hash"),
         *(c.alias(k) for k, c in stamp.partition(*BRONZE_PARTITION).items()),
     )

@@ -9,7 +9,7 @@ from layerwright.operators import RunStamp
 from layerwright.sources import read_landing, read_partition, read_text, shared_folder
 from layerwright.sources import stage as stage_table
 from layerwright.spec import Entity, Field, ruleset
-from layerwright.streaming import compact_month, ingest_new_files, land_increment
+from layerwright.streaming import compact_month, ingest_new_files, land_increment, read_ledger
 
 THING = Entity(
     "things",
@@ -205,3 +205,61 @@ def test_compaction_that_broke_off_is_finished(spark, folders, monkeypatch):
     monkeypatch.setattr(increment, "file_system", real)
     compact_month(spark, folders.target, JULY)
     assert rows(folders.stored(spark).select("id", "_batch")) == [(1, "compacted"), (2, "compacted")]
+
+
+def judged(spark, folders):
+    base = lambda path: path and path.rsplit("/", 1)[1].removesuffix(".csv")
+    return sorted((base(r["file"]), r["rows"], base(r["same_as"]), r["_batch"]) for r in read_ledger(spark, folders.target).collect())
+
+
+def test_a_file_under_another_name_is_refused(spark, folders):
+    assert read_ledger(spark, folders.target).count() == 0
+    folders.land("a", "1,x", "2,")
+    folders.land("b", "2,", "1,x")
+    folders.land("c", "1,x", "2,", "2,")
+    folders.take_in(spark)
+    first = [("a", 2, None, "stream-0"), ("b", 2, "a", "stream-0"), ("c", 3, None, "stream-0")]
+    assert judged(spark, folders) == first
+    assert rows(folders.stored(spark).select("id")) == [(1,), (1,), (2,), (2,), (2,)]
+    folders.land("d", "2,", "1,x")
+    folders.take_in(spark)  # nothing is left of this batch
+    folders.land("e", "1,x", "2,", "2,")
+    folders.land("f", "1,y", "2,")
+    folders.take_in(spark, AUGUST)
+    later = [("d", 2, "a", "stream-1"), ("e", 3, "c", "stream-2"), ("f", 2, None, "stream-2")]
+    assert judged(spark, folders) == first + later
+    assert rows(folders.stored(spark).groupBy("_batch").count()) == [("stream-0", 5), ("stream-2", 2)]
+    assert "_row_digest" not in folders.stored(spark).columns
+    folders.land("g", "1,y", "2,")
+    folders.take_in(spark, AUGUST, copies="take")
+    assert folders.stored(spark).count() == 9
+    with pytest.raises(ValueError):
+        folders.take_in(spark, copies="drop")
+
+
+def test_refused_files_do_not_fail_unique_rules_and_nulls_tell_files_apart(spark, folders, no_broadcast):
+    options = {"clock": lambda: JULY, "null_safe_hash": False}
+    take_in = lambda entity: ingest_new_files(spark, folders.landing, folders.target, folders.progress, entity, **options).awaitTermination()
+    folders.land("a", "1,x", "2,y")
+    take_in(KEYED)
+    folders.land("b", "2,y", "1,x")
+    folders.land("c", "3,z")
+    take_in(KEYED)
+    assert rows(folders.stored(spark).select("id", "_batch")) == [(1, "stream-0"), (2, "stream-0"), (3, "stream-1")]
+    folders.land("d", "9,")
+    folders.land("e", ",9")  # the same text once NULLs are skipped
+    take_in(Entity(THING.name, THING.key, THING.fields))
+    assert rows(folders.stored(spark).where("_batch = 'stream-2'").select("id", "name")) == [(9, None), (None, "9")]
+
+
+def test_a_batch_that_failed_leaves_no_files_and_may_come_again(spark, folders):
+    folders.land("a", "bad,y")
+    with pytest.raises(Exception, match="not_null"):
+        folders.take_in(spark)
+    assert read_ledger(spark, folders.target).count() == 0
+    folders.land("a", "1,y")
+    folders.take_in(spark)
+    raw = read_text(spark, folders.landing)
+    land_increment(THING, folders.target, lambda: AUGUST)(raw, 0)
+    assert judged(spark, folders) == [("a", 1, None, "stream-0")]
+    assert rows(folders.stored(spark).select("id", "_ing_mes")) == [(1, 8)]
