@@ -36,6 +36,7 @@ from layerwright.literacy import (
     TARGET_YEARS,
     TARGETS,
 )
+from layerwright.operators.lineage import GOLD_TIME, SILVER_PARTITION
 from layerwright.sources.workspace import fresh_path
 from layerwright.spec import Entity, Field, Rule, ruleset
 from layerwright.streaming import compact_month, ingest_new_files, read_ledger
@@ -1142,3 +1143,24 @@ def stream_file_ledger(spark, sf_dir):
     bronze = sources.read_partition(spark, f"{root}/bronze", _ing_ano=2026, _ing_mes=7)
     refused = read_ledger(spark, f"{root}/bronze").where(F.col("same_as").isNotNull()).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("refused_rows"))
     return bronze.select("o_orderkey", "o_custkey", F.col("_batch").alias("batch")).join(F.broadcast(refused))
+
+
+def _added_months(mart: str) -> Query:
+    def run(spark, sf_dir):
+        """Two months bring half of the students each; each is added to what is kept of the one before, whose fact is gone by then."""
+        root = fresh_path(spark, "added")
+        layout = plans.Layout("", "", f"{root}/silver", f"{root}/gold")
+        fact = sources.stage(fact_student(spark, sf_dir), "student-fact").df
+        half = F.pmod(F.xxhash64("id_aluno"), F.lit(2))
+        for i, month in enumerate((7, 8)):
+            stamp = op.RunStamp(datetime(2026, month, 14, tzinfo=timezone.utc))
+            placed = fact.where(half == i).withColumns(stamp.partition(*SILVER_PARTITION))
+            sources.write_partitioned(placed, f"{layout.silver}/fct_avaliacao_aluno", SILVER_PARTITION, keep_others=False)
+            plans.add_month(spark, layout, stamp)
+        return sources.read_table(spark, f"{layout.gold}/{mart}").drop(GOLD_TIME)
+
+    return run
+
+
+for _name in ("distribuicao_niveis", "estatisticas_escolares"):
+    query(f"added_months_{_name}", over_entities(f"SELECT * FROM {TABLE_SOURCES['gold'][_name]}"))(_added_months(_name))

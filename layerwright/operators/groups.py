@@ -33,7 +33,11 @@ def share_of_total(
     The first shuffle moves one row per key and part and task; the second one only the counts. A
     key's window holds its parts, so ``part`` should have few values, such as bands.
     """
-    counts = df.groupBy(*keys, part).agg(F.count(counted).alias(count))
+    return shares(df.groupBy(*keys, part).agg(F.count(counted).alias(count)), keys, count, share)
+
+
+def shares(counts: DataFrame, keys: tuple[str, ...], count: str, share: str) -> DataFrame:
+    """Each count's percentage of its key's sum; a key's window holds its rows."""
     total = F.sum(count).over(W.partitionBy(*keys))
     return (
         counts.withColumn("_total", total)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layerwright.functions import (
@@ -17,7 +17,8 @@ from layerwright.functions import (
     value_for_year,
 )
 from layerwright.literacy import NETWORK_FEATURE, TARGETS
-from layerwright.operators.groups import group_means, share_of_total, with_group_mean, with_target_gap
+from layerwright.operators.groups import group_means, share_of_total, shares, with_group_mean, with_target_gap
+from layerwright.operators.partials import deviation_of, mean_of, merged, moments
 
 
 def _with_current_target(fact: DataFrame, missing_target: str) -> DataFrame:
@@ -68,35 +69,60 @@ def assessed(fact: DataFrame) -> DataFrame:
     return fact.where(F.col("compareceu") & F.col("preencheu_caderno"))
 
 
+LEVEL_KEYS = ("ano", "sigla_uf", "nome_municipio", "rede")
+LEVEL = "nivel_alfabetizacao"
+
+
 def level_distribution(fact: DataFrame) -> DataFrame:
     """How the assessed students of a year, place and network spread over the levels."""
     return share_of_total(
         assessed(fact),
-        keys=("ano", "sigla_uf", "nome_municipio", "rede"),
-        part="nivel_alfabetizacao",
+        keys=LEVEL_KEYS,
+        part=LEVEL,
         counted="id_aluno",
         count="quantidade_alunos",
         share="percentual_alunos",
     )
 
 
+def level_sums(fact: DataFrame) -> DataFrame:
+    """What ``levels_of`` needs of some students, in rows that add up."""
+    return assessed(fact).groupBy(*LEVEL_KEYS, LEVEL).agg(F.count("id_aluno").alias("quantidade_alunos"))
+
+
+def levels_of(sums: DataFrame) -> DataFrame:
+    """``level_distribution`` of all students that are in the sums."""
+    counts = merged(sums, (*LEVEL_KEYS, LEVEL), ("quantidade_alunos",))
+    return shares(counts, LEVEL_KEYS, "quantidade_alunos", "percentual_alunos")
+
+
+SCHOOL_KEYS = ("ano", "sigla_uf", "nome_municipio", "id_escola", "rede")
+
+
+def _school_counts() -> dict[str, Column]:
+    came = F.col("compareceu")
+    return {
+        "total_alunos": F.count("id_aluno"),
+        "total_alunos_presentes": count_where(came),
+        "_absent": count_where(~came),
+        "_literate": count_where(came & F.col("alfabetizado")),
+    }
+
+
 def school_statistics(fact: DataFrame) -> DataFrame:
     """Attendance, scores and literacy rate per school, in one aggregation that combines map-side."""
     came, score = F.col("compareceu"), F.col("proficiencia")
-    sums = fact.groupBy("ano", "sigla_uf", "nome_municipio", "id_escola", "rede").agg(
-        F.count("id_aluno").alias("total_alunos"),
-        count_where(came).alias("total_alunos_presentes"),
-        count_where(~came).alias("_absent"),
-        count_where(came & F.col("alfabetizado")).alias("_literate"),
+    sums = fact.groupBy(*SCHOOL_KEYS).agg(
+        *(c.alias(name) for name, c in _school_counts().items()),
         half_up(mean_where(came, score)).alias("media_proficiencia"),
         half_up(stddev_where(came, score)).alias("desvio_padrao_proficiencia"),
     )
+    return _school_columns(sums)
+
+
+def _school_columns(sums: DataFrame) -> DataFrame:
     return sums.select(
-        "ano",
-        "sigla_uf",
-        "nome_municipio",
-        "id_escola",
-        "rede",
+        *SCHOOL_KEYS,
         "total_alunos",
         "total_alunos_presentes",
         percent(F.col("_absent"), F.col("total_alunos")).alias("percentual_faltantes"),
@@ -108,6 +134,19 @@ def school_statistics(fact: DataFrame) -> DataFrame:
     )
 
 
+def school_sums(fact: DataFrame) -> DataFrame:
+    """What ``schools_of`` needs of some students, in rows that add up."""
+    scores = moments(F.when(F.col("compareceu"), F.col("proficiencia")))
+    return fact.groupBy(*SCHOOL_KEYS).agg(*(c.alias(name) for name, c in _school_counts().items()), scores.alias("_scores"))
+
+
+def schools_of(sums: DataFrame) -> DataFrame:
+    """``school_statistics`` of all students that are in the sums."""
+    total = merged(sums, SCHOOL_KEYS, tuple(_school_counts()), ("_scores",))
+    told = {"media_proficiencia": mean_of("_scores"), "desvio_padrao_proficiencia": deviation_of("_scores")}
+    return _school_columns(total.withColumns(told))
+
+
 def student_features(fact: DataFrame) -> DataFrame:
     """Features and labels of the assessed students.
 
