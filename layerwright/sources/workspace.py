@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -16,22 +17,49 @@ from pyspark.sql.types import BinaryType, StringType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _CURRENT: ContextVar[str | None] = ContextVar("current", default=None)
+#: Folders of a cluster's own file system that turned out to be shared; they hold the application's id.
+_SHARED: set[str] = set()
+_TRYING = Lock()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor reaches: ``spark.checkpoint.dir``.
 
-    On a cluster it must be named, and not be a folder of one machine. A local session that names
-    none gets one of its own, the same for all its threads; the session's settings stay as they are.
+    On a cluster it must be named. A path of the machines' own file system may be mounted on all of them, or they may be one machine;
+    so it is tried, once for an application, and refused if the driver and the executors do not see each other's files there. A local session
+    that names none gets one of its own, the same for all its threads; the session's settings stay as they are.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     app = spark.sparkContext.applicationId
-    if not spark.sparkContext.master.startswith("local"):
-        if not folder:
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        if folder.startswith("file:") or (folder.startswith("/") and _default_is_local(spark)):
-            raise RuntimeError(f"{CHECKPOINT_DIR} is {folder}, which each machine has for itself")
-    return f"{(folder or os.path.join(tempfile.gettempdir(), 'layerwright')).rstrip('/')}/layerwright/{app}"
+    cluster = not spark.sparkContext.master.startswith("local")
+    if cluster and not folder:
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+    path = f"{(folder or os.path.join(tempfile.gettempdir(), 'layerwright')).rstrip('/')}/layerwright/{app}"
+    if cluster and (folder.startswith("file:") or (folder.startswith("/") and _default_is_local(spark))):
+        with _TRYING:
+            if path not in _SHARED:
+                _try_out(spark, folder, path)
+                _SHARED.add(path)
+    return path
+
+
+def _try_out(spark: SparkSession, folder: str, path: str) -> None:
+    """Raise unless the driver and the executors see what each of them wrote below ``path``.
+
+    Two short tasks for each core write a row each. What an executor writes for itself alone is not there when the driver gathers the
+    tasks' files, and the rows are read by as many tasks again. Executors that come later are not tried.
+    """
+    refusal = f"{CHECKPOINT_DIR} is {folder}, which each machine has for itself"
+    trial = f"{path}/trial-{uuid.uuid4().hex}"
+    try:
+        n = 2 * spark.sparkContext.defaultParallelism
+        spark.range(0, n, 1, n).write.parquet(trial)
+        seen = spark.read.schema("id bigint").parquet(trial).agg(F.count("id"), F.sum("id")).first()
+        remove(spark, trial)
+    except Exception as failure:
+        raise RuntimeError(f"{refusal}, or which cannot be written") from failure
+    if tuple(seen) != (n, n * (n - 1) // 2):
+        raise RuntimeError(f"{refusal}: of {n} rows written there, {seen[0]} are seen")
 
 
 def _default_is_local(spark: SparkSession) -> bool:

@@ -426,6 +426,37 @@ def test_shared_folder_is_never_local_on_a_cluster():
     assert alone.folder is None  # the caller's settings stay as they are
 
 
+class Cluster(Session):
+    """A real session that says it runs on a cluster."""
+
+    def __init__(self, spark, folder):
+        super().__init__("spark://host:7077", folder)
+        self.spark = spark
+
+    def __getattr__(self, name):
+        return getattr(self.spark, name) if hasattr(self.spark, name) else getattr(self.spark.sparkContext, name)
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_a_path_of_the_machines_that_all_executors_see_is_shared(spark, tmp_path, scheme):
+    folder = f"{scheme}{tmp_path}"
+    cluster = Cluster(spark, folder)
+    assert shared_folder(cluster) == shared_folder(cluster) == f"{folder}/layerwright/app-1"
+    assert list(tmp_path.glob("layerwright/app-1/*")) == []  # the trial leaves nothing
+
+
+def test_a_path_where_executors_write_for_themselves_is_refused(spark, tmp_path):
+    class Apart(Cluster):
+        def range(self, *bounds):
+            return self.spark.range(*bounds).where("id % 3 <> 1")  # what the other machines wrote is not there
+
+    apart = Apart(spark, f"file://{tmp_path}")
+    for _ in range(2):
+        with pytest.raises(RuntimeError, match=r"each machine has for itself: of 8 rows written there, 5 are seen"):
+            shared_folder(apart)
+    assert list(tmp_path.glob("layerwright/app-1/*")) == []
+
+
 def snapshot(spark, layout):
     """What readers of silver and gold see: rows of every fact and mart but for their times."""
     month = {"_proc_ano": 2026, "_proc_mes": 7}
