@@ -82,16 +82,11 @@ class Words:
         return between(running(self.hashes, _WINDOW_BASE), starts, ends, _WINDOW_BASE)
 
 
-def lowered(raw: np.ndarray) -> np.ndarray:
-    """The bytes with A-Z folded."""
-    return _LOWER[raw]
-
-
 def words_of(texts: list[bytes | None], lower: bool = False) -> Words:
     """``lower`` folds A-Z."""
     raw = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", "uint8")
     if lower:
-        raw = lowered(raw)
+        raw = _LOWER[raw]
     blank = _BLANK[raw]
     edge = np.flatnonzero(np.diff(blank.astype("int8"), prepend=1))
     starts, ends = edge[0::2], edge[1::2]

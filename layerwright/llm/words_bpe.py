@@ -3,52 +3,32 @@
 The vocabulary's own pipeline (composition, lower case, splitting) never looks across white space, so a text's
 ids are the ids of the parts between spaces and U+0009 to U+000D. The distinct parts of some megabytes of text are looked up
 once, and their ids are laid out for all texts together. A part of plain letters, digits and signs is split as the vocabulary splits it, and only words
-that a worker has not met lately go to the ``tokenizers`` library, to the vocabulary's merges at once: each word's last token bears the
+that a worker has not met lately go through the ``tokenizers`` library, many in one call: each word's last token bears the
 vocabulary's mark for a word's end. Any other part goes through the library as it is.
 """
 
 from __future__ import annotations
 
 import functools
-import operator
 import os
 import re
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 
-from .hashing import Words, grouped, lowered, words_of
+from .hashing import grouped, words_of
 from .shared import uncollected
 
 #: Bytes of words whose ids a worker has at hand: those met last that take so many, and as many before; bytes that an entry takes beside its own.
 KEPT, ENTRY = 24 << 20, 160
-#: Parts in one call; bytes of text whose parts are looked up together.
+#: Parts or words in one call; bytes of text whose parts are looked up together.
 AT_ONCE, TEXT_AT_ONCE = 4096, 4 << 20
 #: Characters that composition leaves alone and whose lower case is one character.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: The vocabulary's words among them, in lower case.
+SIGNS = frozenset(b".,;:!?")
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 END = "</w>"
-#: The vocabulary's letters for bytes: printable ones stand for themselves, the others follow from U+0100 on.
-_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
-BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-#: Bytes that are letters, signs that may stand behind a word, and, after the byte C3, letters of PLAIN and their lower case.
-_LETTER, _SIGN, _ACCENTED = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
-_SIGN[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "<"]] = True
-_ACCENTED[[c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]] = True
-_ACCENTED_LOWER = np.arange(256, dtype="uint8")
-_ACCENTED_LOWER[0x80:0x9F] += 32
-
-
-def folded(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes with the letters of PLAIN in lower case, and which bytes are of such letters. The last byte must not be C3."""
-    low, letter = lowered(raw), _LETTER[raw]
-    first = np.flatnonzero(raw == 0xC3)
-    first = first[_ACCENTED[raw[first + 1]]]
-    low[first + 1] = _ACCENTED_LOWER[raw[first + 1]]
-    letter[first] = letter[first + 1] = True
-    return low, letter
 
 
 class Recent:
@@ -59,18 +39,22 @@ class Recent:
         self.old: dict = {}
         self.size = 0
 
-    def add(self, keys: list, values: list[bytes]) -> None:
-        self.new.update(zip(keys, values, strict=True))
-        self.size += sum(map(len, keys)) + sum(map(len, values)) + ENTRY * len(keys)
+    def add(self, key, value: bytes) -> None:
+        self.new[key] = value
+        self.size += len(key) + len(value) + ENTRY
 
-    def missing(self, keys: set) -> list:
+    def missing(self, keys: Iterable) -> list:
         """Keys without a value; the values of all others are in ``new`` afterwards."""
         if self.size > KEPT:
             self.old, self.new, self.size = self.new, {}, 0
-        out = keys.difference(self.new)
-        again = [k for k in out if k in self.old]
-        self.add(again, [self.old[k] for k in again])
-        return list(out.difference(again))
+        new, old, out = self.new, self.old, []
+        for k in keys:
+            if k not in new:
+                if k in old:
+                    self.add(k, old[k])
+                else:
+                    out.append(k)
+        return out
 
 
 class WordTokenizer:
@@ -88,60 +72,44 @@ class WordTokenizer:
         return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
-        """Each word goes to the vocabulary's merges alone: composition, lower case and splitting leave it as it is."""
-        model, flat, cuts = self.tokenizer.model, [], [0]
-        for word in words:
-            text = word.decode("latin-1")
-            flat += [t.id for t in model.tokenize(text if word.isascii() else text.translate(BYTES))]
-            cuts.append(len(flat))
-        ids = np.asarray(flat, "<u4")
-        if not np.array_equal(np.flatnonzero(self.ends[ids]) + 1, cuts[1:]):
-            raise ValueError("a word does not end in one token with the end mark")
-        raw = ids.tobytes()
-        self.words.add(words, [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)])
-
-    def _ids(self, words: Words, at: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """Ids of the parts ``at`` these places, one after the other in some order, and where each part's begin and how many they are.
-
-        Most parts are letters of PLAIN with or without signs behind them: a word, and a word of signs. Both are cut out of the lower-case text for
-        all parts together.
-        """
-        raw, starts, ends = words.raw, words.starts[at], words.ends[at]
-        low, letter = folded(raw)
-        letters = np.zeros(len(raw) + 1, "int64")
-        np.cumsum(letter, out=letters[1:])
-        middle = np.maximum.accumulate(np.where(_SIGN[raw], 0, np.arange(1, len(raw) + 1)))[ends - 1]  # where the signs behind a part begin
-        usual = (middle > starts) & (letters[middle] - letters[starts] == middle - starts)
-        text = low.tobytes()
-        a, b, c = (x[usual].tolist() for x in (starts, middle, ends))
-        cut = [text[i:j] for i, j in zip(a, b, strict=True)]
-        behind = [text[i:j] for i, j in zip(b, c, strict=True)]
-        split, other = [], []
-        text = raw.tobytes()
-        for i, j in zip(starts[~usual].tolist(), ends[~usual].tolist(), strict=True):
-            if PLAIN.fullmatch(p := text[i:j].decode()) and "<|" not in p:
-                split.append([w.encode() for w in WORDS.findall(p.lower())])
+        for a in range(0, len(words), AT_ONCE):
+            some = words[a : a + AT_ONCE]
+            ids = self._library([b" ".join(some).decode()])[0]
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(some):
+                raise ValueError("a word does not end in one token with the end mark")
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(some, ends, strict=True):
+                self.words.add(word, raw[4 * start : 4 * end])
+                start = end
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of each part."""
+        words, other = [], []
+        for raw in parts:
+            if raw.isalpha():  # ASCII letters are one word
+                words.append((raw.lower(),))
+            elif raw[-1] in SIGNS and raw[:-1].isalpha():
+                words.append((raw[:-1].lower(), raw[-1:]))
+            elif PLAIN.fullmatch(p := raw.decode()) and "<|" not in p:
+                words.append([w.encode() for w in WORDS.findall(p.lower())])
             else:
                 other.append(p)
-                split.append(None)
-        self._learn(self.words.missing({*cut, *behind, *(w for some in split if some for w in some)} - {b""}))
+                words.append(None)
+        self._learn(self.words.missing({w for some in words if some for w in some}))
         known = self.words.new
-        known[b""] = b""
-        ids = list(map(operator.add, map(known.__getitem__, cut), map(known.__getitem__, behind)))
         rest = iter([ids.tobytes() for a in range(0, len(other), AT_ONCE) for ids in self._library(other[a : a + AT_ONCE])])
-        ids += [next(rest) if some is None else b"".join([known[w] for w in some]) for some in split]
-        order = np.argsort(~usual, kind="stable")
-        n, begin, size = np.fromiter(map(len, ids), "int64", len(ids)) // 4, np.empty(len(ids), "int64"), np.empty(len(ids), "int64")
-        begin[order], size[order] = np.cumsum(n) - n, n
-        return b"".join(ids), begin, size
+        return [next(rest) if some is None else known[some[0]] if len(some) == 1 else b"".join([known[w] for w in some]) for some in words]
 
     def _group(self, texts: list[bytes | None]) -> list[bytes]:
         words = words_of(texts)
-        back, _ = pd.factorize(words.hashes)
-        first = np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=-1))
-        raw, begin, size = self._ids(words, first)
-        flat = np.frombuffer(raw, "<u4")
-        n = size[back]
+        _, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
+        raw = words.raw.tobytes()
+        parts = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
+        ids = self._ids(parts)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), "int64", len(ids)) // 4
+        begin, n = np.cumsum(size) - size, size[back]
         ends = np.cumsum(n)
         at = np.repeat(begin[back] - (ends - n), n) + np.arange(n.sum())
         laid = flat[at].tobytes()
