@@ -82,18 +82,33 @@ class Words:
         return between(running(self.hashes, _WINDOW_BASE), starts, ends, _WINDOW_BASE)
 
 
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z folded."""
+    return _LOWER[raw]
+
+
+def joined(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts with a line feed behind each, and where each text begins, and the end."""
+    raw = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", "uint8")
+    begin = np.zeros(len(texts) + 1, "int64")
+    np.cumsum([len(t or b"") + 1 for t in texts], out=begin[1:])
+    return raw, begin
+
+
+def hashes_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges."""
+    return between(running(_BYTE[raw], _WORD_BASE), starts, ends, _WORD_BASE)
+
+
 def words_of(texts: list[bytes | None], lower: bool = False) -> Words:
     """``lower`` folds A-Z."""
-    raw = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", "uint8")
+    raw, begin = joined(texts)
     if lower:
-        raw = _LOWER[raw]
+        raw = lowered(raw)
     blank = _BLANK[raw]
     edge = np.flatnonzero(np.diff(blank.astype("int8"), prepend=1))
     starts, ends = edge[0::2], edge[1::2]
-    begin = np.zeros(len(texts) + 1, "int64")
-    np.cumsum([len(t or b"") + 1 for t in texts], out=begin[1:])
-    hashes = between(running(_BYTE[raw], _WORD_BASE), starts, ends, _WORD_BASE)
-    return Words(raw, starts, ends, np.searchsorted(starts, begin), hashes)
+    return Words(raw, starts, ends, np.searchsorted(starts, begin), hashes_of(raw, starts, ends))
 
 
 def grouped(texts: list[bytes | None], at_once: int = AT_ONCE) -> Iterator[slice]:

@@ -34,7 +34,9 @@ from .shared import free_name, shared_folder
 ROUNDS = 4
 HEAD = 14
 #: Records that go to the writer as one value; bytes of records that a task gathers before it sends them.
-LINES, GATHERED = 2048, 6 << 20
+LINES, GATHERED = 2048, 16 << 20
+#: How the table of sequences is stored: it lies on disk beside the shuffled lots and the shards.
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6", "parquet.page.size": str(4 << 20), "parquet.enable.dictionary": "false"}
 #: Bytes of text in work at a time.
 TEXT_AT_ONCE = 2 << 20
 #: Multipliers of the round function and their modulus.
@@ -75,7 +77,7 @@ def numbered(sequences: DataFrame, path: str, name: str = "number") -> tuple[Dat
     spark = sequences.sparkSession
     place = free_name(sequences, "_place")
     placed = sequences.withColumn(place, F.monotonically_increasing_id())
-    placed.write.option("compression", "zstd").parquet(path)
+    placed.write.options(**STORED).parquet(path)
     rows = spark.read.schema(placed.schema).parquet(path)
     part, at = F.shiftright(place, 33), F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
     totals = rows.groupBy(part.alias("of")).agg(F.count(place).alias("n")).toPandas().sort_values("of")
@@ -94,14 +96,14 @@ def layout(length: int) -> np.dtype:
 
 
 def records(batch: pa.RecordBatch, length: int) -> np.ndarray:
-    """The records of sequences given as document id, piece and ids."""
+    """The records of sequences given as document id, piece and ids of two bytes."""
     ids = batch.column(2)
     _, ends, data = ids.buffers()
     ends = np.frombuffer(ends, "<i4")[ids.offset : ids.offset + len(ids) + 1]
-    size = np.diff(ends) // 4
-    flat = np.frombuffer(data, "uint8")[ends[0] : ends[-1]].view("<u4") if len(ids) else np.zeros(0, "<u4")
-    if size.max(initial=0) > length or flat.max(initial=0) > 0xFFFF:
-        raise ValueError("a sequence is too long or an id needs more than 16 bits")
+    size = np.diff(ends) // 2
+    flat = np.frombuffer(data, "uint8")[ends[0] : ends[-1]].view("<u2") if len(ids) else np.zeros(0, "<u2")
+    if size.max(initial=0) > length:
+        raise ValueError("a sequence is too long")
     out = np.zeros(len(ids), layout(length))
     out["doc"], out["piece"], out["n"], out["end"] = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), size, 10
     out["ids"][np.arange(length) < size[:, None]] = flat
@@ -129,7 +131,7 @@ def materialise(docs: DataFrame, path: str, length: int = 128, key: int = 202601
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/order-{uuid.uuid4().hex}"
-    pieces = token_pieces(docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("doc_id"), F.col(text).alias("text")), path, length, end_id, crc=False, at_once=TEXT_AT_ONCE)
+    pieces = token_pieces(docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("doc_id"), F.col(text).alias("text")), path, length, end_id, crc=False, at_once=TEXT_AT_ONCE, short=True)
     rows, n = numbered(pieces.select("doc_id", "piece", "ids"), f"{folder}/sequences")
 
     def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +147,10 @@ def materialise(docs: DataFrame, path: str, length: int = 128, key: int = 202601
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(shard[cuts[:-1]], pa.int32()),
-                    pa.array([slot[p].astype("<i8").tobytes() for p in parts], pa.binary()),
+                    pa.array([(slot[p] % shard_rows).astype("<u4").tobytes() for p in parts], pa.binary()),
                     pa.array([pack(made[p].tobytes()) for p in parts], pa.binary()),
                 ],
-                names=["shard", "slots", "lot"],
+                names=["shard", "places", "lot"],
             )
 
     def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +158,10 @@ def materialise(docs: DataFrame, path: str, length: int = 128, key: int = 202601
 
         unpack, made, last = zstandard.ZstdDecompressor().decompress, None, 0
         for batch in batches:
-            for shard, slots, lot in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for shard, places, lot in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if made is None:
                     made = np.zeros(min(shard_rows, n - shard * shard_rows), layout(length))
-                place = np.frombuffer(slots, "<i8") - shard * shard_rows
+                place = np.frombuffer(places, "<u4")
                 made[place] = np.frombuffer(unpack(lot), layout(length))
                 last += len(place)
         if made is None:
@@ -170,7 +172,7 @@ def materialise(docs: DataFrame, path: str, length: int = 128, key: int = 202601
             # The writer adds a line feed, which is the last record's end.
             yield pa.RecordBatch.from_arrays([pa.array([made[a : a + LINES].tobytes()[:-1]], pa.binary())], names=["value"])
 
-    packed = rows.select("doc_id", "piece", "ids", "number").mapInArrow(lots, "shard int, slots binary, lot binary")
+    packed = rows.select("doc_id", "piece", "ids", "number").mapInArrow(lots, "shard int, places binary, lot binary")
     shards = packed.repartitionById(max(1, -(-n // shard_rows)), F.col("shard")).mapInArrow(in_order, "value binary")
     shards.select(F.col("value").cast("string").alias("value")).write.text(f"{folder}/shards")
     remove(spark, f"{folder}/sequences")

@@ -30,8 +30,11 @@ from .words_bpe import TEXT_AT_ONCE, tokenizer
 BINS_A_TASK = 2048
 
 
-def token_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str = "doc_id", text: str = "text", crc: bool = True, at_once: int = TEXT_AT_ONCE) -> DataFrame:
-    """A row for each piece: the id, ``piece``, ``start``, ``length``, ``ids`` (binary, four bytes an id), and with ``crc`` ``ids_crc32``. ``at_once`` bytes of text are in work at a time."""
+def token_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str = "doc_id", text: str = "text", crc: bool = True, at_once: int = TEXT_AT_ONCE, short: bool = False) -> DataFrame:
+    """A row for each piece: the id, ``piece``, ``start``, ``length``, ``ids`` (binary, four bytes an id), and with ``crc`` ``ids_crc32`` of them. ``at_once`` bytes of text are in work at a time.
+
+    With ``short`` an id takes two bytes in ``ids``, and ids beyond 16 bits are an error.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids binary" + ", ids_crc32 bigint" * crc
     names = [id_col, "piece", "start", "length", "ids", "ids_crc32"][: 5 + crc]
@@ -50,12 +53,18 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 length = np.minimum(step, bytes_of[row] - piece * step)
                 cuts = np.concatenate([[0], np.cumsum(length)])
+                held, held_cuts = stream, cuts
+                if short:
+                    wide = np.frombuffer(stream, "<u4")
+                    if wide.max(initial=0) > 0xFFFF:
+                        raise ValueError("an id needs more than 16 bits")
+                    held, held_cuts = wide.astype("<u2").tobytes(), cuts // 2
                 columns = [
                     whole.column(0).slice(some.start, some.stop - some.start).take(pa.array(row)),
                     pa.array(piece, pa.int32()),
                     pa.array(piece * size, pa.int64()),
                     pa.array(length // 4, pa.int64()),
-                    pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts.astype("int32")), pa.py_buffer(stream)]),
+                    pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(held_cuts.astype("int32")), pa.py_buffer(held)]),
                 ]
                 if crc:
                     columns.append(pa.array([zlib.crc32(stream[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)], pa.int64()))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -81,18 +80,3 @@ def workers_ready(spark: SparkSession) -> None:
         environment.setdefault(name, value)
     if spark.conf.get(BATCH_ROWS, None) is None:
         spark.conf.set(BATCH_ROWS, ROWS)
-
-
-@contextmanager
-def uncollected() -> Iterator[None]:
-    """Millions of small values are made inside: cycles are looked for once, at the end, and not among what the worker had before the first time."""
-    was = gc.isenabled()
-    gc.disable()
-    if not gc.get_freeze_count():
-        gc.freeze()
-    try:
-        yield
-    finally:
-        if was:
-            gc.enable()
-            gc.collect()

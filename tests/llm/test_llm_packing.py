@@ -29,6 +29,39 @@ def test_small_tables_of_known_words(monkeypatch):
         assert np.frombuffer(tokens.encode([r[1] and r[1].encode()])[0], "<u4").tolist() == library.encode(r[1] or "", add_special_tokens=False).ids
 
 
+PLAIN_BITS = ["'", "''", "'s", "'S", "'t", "'re", "'VE", "'ll", "'d", "'m", "'r", "'é", ".", "--", "|", "<", "7", "42", "a", "THE", "ing", "tion", "É", "à", "ÿ", "ß", "×", "÷", "x" * 31, "lorem" * 8, "=" * 33]
+
+
+class Refusing:
+    def __getattr__(self, name):
+        raise AssertionError(f"{name} of the library is asked")
+
+
+def test_plain_words_are_merged_without_the_library():
+    rng, tokens, library = random.Random(8), words_bpe.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    letters = "etaoinshrdlucmfwygpbvkxqjzETAOINàéüßÿÖ"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 14))) + rng.choice(["", ".", "'s", "'re", "?!", "7"]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    tokens.tokenizer = Refusing()
+    for text, ids in zip(texts, tokens.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_and_signs_like_the_library():
+    rng, library = random.Random(9), Tokenizer.from_file(PATH)
+    texts = ["".join(rng.choice([*PLAIN_BITS, " ", rng.choice(BITS)]) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    texts += [rng.choice("abéÉ-'") * n for n in range(1, 70) for _ in range(4)] + ["a'", "'", ""]
+    for text, ids in zip(texts, words_bpe.WordTokenizer(PATH).encode([t.encode() for t in texts], at_once=200), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_short_ids(spark):
+    docs = llmdata.frame(spark)
+    wide, short = ({(r["doc_id"], r["piece"], r["start"], r["length"], bytes(r["ids"])) for r in packing.token_pieces(docs, PATH, 32, 1, crc=False, short=s).collect()} for s in (False, True))
+    assert {(*r[:4], np.frombuffer(r[4], "<u4").astype("<u2").tobytes()) for r in wide} == short
+    with pytest.raises(Exception, match="more than 16 bits"):
+        packing.token_pieces(docs, PATH, 32, 70_000, crc=False, short=True).collect()
+
+
 def check_places(rows, size):
     by = collections.defaultdict(list)
     for r in rows:
