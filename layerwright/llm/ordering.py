@@ -8,7 +8,8 @@ writes as a file of records of one length. A reader finds slot ``s`` in file ``s
 
 A record is: document id (8 bytes), piece (4), number of ids (2), ids (2 each, zeros to the end), a line feed; integers are little-endian.
 Shards are written in the shared folder and by Spark's writer, so a lost task leaves no half file. Records travel in
-compressed lots, one for each shard that a batch has records for; a task holds one array of its shard's size and one lot. Only the id and the text of
+compressed lots, one for each shard that a batch has records for, against the ids of some sequences that all tasks know (this bears on the
+lots' size alone); a task holds one array of its shard's size and one lot. Only the id and the text of
 a document are read. The table of sequences goes when the shards are written.
 
 Defined cases: null document ids are written as -1 and null texts have the end id only; rows that repeat are sequences of their own; an
@@ -18,7 +19,7 @@ empty table makes one empty shard and no rows. Ids beyond 16 bits are an error.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ ROUNDS = 4
 HEAD = 14
 #: Records that go to the writer as one value; bytes of records that a task gathers before it sends them.
 LINES, GATHERED = 2048, 16 << 20
+#: Bytes of ids that lots are compressed against.
+COMMON = 512 << 10
 #: How the table of sequences is stored: it lies on disk beside the shuffled lots and the shards.
 STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6", "parquet.page.size": str(4 << 20), "parquet.enable.dictionary": "false"}
 #: Bytes of text in work at a time.
@@ -124,6 +127,14 @@ def gathered(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[n
         yield np.concatenate(made), np.concatenate(numbers)
 
 
+def codec(common: bytes) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
+    """Compresses lots against ``common``, which both sides have, and restores them: with many shards a lot is too small to be compressed by itself."""
+    import zstandard
+
+    known = zstandard.ZstdCompressionDict(common, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if common else None
+    return zstandard.ZstdCompressor(level=5, dict_data=known).compress, zstandard.ZstdDecompressor(dict_data=known).decompress
+
+
 def materialise(docs: DataFrame, path: str, length: int = 128, key: int = 20260101, end_id: int = 1, shard_rows: int = 1 << 16, id_col: str = "doc_id", text: str = "text") -> tuple[str, int]:
     """Tokens ``docs``, cuts them into sequences of up to ``length`` ids, and writes the shards; their folder and the number of sequences.
 
@@ -133,11 +144,10 @@ def materialise(docs: DataFrame, path: str, length: int = 128, key: int = 202601
     folder = f"{shared_folder(spark)}/order-{uuid.uuid4().hex}"
     pieces = token_pieces(docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("doc_id"), F.col(text).alias("text")), path, length, end_id, crc=False, at_once=TEXT_AT_ONCE, short=True)
     rows, n = numbered(pieces.select("doc_id", "piece", "ids"), f"{folder}/sequences")
+    common = b"".join(bytes(r["ids"]) for r in rows.select("ids").limit(-(-COMMON // (2 * length))).collect())[:COMMON]
 
     def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack, _ = codec(common)
         for made, number in gathered(batches, length):
             slot = permuted(number, n, key)
             order = np.argsort(slot)
@@ -154,9 +164,7 @@ def materialise(docs: DataFrame, path: str, length: int = 128, key: int = 202601
             )
 
     def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack, made, last = zstandard.ZstdDecompressor().decompress, None, 0
+        (_, unpack), made, last = codec(common), None, 0
         for batch in batches:
             for shard, places, lot in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if made is None:

@@ -88,6 +88,19 @@ def test_files_have_one_stride(spark):
     assert set(sizes[1:]) == {100 * ordering.stride(32)}
 
 
+def test_lots_are_compressed_against_common_ids():
+    rng = np.random.default_rng(3)
+    words = [rng.integers(0, 49_000, 6).astype("<u2").tobytes() for _ in range(500)]
+    text = lambda n: b"".join(words[i] for i in rng.integers(0, 500, n))
+    lots, common = [text(100) for _ in range(20)], text(20_000)
+    (pack, unpack), (alone, restored) = ordering.codec(common), ordering.codec(b"")
+    assert [unpack(pack(lot)) for lot in lots] == [restored(alone(lot)) for lot in lots] == lots
+    assert 2 * sum(len(pack(lot)) for lot in lots) < sum(len(alone(lot)) for lot in lots)
+    for tiny in (b"\1", b"\1\0", b"\1\0" * 5):
+        pack, unpack = ordering.codec(tiny)
+        assert unpack(pack(lots[0])) == lots[0] and unpack(pack(b"")) == b""
+
+
 def test_empty_table(spark):
     folder, n = ordering.materialise(llmdata.frame(spark, []), PATH)
     assert n == 0 and ordering.read_shards(spark, folder).count() == 0
